@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import quality_rules, sql
+from rallypoint.llm import quality_rules, simhash, sql
 from rallypoint.llm.common import ready, table
 
 
@@ -15,8 +15,13 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_hosts(docs).drop("rules_failed", "host_rate")
 
 
+def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_near(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
+    "op3_simhash_variants": op3_simhash_variants,
 }
 
 ORACLES: dict[str, str] = {
