@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import quality_rules, simhash, sql
+from rallypoint.llm import packing, quality_rules, simhash, sql
 from rallypoint.llm.common import ready, table
 
 
@@ -19,9 +19,14 @@ def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near(table(ready(spark), sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
+    "op7_best_fit": op7_best_fit,
 }
 
 ORACLES: dict[str, str] = {
