@@ -30,10 +30,10 @@ from tokenizers import Tokenizer
 from rallypoint.llm.common import by_bytes, materialise, partitions_for, tokens
 
 SEQUENCE = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 1 << 15
 END_ID = 0
-#: Pieces that one packing task gets on average.
-PIECES_PER_TASK = 1 << 17
+#: Pieces that one packing task gets on average; it places the longest first, so it needs bins for most of them.
+PIECES_PER_TASK = 1 << 16
 #: Distinct words whose ids a Python worker remembers from task to task.
 REMEMBERED = 1_000_000
 
@@ -182,5 +182,5 @@ def pack(
     fields = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pieces = materialise(read.mapInArrow(lambda batches: cut_pieces(batches, path, size), fields), "pieces")
-    dealt = pieces.repartition(partitions_for(pieces.count(), pieces_per_task))
+    dealt = pieces.repartition(partitions_for(pieces.count(), pieces_per_task)).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(lambda batches: place_pieces(batches, size, open_bins), fields + ", sequence_id bigint, offset bigint")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import packing, quality_rules, simhash, sql
+from rallypoint.llm import packing, quality_rules, secret_scan, simhash, sql
 from rallypoint.llm.common import ready, table
 
 
@@ -19,6 +19,10 @@ def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near(table(ready(spark), sf_dir, "documents"))
 
 
+def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(ready(spark), sf_dir, "documents"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ready(spark), sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
+    "op6_secret_automaton": op6_secret_automaton,
     "op7_best_fit": op7_best_fit,
 }
 
