@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import packing, quality_rules, secret_scan, simhash, sql
+from rallypoint.llm import decontaminate, packing, quality_rules, secret_scan, simhash, sql
 from rallypoint.llm.common import ready, table
 
 
@@ -27,11 +27,17 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ready(spark), sf_dir, "documents"))
 
 
+def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
     "op6_secret_automaton": op6_secret_automaton,
     "op7_best_fit": op7_best_fit,
+    "op10_template_windows": op10_template_windows,
 }
 
 ORACLES: dict[str, str] = {
