@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import decontaminate, packing, quality_rules, secret_scan, simhash, sql
+from rallypoint.llm import brown_lm, decontaminate, packing, quality_rules, secret_scan, simhash, sql, token_counts
 from rallypoint.llm.common import ready, table
 
 
@@ -19,6 +20,10 @@ def op3_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near(table(ready(spark), sf_dir, "documents"))
 
 
+def op4_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(ready(spark), sf_dir, "documents"))
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(ready(spark), sf_dir, "documents"))
 
@@ -27,6 +32,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ready(spark), sf_dir, "documents"))
 
 
+def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(ready(spark), sf_dir, "documents"))
+
+
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.drop("text_hash")
@@ -35,9 +44,12 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
+    "op4_brown_classes": op4_brown_classes,
     "op6_secret_automaton": op6_secret_automaton,
     "op7_best_fit": op7_best_fit,
+    "op9_trie_counts": op9_trie_counts,
     "op10_template_windows": op10_template_windows,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
