@@ -7,10 +7,15 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import brown_lm, decontaminate, packing, quality_rules, secret_scan, simhash, sql, token_counts
+from rallypoint.llm import brown_lm, decontaminate, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts
 from rallypoint.llm.common import ready, table
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(ready(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return preference.format_pairs(turns, preference.replies_from_next(turns), "conv_id")
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     return quality_rules.score_hosts(docs).drop("rules_failed", "host_rate")
@@ -42,6 +47,7 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference_pairs": op1_preference_pairs,
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
     "op4_brown_classes": op4_brown_classes,
@@ -53,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_preference_pairs": sql.OP1,
     "op2_host_rules": sql.OP2,
 }

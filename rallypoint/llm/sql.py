@@ -41,3 +41,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
 FROM r
 """
+
+OP1 = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (
+    SELECT conv_id, turn AS last_turn, text AS last_text FROM t
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC NULLS LAST, text DESC NULLS LAST) = 1 AND role = 'assistant'
+), twin AS (
+    SELECT a.conv_id, a.last_turn, a.last_text, b.last_text AS reply FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
+), s AS (
+    SELECT t.conv_id, t.turn, t.role, t.text AS c,
+        CASE WHEN t.role = 'assistant' AND t.turn IS NOT DISTINCT FROM w.last_turn AND t.text IS NOT DISTINCT FROM w.last_text THEN w.reply ELSE t.text END AS r
+    FROM t JOIN twin w USING (conv_id)
+), chosen AS (
+    SELECT conv_id, role, c AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, c NULLS FIRST) AS i FROM s
+), rejected AS (
+    SELECT conv_id, role, r AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, r NULLS FIRST) AS i FROM s
+), cmp AS (
+    SELECT a.conv_id, coalesce(min(a.i) FILTER (WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) - 1, count(*))::INTEGER AS n
+    FROM chosen a JOIN rejected b USING (conv_id, i) GROUP BY a.conv_id
+), parts AS (
+    SELECT conv_id, 'c' AS side, i, role, text FROM chosen UNION ALL SELECT conv_id, 'r', i, role, text FROM rejected
+), sized AS (
+    SELECT p.*, n, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body FROM parts p JOIN cmp USING (conv_id)
+), placed AS (
+    SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side, i > n ORDER BY i) AS stop FROM sized
+)
+SELECT conv_id AS pair_id, any_value(n) AS n_common,
+    coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 'c' AND i <= n), '') AS prompt,
+    coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 'c' AND i > n), '') AS chosen,
+    coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 'r' AND i > n), '') AS rejected,
+    coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (WHERE side = 'c' AND i > n AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (WHERE side = 'r' AND i > n AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id
+"""
