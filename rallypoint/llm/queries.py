@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import brown_lm, decontaminate, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts
+from rallypoint.llm import brown_lm, decontaminate, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts
 from rallypoint.llm.common import ready, table
 
 
@@ -29,6 +29,10 @@ def op4_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(table(ready(spark), sf_dir, "documents"))
 
 
+def op5_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(table(ready(spark), sf_dir, "pages"))
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(ready(spark), sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": op2_host_rules,
     "op3_simhash_variants": op3_simhash_variants,
     "op4_brown_classes": op4_brown_classes,
+    "op5_minimum_cut": op5_minimum_cut,
     "op6_secret_automaton": op6_secret_automaton,
     "op7_best_fit": op7_best_fit,
     "op9_trie_counts": op9_trie_counts,
