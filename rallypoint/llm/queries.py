@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import brown_lm, decontaminate, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts
+from rallypoint.llm import brown_lm, decontaminate, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts, warc
 from rallypoint.llm.common import ready, table
 
 
@@ -41,6 +41,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ready(spark), sf_dir, "documents"))
 
 
+def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(ready(spark), table(spark, sf_dir, "pages"))
+
+
 def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(ready(spark), sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minimum_cut": op5_minimum_cut,
     "op6_secret_automaton": op6_secret_automaton,
     "op7_best_fit": op7_best_fit,
+    "op8_capture_index": op8_capture_index,
     "op9_trie_counts": op9_trie_counts,
     "op10_template_windows": op10_template_windows,
     "pipeline": corpus_pipeline.run,
@@ -66,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_preference_pairs": sql.OP1,
     "op2_host_rules": sql.OP2,
+    "op8_capture_index": sql.OP8,
 }

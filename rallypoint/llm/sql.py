@@ -75,3 +75,18 @@ SELECT conv_id AS pair_id, any_value(n) AS n_common,
     coalesce(string_agg((stop - length(body))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (WHERE side = 'r' AND i > n AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY conv_id
 """
+
+#: Base32 of the 20 digest bytes, eight characters for every five bytes.
+OP8 = r"""
+WITH p AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
+), m AS (
+    SELECT *, min(page_id) OVER (PARTITION BY digest) AS original FROM p
+)
+SELECT page_id, payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(digest, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = original OR original IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM m
+"""
