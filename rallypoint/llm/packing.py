@@ -35,7 +35,7 @@ END_ID = 0
 #: Pieces that one packing task gets on average; it places the longest first, so it needs bins for most of them.
 PIECES_PER_TASK = 1 << 16
 #: Distinct words whose ids a Python worker remembers from task to task.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 #: Lower-case letters that normalisation leaves as they are.
 _LETTERS = "a-z" + "".join(x for x in map(chr, range(0xC0, 0x180)) if x.isalpha() and x.lower() == x)

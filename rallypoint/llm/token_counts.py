@@ -34,7 +34,7 @@ from rallypoint.llm.common import by_bytes, tokens
 
 MARK = "▁"
 #: Pre-tokens whose counts a Python worker remembers from task to task.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Score of one byte that stands for itself, in thousandths.
 BYTE_SCORE = -15_000
 
