@@ -111,18 +111,18 @@ def _seed(*parts: object) -> int:
 def cluster_bootstrap(losses: DataFrame, key: str, cluster: str, stratum: str, value: str, replicates: int, seed: int) -> DataFrame:
     """key, estimate, low, high: percentile interval of the mean loss, clusters redrawn within strata.
 
-    Spark sums each cluster's loss and rows; the redraw needs one number pair a
-    cluster. Replicates are dealt to tasks by number, and every replicate draws
-    a cluster's weight from a Poisson law by a hash of (seed, replicate, cluster),
-    so no task holds all clusters and a rerun draws alike.
+    Each replicate draws a cluster's weight from a Poisson law by a hash of
+    (seed, replicate, cluster), so means are plain sums, no task holds all
+    clusters, and a rerun draws alike.
     """
-    by_cluster = losses.groupBy(key, stratum, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    weight = poisson_weight(F.lit(seed), F.col("replicate"), F.col(stratum), F.col(cluster))
+    names = F.col(key).alias("b_key"), F.col(stratum).alias("b_stratum"), F.col(cluster).alias("b_cluster")
+    by_cluster = losses.groupBy(*names).agg(F.sum(value).alias("loss_sum"), F.count(value).alias("loss_n"))
+    weight = poisson_weight(F.lit(seed), F.col("replicate"), F.col("b_stratum"), F.col("b_cluster"))
     drawn = by_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = drawn.groupBy(key, "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    q = means.groupBy(key).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    real = by_cluster.groupBy(F.col(key).alias("of")).agg((F.sum("s") / F.sum("n")).alias("estimate"))
-    return q.join(real, F.col(key) == F.col("of")).select(key, "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    means = drawn.groupBy("b_key", "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("loss_sum")), F.sum(F.col("w") * F.col("loss_n"))).alias("m"))
+    q = means.groupBy("b_key").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    real = by_cluster.groupBy(F.col("b_key").alias("of")).agg((F.sum("loss_sum") / F.sum("loss_n")).alias("estimate"))
+    return q.join(real, F.col("b_key") == F.col("of")).select(F.col("b_key").alias(key), "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
 def poisson_weight(*parts: Column) -> Column:
