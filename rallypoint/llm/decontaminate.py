@@ -107,15 +107,16 @@ def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id")
     """item_id, row, at, key, hash, own, slots, n_windows: the windows of each item.
 
     An item's first word may stand inside a document's sentence and so look like
-    a name there; its first window is filed both ways.
+    a name there, and a copy in one case has no names: the first window is filed
+    with a name in front too, and every window without names too.
     """
-    rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    plain = clean(F.coalesce(F.col("text"), F.lit("")))
-    as_name = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"^[^\p{L}\p{N}]*(\p{Lu})", "x $1")
-    named = windows(rows.where(plain != ""), as_name, "item_id", "row").where("at = 1").withColumn("at", F.lit(0))
+    rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     own = windows(rows, F.col("text"), "item_id", "row")
+    caseless = windows(rows, F.lower("text"), "item_id", "row")
+    as_name = F.regexp_replace("text", r"^[^\p{L}\p{N}]*(\p{Lu})", "x $1")
+    named = windows(rows, as_name, "item_id", "row").where("at = 1 AND key LIKE 't @%'").withColumn("at", F.lit(0))
     counts = own.groupBy("row").agg(F.count(F.lit(1)).alias("n_windows"))
-    return own.union(named.join(own.select("item_id", "row").distinct(), ["item_id", "row"], "left_semi").select(own.columns)).join(counts, "row")
+    return own.union(caseless).union(named.select(own.columns)).dropDuplicates(["row", "at", "key"]).join(counts, "row")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -123,10 +124,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     filed = materialise(item_windows(items, item_text, item_id), "items")
     need = F.ceil(F.col("n_windows") * SIMILARITY_PERCENT / 100)
     shared = filed.groupBy("hash").agg(F.count(F.lit(1)).alias("n_items"))
-    rare = W.partitionBy("row").orderBy("n_items", "at")
+    place = filed.join(shared, "hash").withColumn("at_most", F.max("n_items").over(W.partitionBy("row", "at")))
     probes = (
-        filed.join(shared, "hash")
-        .withColumn("nth", F.dense_rank().over(rare))
+        place.withColumn("nth", F.dense_rank().over(W.partitionBy("row").orderBy("at_most", "at")))
         .where(F.col("nth") <= F.col("n_windows") - need + 1)
         .select(F.col("hash").alias("probe"))
         .distinct()

@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rallypoint.llm import secret_scan as s
+from rallypoint.llm.automaton import Automaton
+from rallypoint.llm.queries import QUERIES
+from tests.llm.helpers import no_documents, odd_documents
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+
+
+def plain(text):
+    out = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[0], s.BASE.index(x[1])))
+
+
+def base_of(spans):
+    return [(a, s.RULES[i].kind, b) for a, i, b in spans if s.RULES[i].kind in s.BASE]
+
+
+def test_query_against_regular_expressions(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = QUERIES["op6_secret_automaton"](spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r["doc_id"]])
+        written = ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in want) for x in s.BASE)
+
+
+PARTS = ["password", "token", "=", ":", " ", '"', "'", "api_key", "APIKEY", "secret", "AKIA", "A", "Z9", "0", "deadbeef", "ff", "é", "\n", ",", "abc+/", "xoxb-", "ghp_", "12345678", "Passwd", "_"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40), max_size=8))
+def test_spans_of_any_mixture(texts):
+    texts = ["".join(x) for x in texts]
+    for text, spans in zip(texts, s.find_spans([t.encode() for t in texts]), strict=True):
+        assert base_of(spans) == plain(text)
+
+
+@pytest.mark.parametrize("lanes", [1, 7, 8192])
+def test_lanes_change_nothing(lanes):
+    import numpy as np
+
+    rng = random.Random(lanes)
+    raw = np.frombuffer("".join(rng.choice(PARTS) for _ in range(3000)).encode(), np.uint8)
+    whole = s.compiled(s.RULES)[0]
+    one = whole.scan(raw, 1)
+    many = whole.scan(raw, lanes)
+    assert sorted(zip(*map(list, one[:2]), strict=True)) == sorted(zip(*map(list, many[:2]), strict=True))
+
+
+def test_added_rules_and_masks():
+    text = "see ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY----- x"
+    spans = s.find_spans([text.encode()])[0]
+    assert [s.RULES[i].kind for _, i, _ in spans] == ["github", "pem"]
+    assert s.masked(text, spans) == "see [github] and [pem] x"
+
+
+@pytest.mark.parametrize(("pattern", "text", "want"), [("ab|ac", b"ac", 2), ("a+b?", b"aab", 3), ("(ab){2,}", b"abababa", 6), ("x{3}", b"xx", -1), ("a*", b"b", 0)])
+def test_longest_match(pattern, text, want):
+    assert Automaton([pattern], True).for_bytes().longest(text, 0, len(text)) == want
+
+
+def test_minimal_automaton_has_no_twins():
+    a = Automaton(["abc", "abd"])
+    import numpy as np
+
+    assert len(np.unique(np.column_stack([a.table, a.accepts]), axis=0)) == len(a.table)
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    assert s.scan(docs).count() == docs.count()
+    out = s.mask(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+    assert s.scan(no_documents(spark)).count() == 0 and s.mask(no_documents(spark)).count() == 0
