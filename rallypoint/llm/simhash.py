@@ -139,6 +139,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     )
     prints = rows.select("fp", "rid", F.col(f"row.{doc_id}").alias("doc_id"))
     found = components_by_print(prints, "rid").withColumnRenamed("fp", "at")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
-    kept = prints.join(found, F.col("fp") == F.col("at")).groupBy("component_id").agg(first.alias("first")).select(F.col("first.rid").alias("kept_rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
+    by_print = prints.groupBy("fp").agg(first.alias("first"))
+    by_group = by_print.join(found, F.col("fp") == F.col("at")).groupBy("component_id").agg(F.min("first").alias("first"))
+    kept = by_group.select(F.col("first.rid").alias("kept_rid"))
     return rows.join(kept, F.col("rid") == F.col("kept_rid"), "left_semi").select("row.*")
