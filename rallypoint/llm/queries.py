@@ -72,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op1_preference_pairs": sql.OP1,
     "op2_host_rules": sql.OP2,
     "op8_capture_index": sql.OP8,
+    "op10_template_windows": sql.OP10,
 }

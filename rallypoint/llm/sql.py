@@ -1,5 +1,7 @@
 """DuckDB SQL for the results of the text operators that SQL can express."""
 
+from rallypoint.llm.decontaminate import UNITS
+
 OP2 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
@@ -90,3 +92,53 @@ SELECT page_id, payload_bytes,
     CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM m
 """
+
+_UNITS = "|".join(UNITS)
+OP10 = rf"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS rid, text FROM (SELECT DISTINCT doc_id, text FROM documents)
+), items AS (
+    SELECT item_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM benchmark
+), src AS (
+    SELECT 'doc' AS kind, rid, coalesce(text, '') AS text FROM docs
+    UNION ALL SELECT 'item', rid, text FROM items
+    UNION ALL SELECT 'caseless', rid, lower(text) FROM items
+    UNION ALL SELECT 'named', rid, regexp_replace(text, '^[^\p{{L}}\p{{N}}]*(\p{{Lu}})', 'x \1') FROM items
+), cleaned AS (
+    SELECT kind, rid, lower(trim(regexp_replace(regexp_replace(translate(text, '@#~', '   '), '(\p{{Ll}},? )(\p{{Lu}})', '\1@\2', 'g'), '[^\p{{L}}\p{{N}}@]+', ' ', 'g'))) AS c FROM src
+), split AS (
+    SELECT kind, rid, string_split(c, ' ') AS o,
+        string_split(rtrim(regexp_replace(regexp_replace(regexp_replace(c, '@[^ ]+', '@', 'g') || ' ', '[^ ]*[0-9][^ ]*', '#', 'g'), '# ({_UNITS}) ', '# ~ ', 'g')), ' ') AS t
+    FROM cleaned WHERE c <> ''
+), cut AS (
+    SELECT kind, rid, pos, o[pos + 1 : pos + 5] AS own, t[pos + 1 : pos + 5] AS likes
+    FROM (SELECT *, unnest(range(0, greatest(len(t) - 5, 0) + 1)) AS pos FROM split)
+), typed AS (
+    SELECT *, list_transform(own, lambda x: ltrim(x, '@')) AS plain, len(likes) >= 5 AND len(list_filter(likes, lambda x: x NOT IN ('#', '@', '~'))) >= 2 AS typed FROM cut
+), keyed AS (
+    SELECT kind, rid, CASE WHEN kind = 'named' THEN 0 ELSE pos END AS pos, plain, likes, typed,
+        CASE WHEN len(likes) < 5 THEN 'short ' WHEN typed THEN 't ' ELSE 'o ' END || array_to_string(CASE WHEN typed THEN likes ELSE plain END, ' ') AS key
+    FROM typed WHERE kind <> 'named' OR (pos = 1 AND typed AND likes[1] = '@')
+), counts AS (
+    SELECT rid, count(*) AS n FROM keyed WHERE kind = 'item' GROUP BY rid
+), filed AS (
+    SELECT rid, pos, key, any_value(plain) AS plain, any_value(likes) AS likes, any_value(typed) AS typed FROM keyed WHERE kind <> 'doc' GROUP BY rid, pos, key
+), met AS (
+    SELECT d.rid AS doc, i.rid AS item, c.n, i.pos, d.pos - i.pos AS shift, d.plain AS b, i.plain AS a, i.likes, i.typed
+    FROM keyed d JOIN filed i ON d.kind = 'doc' AND d.key = i.key JOIN counts c ON c.rid = i.rid
+), slots AS (
+    SELECT DISTINCT doc, item, shift, a[k] AS a, b[k] AS b FROM met, range(1, 6) r(k) WHERE typed AND likes[k] IN ('#', '@', '~')
+), whole AS (
+    SELECT doc, item, n, count(DISTINCT pos) AS found FROM met GROUP BY doc, item, n HAVING count(DISTINCT pos) >= ceil(n * 80 / 100)
+), aligned AS (
+    SELECT doc, item, n, shift, count(DISTINCT pos) AS found FROM met GROUP BY doc, item, n, shift HAVING count(DISTINCT pos) >= ceil(n * 80 / 100)
+), torn AS (
+    SELECT DISTINCT doc, item FROM (SELECT doc, item, a FROM slots GROUP BY doc, item, a HAVING count(DISTINCT b) > 1)
+), torn_shift AS (
+    SELECT DISTINCT doc, item, shift FROM (SELECT doc, item, shift, a FROM slots GROUP BY doc, item, shift, a HAVING count(DISTINCT b) > 1)
+), passed AS (
+    SELECT doc, item, n, found FROM whole ANTI JOIN torn USING (doc, item)
+    UNION ALL SELECT doc, item, n, found FROM aligned ANTI JOIN torn_shift USING (doc, item, shift)
+)
+SELECT doc_id, item_id, n AS n_windows, max(found) AS n_found FROM passed p JOIN docs d ON d.rid = p.doc JOIN items i ON i.rid = p.item GROUP BY doc, item, doc_id, item_id, n
+"""

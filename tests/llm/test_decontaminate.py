@@ -3,7 +3,8 @@ from __future__ import annotations
 import re
 
 from rallypoint.llm import decontaminate as d
-from rallypoint.llm.queries import QUERIES
+from rallypoint.llm.queries import ORACLES, QUERIES
+from tests.compare import same_rows
 from tests.llm.helpers import no_documents, odd_documents
 
 QUESTION = "A baker in the village sells 12 loaves to his neighbour Anna and then gives Anna another 5 loaves before he walks 3 km home"
@@ -50,6 +51,23 @@ def test_query_finds_every_whole_copy(spark, small):
     assert want <= got and len(got) <= len(want) + len(docs) // 50
 
 
+def test_query_equals_sql(spark, duck, small):
+    same_rows(QUERIES["op10_template_windows"](spark, small), duck.sql(ORACLES["op10_template_windows"]))
+
+
+def test_sql_on_hand_built_cases(spark):
+    import duckdb
+
+    changed = QUESTION.replace("12", "40").replace("Anna", "Maria")
+    docs, items = [f"some words before {QUESTION} and", changed, QUESTION.upper(), "of", "1 2 3 4 5 6", None], [QUESTION, OTHER, "of", "", "1 2 3 4 5 6"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(docs)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", list(enumerate(items)))
+    same_rows(d.find_leaks(*setup(spark, docs, items)).drop("text_hash"), con.sql(ORACLES["op10_template_windows"]))
+
+
 def test_odd_rows(spark):
     docs, items = odd_documents(spark), setup(spark, [], [QUESTION, "a b c", None])[1]
     out = d.drop_leaks(docs, items)
