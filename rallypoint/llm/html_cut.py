@@ -304,7 +304,11 @@ def extract_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> I
 
 def extract(pages: DataFrame, markup: str = "html", page_id: str = "page_id", url: str = "url", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages."""
-    sample = pages.where(F.col(markup).isNotNull()).select(F.xxhash64(page_id, markup).alias("h"), F.col(markup).alias("html")).orderBy("h").limit(sample_pages)
+    # A slice of the hashes of the wanted size, so that no task gathers more than the sample.
+    share = sample_pages / max(1, pages.count())
+    hashed = pages.where(F.col(markup).isNotNull()).select(F.xxhash64(page_id, markup).alias("h"), F.col(markup).alias("html"))
+    slice_ = hashed if share >= 1 else hashed.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = slice_.orderBy("h").limit(sample_pages)
     weights = fit([r.html for r in sample.select("html").toLocalIterator()])
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
     read = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(markup).alias("html"))
