@@ -16,6 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from rallypoint.llm.common import materialise
 
 OPEN, CLOSE = "<|", "|>\n"
 END = "<|end|>\n"
@@ -77,16 +80,42 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str) -> DataFrame
     )
 
 
+def last_replies(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """conv, last: the last assistant turn of each conversation that has one, wherever it stands."""
+    own = turns.where(F.col(conv).isNotNull() & (F.col("role") == "assistant"))
+    return own.groupBy(conv).agg(F.max(F.struct("turn", "role", "text")).alias("last"))
+
+
+def without_reply(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """conv, n_turns: the conversations that have no assistant turn and so no pair."""
+    counts = turns.where(F.col(conv).isNotNull()).groupBy(conv).agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n"))
+    return counts.where("n = 0").drop("n")
+
+
+def with_next(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds next: the value of the next key in order, the first one's for the last key (keys are distinct).
+
+    Ranges of keys are ordered task by task; the value behind a range's end is
+    that of the next range's first key, so only one row a range meets in one task.
+    """
+    parts = materialise(rows.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranges")
+    firsts = parts.groupBy("part").agg(F.min_by(F.struct(value), key).alias("first"))
+    order = W.partitionBy(F.lit(0)).orderBy("part")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(every)).alias("behind"))
+    inside = F.lead(F.struct(value)).over(W.partitionBy("part").orderBy(key))
+    found = parts.withColumn("inside", inside).join(F.broadcast(ends), "part")
+    return found.withColumn("next", F.coalesce("inside", "behind")[value]).drop("part", "inside", "behind")
+
+
 def replies_from_next(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """For each conversation that ends in an assistant turn, a rejected twin.
+    """For each conversation that has an assistant turn, a rejected twin.
 
-    The twin has the same turns, but its last reply is the one that closes the
-    conversation numbered one off (2k with 2k + 1), so pairs need no grouping.
-    Conversations whose partner has no closing reply get no twin.
+    The twin has the same turns, but the text of its last assistant turn is that
+    of the next such conversation in the order of conv, the first one's for the
+    last. `without_reply` lists the conversations that get no twin.
     """
-    last = turns.where(F.col(conv).isNotNull()).groupBy(conv).agg(F.max(F.struct("turn", "role", "text")).alias("last")).where("last.role = 'assistant'")
-    other = F.col(conv).bitwiseXOR(F.lit(1))
-    replies = last.select(other.alias("of"), F.col("last.text").alias("reply"))
-    twins = last.join(replies, F.col(conv) == F.col("of")).select(F.col(conv).alias("of"), F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"), "reply")
+    own = with_next(last_replies(turns, conv), conv, "last")
+    twins = own.select(F.col(conv).alias("of"), F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"), F.col("next.text").alias("reply"))
     is_last = F.col("turn").eqNullSafe(F.col("last_turn")) & F.col("text").eqNullSafe(F.col("last_text")) & (F.col("role") == "assistant")
     return turns.join(twins, F.col(conv) == F.col("of")).select(F.col(conv), "turn", "role", F.when(is_last, F.col("reply")).otherwise(F.col("text")).alias("text"))

@@ -43,3 +43,31 @@ def test_twins_take_the_other_reply(spark):
     rows = turns(spark, (2, 0, "user", "q"), (2, 1, "assistant", "a2"), (3, 0, "user", "r"), (3, 1, "assistant", "a3"), (4, 0, "user", "alone"))
     got = {(r["k"], r["turn"]): r["text"] for r in p.replies_from_next(rows, "k").collect()}
     assert got == {(2, 0): "q", (2, 1): "a3", (3, 0): "r", (3, 1): "a2"}
+
+
+def test_every_conversation_with_a_reply_has_a_pair(spark):
+    rows = [(k, 0, "user", f"q{k}") for k in (1, 2, 5, 9, 14)] + [(k, 1, "assistant", f"a{k}") for k in (1, 2, 9, 14)]
+    rows += [(9, 2, "user", "thanks"), (5, 1, None, "no role")]
+    made = turns(spark, *rows)
+    got = {r["pair_id"]: r for r in p.format_pairs(made, p.replies_from_next(made, "k"), "k").collect()}
+    assert set(got) == {1, 2, 9, 14}
+    assert {k: r["rejected"].split("\n")[1] for k, r in got.items()} == {1: "a2<|end|>", 2: "a9<|end|>", 9: "a14<|end|>", 14: "a1<|end|>"}
+    assert got[9]["chosen"] == "<|assistant|>\na9<|end|>\n<|user|>\nthanks<|end|>\n"
+    assert [tuple(r) for r in p.without_reply(made, "k").collect()] == [(5, 2)]
+
+
+def test_query_takes_all_conversations(spark, duck, small):
+    """The SQL of the registered oracle from `s` on, behind twins for every conversation with a reply."""
+    twins = """WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        last AS (SELECT conv_id, turn AS last_turn, text AS last_text FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1),
+        twin AS (SELECT conv_id, last_turn, last_text, CASE WHEN lead(conv_id) OVER w IS NULL THEN first(last_text) OVER (ORDER BY conv_id) ELSE lead(last_text) OVER w END AS reply FROM last WINDOW w AS (ORDER BY conv_id)), """
+    want = duck.sql(twins + "s AS" + ORACLES["op1_preference_pairs"].partition("), s AS")[2])
+    same_rows(QUERIES["op1_preference_pairs"](spark, small), want)
+    assert len(want) == len(duck.sql("SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant'"))
+
+
+def test_next_in_order(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1009, f"v{k * 7919 % 1009}") for k in range(1000)], "k bigint, v string")
+    keys = sorted(r["k"] for r in rows.collect())
+    want = dict(zip(keys, keys[1:] + keys[:1], strict=True))
+    assert {r["k"]: r["next"] for r in p.with_next(rows, "k", "v").collect()} == {k: f"v{n}" for k, n in want.items()}
