@@ -335,7 +335,7 @@ def multiclass_metrics(spark, sf_dir):
 
 @query
 def champion_means(spark, sf_dir):
-    rows = series_lens.history(spark, sf_dir).where("event_id % 7 = 0").withColumn("weight", F.lit(0.5))
+    rows = series_lens.history(spark, sf_dir).withColumn("weight", F.lit(0.5))
     return rounded(audits.means_or_overall(rows, "user_id", "value", "weight", 10))
 
 

@@ -145,6 +145,14 @@ def test_bootstraps_are_repeatable(spark):
     assert c["low"] < c["estimate"] < c["high"] and abs(c["low"] - one["low"]) < 0.06
 
 
+def test_few_rows_take_the_overall_mean(spark):
+    rows = spark.createDataFrame([("a", float(i), 1.0 + i % 2) for i in range(10)] + [("b", 100.0, 3.0), ("c", 7.0, 1.0)], "k string, v double, w double")
+    got = {r["k"]: (r["n"], r["mean"]) for r in audits.means_or_overall(rows, "k", "v", "w", 10).collect()}
+    own, weight = sum(i * (1 + i % 2) for i in range(10)), sum(1 + i % 2 for i in range(10))
+    assert got["a"] == (10, pytest.approx(own / weight)) and got["b"] == (1, pytest.approx((own + 307) / (weight + 4)))
+    assert got["c"] == (1, got["b"][1])
+
+
 def test_sample_size():
     assert 30 <= models.required_sample_size(0.5, 1.0) <= 36
     assert models.required_sample_size(0.0, 1.0) is None

@@ -15,6 +15,11 @@ def test_query_equals_sql(spark, duck, small, name):
     same_rows(QUERIES[name](spark, small), duck.sql(SQL[name]))
 
 
+def test_champion_means_of_all_events(spark, duck, small):
+    want = "SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(value) ELSE (SELECT avg(value) FROM events) END, 6) AS mean FROM events GROUP BY user_id"
+    same_rows(QUERIES["champion_means"](spark, small), duck.sql(want))
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
