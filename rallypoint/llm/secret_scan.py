@@ -3,7 +3,8 @@
 All rules are compiled into one minimal automaton. A single pass over a batch's
 bytes finds the stretches (between bytes that no rule reads) in which a rule
 ends; the rule's own small automata then settle leftmost, non-overlapping spans
-there, and spans that are too short are dropped.
+there, and spans that are too short are dropped. A private key's span runs on
+over the lines of its block, whatever its lines end with.
 
 Defined results for unusual input: a null or empty text has no spans; positions
 count code points, so long and non-ASCII texts need no prefix; repeated rows are
@@ -43,12 +44,24 @@ class Rule:
     least_tail: int = 1
     #: For the combined pass, a pattern that ends wherever a long enough span does.
     trigger: str = ""
+    #: What may follow the span and belongs to it; alone of all patterns it may read line ends.
+    body: str = ""
 
     @property
     def pattern(self) -> str:
         return self.trigger or f"({self.head})({self.tail})"
 
 
+# A line end, in quoted texts also the written-out \\n, and whole lines of a key.
+_EOL = "[\\x20\\x09]*(\\x0d|\\\\r)?(\\x0a|\\\\n)[\\x20\\x09>]*"
+_KEY = "[A-Za-z0-9+/=]"
+#: Up to the END line, with anything but another "--" before it; without an END
+#: line (a key cut short), the header fields and the lines of a key that follow.
+PEM_BODY = (
+    "((-?[\\x00-,.-\\xff])*-----END ([A-Z]+ )*PRIVATE KEY-----)"
+    f"|(({_EOL}((Proc-Type|DEK-Info):[\\x20A-Za-z0-9,-]*)?)*{_EOL}{_KEY}{{32,}}({_EOL}{_KEY}{{32,}})*({_EOL}{_KEY}+[\\x20\\x09\\x0d]*\\x0a)?)"
+)
+
 BASE = ("assign", "access", "hex")
 # The patterns that count as secrets.
 RULES = (
@@ -57,10 +70,15 @@ RULES = (
     Rule("hex", "", "[0-9a-f]+", least=16, trigger="[0-9a-f]{16,}"),
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", least=40),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", least=20),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "-----"),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "-----", body=PEM_BODY),
 )
 
 
+@functools.cache
+def body_of(rule: Rule) -> Automaton | None:
+    return Automaton([rule.body], True).for_bytes() if rule.body else None
+
+
 @functools.cache
 def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton]]]:
     whole = Automaton([r.pattern for r in rules])
@@ -69,9 +87,13 @@ def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton,
     return whole, [(Automaton([r.head], True).for_bytes(), Automaton([r.tail], True).for_bytes()) for r in rules]
 
 
-def rule_spans(rule: Rule, own: tuple[Automaton, Automaton], text: bytes, at: int, end: int) -> list[tuple[int, int]]:
-    """The rule's leftmost non-overlapping spans in text[at:end]; text[end] is no rule's byte."""
+def rule_spans(rule: Rule, own: tuple[Automaton, Automaton], text: bytes, at: int, end: int, last: int) -> list[tuple[int, int]]:
+    """The rule's leftmost non-overlapping spans that begin in text[at:end]; text[end] is no rule's byte.
+
+    A body may run on to `last`, the line end behind the document.
+    """
     head, tail = own
+    body = body_of(rule)
     out = []
     while at < end:
         middle = head.longest(text, at, end)
@@ -79,6 +101,10 @@ def rule_spans(rule: Rule, own: tuple[Automaton, Automaton], text: bytes, at: in
         if stop <= at:
             at += 1
             continue
+        if body:
+            stop = max(stop, body.longest(text, stop, last + 1))
+            while text[stop - 1] in b" \t\r\n":
+                stop -= 1
         if stop - at >= rule.least and stop - middle >= rule.least_tail:
             out.append((at, stop))
         at = stop
@@ -105,7 +131,7 @@ def find_spans(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list
         zero = int(chars[begins[doc]])
         for i, rule in enumerate(rules):
             if rule_bits >> i & 1:
-                out[doc] += [(int(chars[x]) - zero, i, int(chars[y]) - zero) for x, y in rule_spans(rule, own[i], joined, a, b)]
+                out[doc] += [(int(chars[x]) - zero, i, int(chars[y]) - zero) for x, y in rule_spans(rule, own[i], joined, a, b, int(begins[doc + 1]) - 1)]
     return [sorted(x) for x in out]
 
 
