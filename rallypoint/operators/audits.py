@@ -94,9 +94,8 @@ def means_or_overall(rows: DataFrame, key: str, value: str, weight: str, minimum
     """The weighted mean per key, or the overall one where a key has too few rows."""
     v, w = F.col(value) * F.col(weight), F.col(weight)
     cells = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("v"), F.sum(w).alias("w"))
-    every = W.partitionBy()
-    overall = F.sum("v").over(every) / F.sum("w").over(every)
-    return cells.select(key, "n", F.when(F.col("n") >= minimum, F.col("v") / F.col("w")).otherwise(overall).alias("mean"))
+    overall = rows.agg((F.sum(v) / F.sum(w)).alias("overall_mean"))
+    return cells.crossJoin(F.broadcast(overall)).select(key, "n", F.when(F.col("n") >= minimum, F.col("v") / F.col("w")).otherwise(F.col("overall_mean")).alias("mean"))
 
 
 def survivors(rows: DataFrame, key: str, endpoint: str, value: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from rallypoint.functions.beta import beta_cdf, beta_survival, student_quantile
 from rallypoint.functions.formulas import evidence_tier, sigmoid
+from rallypoint.sources.stages import stage
 
 
 def beta_posterior(rows: DataFrame, wins: str, games: str, baseline: str, strength: float, advantage: float) -> DataFrame:
@@ -80,28 +81,41 @@ def fit_multinomial(rows: DataFrame, c: float, weight: str) -> object:
 
 
 def calibration_line(rows: DataFrame, key: str) -> DataFrame:
-    """key, intercept, slope of the outcome's logit on logit(p); slope null where p doesn't vary."""
+    """key, intercept, slope of the outcome's logit on logit(p); slope null where p doesn't vary.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, y = np.clip(pdf["probability"].to_numpy(float), 1e-15, 1 - 1e-15), pdf["outcome"].to_numpy(float)
-        x = np.log(p / (1 - p))
-        rate = y.mean()
-        if np.ptp(x) == 0:
-            shift = None if rate in (0.0, 1.0) else math.log(rate / (1 - rate)) - x[0]
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "intercept": [shift], "slope": [None]})
-        design, w = np.column_stack([np.ones_like(x), x]), np.zeros(2)
-        for _ in range(100):
-            q = 1 / (1 + np.exp(-design @ w))
-            bend = (design * (q * (1 - q))[:, None]).T @ design + 1e-12 * np.eye(2)
-            move = np.linalg.solve(bend, design.T @ (y - q))
-            w = w + move
+    Newton steps on grouped sums: rows of equal p are one cell, and a step
+    fetches a gradient and a Hessian of two unknowns for each of the few keys.
+    Rows without probability or outcome are no evidence.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType
+    p = F.least(F.greatest(F.col("probability").cast("double"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    known = rows.where("probability IS NOT NULL AND outcome IS NOT NULL").select(F.col(key).alias("of"), F.log(p / (1 - p)).alias("x"), F.col("outcome").cast("double").alias("y"))
+    cells = stage(known.groupBy("of", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")), "calibration")
+    lines, todo = {}, {}
+    for r in cells.groupBy("of").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("x").alias("low"), F.max("x").alias("high")).collect():
+        if r["low"] == r["high"]:
+            rate = r["s"] / r["n"]
+            lines[r["of"]] = (None if rate in (0.0, 1.0) else math.log(rate / (1 - rate)) - r["low"], None)
+        else:
+            todo[r["of"]] = np.zeros(2)
+    at = T.StructType([T.StructField("at", kind), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    q = 1 / (1 + F.exp(-F.col("a") - F.col("b") * F.col("x")))
+    off, bend = F.col("s") - F.col("n") * q, F.col("n") * q * (1 - q)
+    x = F.col("x")
+    sums = [F.sum(c).alias(name) for name, c in (("g", off), ("gx", off * x), ("h", bend), ("hx", bend * x), ("hxx", bend * x * x))]
+    for _ in range(100):
+        if not todo:
+            break
+        now = spark.createDataFrame([(k, float(w[0]), float(w[1])) for k, w in todo.items()], at)
+        for r in cells.join(F.broadcast(now), F.col("of").eqNullSafe(F.col("at"))).groupBy("of").agg(*sums).collect():
+            move = np.linalg.solve(np.array([[r["h"], r["hx"]], [r["hx"], r["hxx"]]]) + 1e-12 * np.eye(2), np.array([r["g"], r["gx"]]))
+            todo[r["of"]] = todo[r["of"]] + move
             if np.abs(move).max() < 1e-10:
-                break
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "intercept": [w[0]], "slope": [w[1]]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    cells = rows.where("probability IS NOT NULL").select(key, "probability", "outcome")
-    return cells.groupBy(key).applyInPandas(fit, f"{key} {kind}, intercept double, slope double")
+                w = todo.pop(r["of"])
+                lines[r["of"]] = (float(w[0]), float(w[1]))
+    lines |= {k: (float(w[0]), float(w[1])) for k, w in todo.items()}
+    line = T.StructType([T.StructField(key, kind), T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())])
+    return spark.createDataFrame([(k, *v) for k, v in lines.items()], line)
 
 
 def _seed(*parts: object) -> int:
@@ -139,28 +153,42 @@ def poisson_weight(*parts: Column) -> Column:
     return out
 
 
-def paired_bootstrap(differences: DataFrame, key: str, stratum: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """key, estimate, low, high, share_below: multinomial redraw of paired differences within strata.
+def paired_bootstrap(differences: DataFrame, key: str, stratum: str, value: str, replicates: int, seed: int, block: int = 1024) -> DataFrame:
+    """key, estimate, low, high, share_below: redraw of paired differences within strata.
 
-    Takes one difference per match; a key's frame is the number of its matches,
-    for keys that a single machine compares (thousands of matches). For larger
-    keys use cluster_bootstrap.
+    Takes one difference per match. Equal differences are one cell, whose draws
+    follow a Poisson law of its count; a stratum's mean is divided by its drawn
+    weight, so its size stays. A task draws the cells of one block, about `block`
+    of a stratum, and replicates are grouped sums of the blocks'.
     """
-    kind = differences.schema[key].dataType.simpleString()
+    names = F.col(key).alias("b_key"), F.col(stratum).alias("b_stratum"), F.col(value).cast("double").alias("v")
+    cells = differences.where(F.col(value).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    cells = stage(cells, "differences")
+    strata = cells.groupBy(F.col("b_key").alias("of"), F.col("b_stratum").alias("in")).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells"))
+    same = F.col("b_key").eqNullSafe(F.col("of")) & F.col("b_stratum").eqNullSafe(F.col("in"))
+    dealt = cells.join(F.broadcast(strata), same).withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("cells") / block)))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("b_key", "b_stratum")}
 
     def redraw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(_seed(seed, pdf[key].iloc[0]))
-        total = np.zeros(replicates)
-        for _, part in sorted(pdf.groupby(stratum), key=lambda x: str(x[0])):
-            d = np.sort(part[value].to_numpy(float))
-            for a in range(0, replicates, 500):
-                b = min(replicates, a + 500)
-                total[a:b] += rng.multinomial(len(d), np.full(len(d), 1 / len(d)), size=b - a) @ d
-        means = total / len(pdf)
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "estimate": [pdf[value].mean()], "low": [low], "high": [high], "share_below": [(means < 0).mean()]})
-
-    return differences.select(key, stratum, value).groupBy(key).applyInPandas(redraw, f"{key} {kind}, estimate double, low double, high double, share_below double")
+        pdf = pdf.sort_values("v")
+        k, s, b = (pdf[c].iloc[0] for c in ("b_key", "b_stratum", "block"))
+        rng = np.random.default_rng(_seed(seed, k, s, b))
+        v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
+        drawn, summed = np.zeros(replicates), np.zeros(replicates)
+        for i in range(0, replicates, 500):
+            w = rng.poisson(n, (min(500, replicates - i), len(n)))
+            drawn[i : i + 500], summed[i : i + 500] = w.sum(1), w @ v
+        return pd.DataFrame({"b_key": [k], "b_stratum": [s], "drawn": [drawn], "summed": [summed]})
+
+    parts = dealt.select("b_key", "b_stratum", "block", "v", "n").groupBy("b_key", "b_stratum", "block").applyInPandas(redraw, f"b_key {kinds['b_key']}, b_stratum {kinds['b_stratum']}, drawn array<double>, summed array<double>")
+    each = parts.select("b_key", "b_stratum", F.posexplode(F.arrays_zip("drawn", "summed")).alias("replicate", "d"))
+    each = each.groupBy("b_key", "b_stratum", "replicate").agg(F.sum("d.drawn").alias("drawn"), F.sum("d.summed").alias("summed"))
+    each = each.join(F.broadcast(strata), same).withColumn("held", F.when(F.col("drawn") > 0, F.col("size")))
+    means = each.groupBy("b_key", "replicate").agg(F.try_divide(F.sum(F.col("held") * F.col("summed") / F.col("drawn")), F.sum("held")).alias("m"))
+    q = means.groupBy("b_key").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") < 0).cast("double")).alias("share_below"))
+    real = cells.groupBy(F.col("b_key").alias("real_key")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("estimate"))
+    found = q.join(real, F.col("b_key").eqNullSafe(F.col("real_key")))
+    return found.select(F.col("b_key").alias(key), "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "share_below")
 
 
 def required_sample_size(mean: float, deviation: float, power: float = 0.8, level: float = 0.05, most: int = 10_000_000) -> int | None:

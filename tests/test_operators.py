@@ -153,6 +153,42 @@ def test_few_rows_take_the_overall_mean(spark):
     assert got["c"] == (1, got["b"][1])
 
 
+def test_calibration_line_matches_newton_on_all_rows(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k, a, b in (("x", 0.3, 0.7), ("y", -0.2, 1.4)):
+        p = rng.uniform(0.05, 0.95, 400).round(2)
+        z = np.log(p / (1 - p))
+        y = (rng.uniform(size=400) < 1 / (1 + np.exp(-a - b * z))).astype(int)
+        rows += [(k, float(i), int(j)) for i, j in zip(p, y, strict=True)]
+        d, w = np.column_stack([np.ones(400), z]), np.zeros(2)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-d @ w))
+            w = w + np.linalg.solve((d * (q * (1 - q))[:, None]).T @ d, d.T @ (y - q))
+        want[k] = w
+    rows += [("flat", 0.5, 1), ("flat", 0.5, 1), ("flat", 0.5, 1), ("flat", 0.5, 0), ("sure", 0.5, 1), ("flat", None, 1)]
+    df = models.calibration_line(spark.createDataFrame(rows, "k string, probability double, outcome int"), "k")
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    got = {r["k"]: (r["intercept"], r["slope"]) for r in df.collect()}
+    assert all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
+    assert got["flat"] == (pytest.approx(np.log(3)), None) and got["sure"] == (None, None)
+
+
+def test_paired_bootstrap_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    d = np.concatenate([rng.normal(0.1, 1, 600), np.full(400, 0.25)])
+    rows = spark.createDataFrame([("a", f"s{i % 2}", float(x)) for i, x in enumerate(d)], "k string, s string, d double")
+    one, two = (models.paired_bootstrap(rows.repartition(n), "k", "s", "d", 2000, 1, block=16).first() for n in (1, 7))
+    assert one["low"] == pytest.approx(two["low"], abs=1e-9) and one["high"] == pytest.approx(two["high"], abs=1e-9)
+    half = 1.96 * d.std() / np.sqrt(len(d))
+    assert one["estimate"] == pytest.approx(d.mean()) and abs(one["low"] - d.mean() + half) < 0.01 and abs(one["high"] - d.mean() - half) < 0.01
+
+
+def test_overall_mean_needs_no_window(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1.0)], "k string, v double, w double")
+    assert "Window" not in audits.means_or_overall(rows, "k", "v", "w")._jdf.queryExecution().toString()
+
+
 def test_sample_size():
     assert 30 <= models.required_sample_size(0.5, 1.0) <= 36
     assert models.required_sample_size(0.0, 1.0) is None
