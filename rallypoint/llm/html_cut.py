@@ -42,7 +42,7 @@ UNIT = 1000
 
 # HTML's own element kinds, and words that containers go by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script style noscript template svg iframe object canvas title select textarea button option"
+UNSEEN = "script style noscript template svg iframe object canvas title select textarea button"
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -59,7 +59,9 @@ BOILER_WORDS = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<unseen>" + UNSEEN.replace(" ", "|") + r")(?=[\s>/]).*?(?:</(?P=unseen)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|(?P<closed><svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?/>)"
+    r"|(?P<option><option(?=[\s>/]).*?(?:</option\s*>|(?=<(?:option|optgroup)[\s>/]|</(?:datalist|select|optgroup)\s*>)|\Z))"
+    r"|<(?P<unseen>" + UNSEEN.replace(" ", "|") + r")(?=[\s>/]).*?(?:</(?P=unseen)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
 )
@@ -126,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = (token["tag"] or "").lower()
         if not tag:
-            if token["unseen"]:
+            if token["unseen"] or token["option"] or token["closed"]:
                 parts.append((" ", False))
             continue
         if tag in BLOCKS:

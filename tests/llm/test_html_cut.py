@@ -66,3 +66,18 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and dict(got)[1] == "" and dict(got)[2] == "" and dict(got)[5] == "" and dict(got)[6] == ""
     assert dict(got)[None] == "plain text, with no tag at all." and dict(got)[7].count("\n\n") == 4999
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def test_open_options_and_closed_svg_hide_nothing_else():
+    from rallypoint.llm.html_cut import blocks_of
+
+    article = "<article><p>The article behind.</p></article>"
+    pages = [
+        "<form><datalist><option value=a>one<option value='b'>two</datalist></form>" + article,
+        "<select><optgroup><option>one</optgroup><option>two</select>" + article,
+        "<datalist><option>one</option></datalist>" + article,
+        '<svg width="1>2" class=icon />' + article,
+        "<svg/>" + article,
+        "<svg><path d='M0'/><text>hidden</text></svg>" + article,
+    ]
+    assert [[b.text for b in blocks_of(page)] for page in pages] == [["The article behind."]] * len(pages)
