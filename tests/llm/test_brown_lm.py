@@ -31,7 +31,17 @@ def test_query_against_plain_counts(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_exchange_finds_planted_classes():
+def packed(spark, counts):
+    rows = [(i, j, side, int(counts[i, j] if side == 0 else counts[j, i])) for side in (0, 1) for i in range(len(counts)) for j in range(len(counts))]
+    df = spark.createDataFrame([r for r in rows if r[3]], "own int, other int, side int, n bigint")
+    return df.repartition(3, "own").mapInArrow(b.pack_core, b.PACKED)
+
+
+def start(size, classes):
+    return np.append(np.arange(size - 1) % (classes - 1), classes - 1)
+
+
+def test_exchange_finds_planted_classes(spark):
     rng = np.random.default_rng(1)
     own = np.arange(30) % 3
     counts = np.zeros((31, 31), np.int64)
@@ -40,33 +50,109 @@ def test_exchange_finds_planted_classes():
         then = int(rng.choice(np.flatnonzero(own == (own[word] + 1) % 3)))
         counts[word, then] += 1
         word = then
-    found = b.exchange(counts, 4)
-    assert found[30] == 3
+    found, table = b.exchange(packed(spark, counts), start(31, 4)[[*rng.permutation(30), 30]], 4, 0.0)
+    assert found[30] == 3 and table.sum() == counts.sum()
     assert all(len({found[i] for i in range(30) if own[i] == k}) == 1 for k in range(3))
 
 
-def test_exchange_never_loses_likelihood():
-    rng = np.random.default_rng(2)
-    counts = rng.poisson(0.3, (40, 40))
-
-    def likelihood(own):
-        m = np.eye(6)[own]
-        table = m.T @ counts @ m
-        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-        return f(table) - f(table.sum(0)) - f(table.sum(1))
-
-    scores = [likelihood(b.exchange(counts, 6, sweeps=k)) for k in range(6)]
-    assert all(y >= x - 1e-9 for x, y in zip(scores, scores[1:]))
+def test_exchange_never_loses_likelihood(spark):
+    counts = np.random.default_rng(2).poisson(0.3, (40, 40))
+    first = start(40, 6)
+    member = np.eye(6)[first]
+    found, table = b.exchange(packed(spark, counts), first, 6)
+    assert np.array_equal(table, np.eye(6)[found].T @ counts @ np.eye(6)[found])
+    assert b.likelihood(table) >= b.likelihood(member.T @ counts @ member)
+
+
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(3)
+    table, r, l = rng.integers(0, 9, (5, 5)).astype(float), rng.integers(0, 4, 5).astype(float), rng.integers(0, 4, 5).astype(float)  # noqa: E741
+    found = b.gains(table, r, l, 2.0)
+    exact = []
+    for k in range(5):
+        with_word = table.copy()
+        with_word[k] += r
+        with_word[:, k] += l
+        with_word[k, k] += 2
+        exact.append(b.likelihood(with_word))
+    assert found - found[0] == pytest.approx(np.array(exact) - exact[0])
+
+
+TEXTS = ["a b c a b", "b c d a b e", "", "a a f b c", "g h a b c d", "x y z a b", "a b g h", "e e e f x y z"] * 2 + ["q"]
+
+
+def lines(spark, texts=TEXTS):
+    return spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+
+
+def test_every_word_has_a_class_from_its_own_bigrams(spark):
+    words, cells, n_core = b.class_words(lines(spark), classes=4, core_words=3)
+    got = {r.h: (r.n, r["class"]) for r in words.collect()}
+    seen = Counter(w for t in TEXTS for w in tokens_of(t))
+    assert n_core == 3 and {h: n for h, (n, _) in got.items()} == {b._hash(w.encode()): n for w, n in seen.items()}
+    pairs = Counter(p for p in zip(["\n"] + [w for t in TEXTS for w in tokens_of(t)], [w for t in TEXTS for w in tokens_of(t)]))
+    own = {w: got[b._hash(w.encode())][1] for w in seen}
+    expected = np.zeros((4, 4))
+    for (x, y), n in pairs.items():
+        expected[own[x], own[y]] += n
+    assert np.array_equal(cells, expected)
+    core = {*sorted((w for w in seen if w != "\n"), key=lambda w: (-seen[w], b._hash(w.encode())))[:3], "\n"}
+    table = np.zeros((4, 4))
+    for (x, y), n in pairs.items():
+        if x in core and y in core:
+            table[own[x], own[y]] += n
+    f = lambda x: x * math.log(max(x, 1))
+    for w in set(seen) - core:
+        value = []
+        for k in range(3):
+            new, rows, columns = table.copy(), table.sum(1), table.sum(0)
+            for (x, y), n in pairs.items():
+                if x == w and y in core:
+                    new[k, own[y]] += n
+                    columns[own[y]] += n
+                if y == w and x in core:
+                    new[own[x], k] += n
+                    rows[own[x]] += n
+            sums = sum(f(s[k] + seen[w]) - f(s[k]) for s in (rows, columns))
+            value.append(sum(map(f, new.reshape(-1))) - sums)
+        assert value[own[w]] == pytest.approx(max(value))
+
+
+@pytest.mark.parametrize("known_share", [1 << 22, 8, 1])
+def test_scores_against_plain_products(spark, known_share):
+    """Word by word, whatever share of the words travels to the tasks."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "a new word", "q w e a", None])], "doc_id bigint, text string")
+    train = docs.where(~b.held_out(docs["doc_id"])).select("text")
+    model, words = b.fit(train, 4, 3, known_share)
+    own = {r.h: (r.n, r["class"]) for r in words.collect()}
+    n = Counter()
+    v = Counter()
+    for c, k in own.values():
+        n[k] += c
+        v[k] += 1
+    step = 10**model.step
+    out = b.score(docs, classes=4, core_words=3, known_share=known_share).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == len(texts)
+    for r in out:
+        total, before = 0.0, 3
+        for w in tokens_of(texts[r.doc_id]):
+            c, k = own.get(b._hash(w.encode()), (0, 4))
+            total += math.log10(step[before, k]) + (math.log10((c + 0.1) / (n[k] + 0.1 * (v[k] + 1))) if k < 4 else 0)
+            before = k
+        assert r.score == pytest.approx(total, rel=1e-9)
 
 
 def test_model_sums_to_one(spark):
-    docs = spark.createDataFrame([("a b c a b",), ("b c d",), ("",)], "text string")
-    model, _ = b.fit(docs, classes=4)
-    assert np.allclose((10**model.step).sum(1), 1)
-    inner = [i for i in range(model.types.end)]
-    for c in set(model.own[inner]):
-        assert (10 ** model.emit)[[i for i in inner if model.own[i] == c]].sum() == pytest.approx(1)
-    assert (model.tokens, model.distinct) == (11, 5)
+    model, words = b.fit(lines(spark, ["a b c a b", "b c d", ""]), classes=4, core_words=2)
+    step = 10**model.step
+    assert np.allclose(step[:, :-1].sum(1), 1) and (model.tokens, model.distinct) == (11, 5)
+    emit = np.zeros(4)
+    for r in words.collect():
+        emit[r["class"]] += (r.n + 0.1) / 10 ** model.size[r["class"]]
+    unseen = 0.1 / 10**model.size
+    assert np.allclose(emit + unseen, [1 if e else u for e, u in zip(emit, emit + unseen)])
+    assert np.allclose(step[:, :-1] @ unseen, step[:, -1])
 
 
 def test_odd_rows(spark):
