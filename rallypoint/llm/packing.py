@@ -1,13 +1,16 @@
 """Best-fit packing of tokenised documents with a bounded number of open bins.
 
 Documents are tokenised where they are read; only small piece rows travel from
-there. Each packing task places its pieces as they come: a bitset keyed by free
-space finds the open bin that a piece fills best, and when the fixed number of
-bins is open the fullest closes first. Sequences never cross tasks.
+there. They are dealt to packing tasks in turn and arrive there in the order of
+a hash, so that a task that runs again sees the same order; nothing is sorted by
+length. Each task places its pieces as they come: a bitset keyed by free space
+finds the open bin that a piece fills best, and when the fixed number of bins is
+open the fullest closes first. Sequences never cross tasks.
 
 Defined results for unusual input: a null or empty text is the single end id; a
 document longer than a sequence is cut, and only its last piece may be short;
-repeated rows are packed each for itself; a null doc_id stays null; an empty
+very long texts are tokenised whole; bins with equal space are filled newest
+first; repeated rows are packed each for itself; a null doc_id stays null; an empty
 table gives an empty result; other columns are never read.
 """
 
@@ -30,9 +33,9 @@ from tokenizers import Tokenizer
 from rallypoint.llm.common import by_bytes, materialise, partitions_for, tokens
 
 SEQUENCE = 2048
-OPEN_BINS = 1 << 15
+OPEN_BINS = 64
 END_ID = 0
-#: Pieces that one packing task gets on average; it places the longest first, so it needs bins for most of them.
+#: Pieces that one packing task gets on average; a task leaves at most OPEN_BINS sequences open at its end.
 PIECES_PER_TASK = 1 << 16
 #: Distinct words whose ids a Python worker remembers from task to task.
 REMEMBERED = 250_000
@@ -136,7 +139,7 @@ class OpenBins:
         self.size, self.most = size, most
         self.spaces = 0
         self.stacks: list[list[int]] = [[] for _ in range(size + 1)]
-        self.n_open, self.next = 0, first
+        self.n_open, self.next, self.closed = 0, first, 0
 
     def _take(self, space: int) -> int:
         stack = self.stacks[space]
@@ -157,6 +160,7 @@ class OpenBins:
             self.next += 1
             if self.n_open >= self.most and length < self.size:
                 self._take((self.spaces & -self.spaces).bit_length() - 1)
+                self.closed += 1
         if left := space - length:
             if not self.stacks[left]:
                 self.spaces |= 1 << left
@@ -182,5 +186,6 @@ def pack(
     fields = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pieces = materialise(read.mapInArrow(lambda batches: cut_pieces(batches, path, size), fields), "pieces")
-    dealt = pieces.repartition(partitions_for(pieces.count(), pieces_per_task)).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    arrival = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = pieces.repartition(partitions_for(pieces.count(), pieces_per_task)).withColumn("arrival", arrival).sortWithinPartitions("arrival", "doc_id", "piece").drop("arrival")
     return dealt.mapInArrow(lambda batches: place_pieces(batches, size, open_bins), fields + ", sequence_id bigint, offset bigint")

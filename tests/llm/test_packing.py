@@ -50,6 +50,21 @@ def test_query(spark, small, whole):
     assert check(rows, texts, whole) <= least * 1.02 + 1
 
 
+def test_query_closes_bins_as_pieces_arrive(spark, small):
+    """The query's own places, found again piece by piece; its bound on open bins is met all the time."""
+    folder = small.replace("sf0.001", "sf0.01")
+    df = QUERIES["op7_best_fit"](spark, folder)
+    rows = df.collect()
+    assert len({r["sequence_id"] >> 40 for r in rows}) == 1
+    bins, placed = p.OpenBins(2048, p.OPEN_BINS), {}
+    for r in rows:
+        placed[r["doc_id"], r["piece"]] = bins.place(r["length"])
+    assert placed == {(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"]) for r in rows}
+    assert bins.closed > 50 and bins.n_open <= p.OPEN_BINS
+    least = -(-sum(r["length"] for r in rows) // 2048)
+    assert bins.next <= 1.05 * least
+
+
 def test_odd_rows(spark, whole):
     docs = odd_documents(spark).dropDuplicates(["doc_id"])
     rows = p.pack(docs).collect()
