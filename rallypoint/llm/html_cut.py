@@ -4,26 +4,36 @@ A page becomes a row of text blocks. A logistic classifier's costs for calling a
 block content or boilerplate are the capacities from the two terminals; blocks
 that follow each other, and blocks under one parent, are tied by smoothness
 edges that weaken with their distance in the tree. The minimum cut, found by
-maximum flow, labels all blocks of the page at once.
-
-The classifier is fitted on at most SAMPLE_PAGES pages whose markup names their
-main element (article, main): blocks inside are content unless some container
-says otherwise. Half of the examples hide the markup's hints, so that text
-features carry pages without them. The fit starts from, and without examples
-stays at, the prior weights below.
+maximum flow, labels all blocks of the page at once. Blocks whose own costs
+outweigh all their ties are labelled beforehand, which changes no cut, so the
+flow runs on what is left.
+
+The classifier is fitted on at most SAMPLE_BLOCKS blocks of about SAMPLE_PAGES
+pages that have an article or main element. Labels come from such elements
+alone: blocks inside one, and in no nav, footer, aside, form or the like, are
+content. Two sets of weights are fitted, one with the hints of tags and names
+(class, id, role) and one without; pages that hint at no main part use the
+latter. The fit starts from, and without examples stays at, the prior weights.
+
+Reading is linear in the page's length. A quote that opens an attribute's value
+and isn't closed before white space, `/` or `>` ends with its tag at the next
+`>`; `<` without any `>` behind it is text. Form controls (button, select,
+option, textarea and the like) are dropped wherever they stand, in a paragraph
+too; options and lists of them end with any block that begins.
 
 Defined results for unusual input: a null, empty or tagless html gives the text
-that its only block has (none: empty); unclosed tags, comments, scripts and
-styles end with the page; very long pages are handled whole; repeated rows are
-extracted one by one; an empty table gives an empty result; other columns are
-never read.
+that its only block has (none: empty); unclosed comments, scripts, styles,
+titles and text areas end with the page, other unclosed tags with their parent;
+very long pages are handled whole; ties between labels count as boilerplate;
+repeated rows are extracted one by one; an empty table gives an empty result;
+other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2000
+SAMPLE_BLOCKS = 200_000
 #: Weight of the prior in the fit, in examples.
-PRIOR_EXAMPLES = 1000.0
+PRIOR_EXAMPLES = 100.0
 #: Smoothness of neighbours and of siblings, in natural logarithms.
 NEIGHBOUR, SIBLING = 0.6, 0.4
 #: Capacities are whole numbers of this part of a natural logarithm.
@@ -42,12 +53,14 @@ UNIT = 1000
 
 # HTML's own element kinds, and words that containers go by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script style noscript template svg iframe object canvas title select textarea button"
+RAW = frozenset("script style title textarea iframe xmp".split())
+HIDDEN = frozenset("noscript template svg math object canvas select datalist option optgroup button".split())
+CHOICES = frozenset("select datalist option optgroup".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MAIN_TAGS = frozenset("article main".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog label fieldset".split())
 MAIN_WORDS = frozenset("article content main post entry story text".split())
@@ -58,136 +71,234 @@ BOILER_WORDS = frozenset(
     "register form search widget toolbar tools copyright legal disclaimer skip pagination pager tags hidden contentinfo complementary".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|(?P<closed><svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?/>)"
-    r"|(?P<option><option(?=[\s>/]).*?(?:</option\s*>|(?=<(?:option|optgroup)[\s>/]|</(?:datalist|select|optgroup)\s*>)|\Z))"
-    r"|<(?P<unseen>" + UNSEEN.replace(" ", "|") + r")(?=[\s>/]).*?(?:</(?P=unseen)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
-    re.IGNORECASE | re.DOTALL,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTED = re.compile(r"=\s*([\"'])")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-FEATURES = ("one", "length", "links", "stops", "heading", "paragraph", "item", "main", "boiler")
-PRIOR = np.array([0.2, 0.5, -3.0, 0.8, 0.3, 0.8, -0.6, 3.0, -4.5])
+#: Features of text and place, then hints.
+FEATURES = ("one", "length", "links", "stops", "heading", "paragraph", "item", "share", "main", "boiler")
+HINTS = 2
+#: Rows: weights for pages without and with hints at a main part.
+PRIOR = np.array([[-0.8, 0.5, -3.0, 0.8, 0.8, 1.3, -0.6, 1.0, 0.0, -4.5], [-0.8, 0.5, -3.0, 0.8, 0.8, 1.3, -0.6, 0.5, 3.0, -4.5]])
 
 
 @dataclass
 class Element:
+    """number and parent tell block elements apart; main and boiler hold inside, structural ones by tags alone."""
+
     tag: str
-    depth: int
     number: int
-    main: bool
-    boiler: bool
-    link: bool
+    parent: int
+    is_block: bool
+    main: bool = False
+    boiler: bool = False
+    tag_main: bool = False
+    tag_boiler: bool = False
+    link: bool = False
+    hidden: bool = False
 
 
 @dataclass
 class Block:
+    """apart counts the block elements between the block and the one before it."""
+
     text: str
     linked: int
     element: Element
-    path: tuple[int, ...]
+    apart: int
 
 
-def _open(tag: str, attrs: str, above: Element, number: int) -> Element:
-    main, boiler = tag in MAIN_TAGS, tag in BOILER_TAGS or (tag == "header" and not above.main)
-    if attrs:
+def _open(tag: str, attrs: str, above: Element, number: int, parent: int) -> Element:
+    tag_main, tag_boiler = tag in MAIN_TAGS, tag in BOILER_TAGS or (tag == "header" and not above.tag_main)
+    main, boiler = tag_main, tag_boiler
+    if attrs and tag not in ("html", "body"):
         for found in _NAMES.findall(attrs):
             words = set(_WORDS.findall(_CAMEL.sub("-", html.unescape("".join(found))).lower()))
             boiler = boiler or not words.isdisjoint(BOILER_WORDS)
             main = main or not words.isdisjoint(MAIN_WORDS)
         boiler = boiler or _HIDDEN.search(attrs) is not None
-    if tag in ("html", "body"):
-        main = boiler = False
-    return Element(tag, above.depth + 1, number, above.main or (main and not boiler), above.boiler or boiler, above.link or tag == "a")
+    return Element(
+        tag, number, parent, tag in BLOCKS, above.main or (main and not boiler), above.boiler or boiler,
+        above.tag_main or tag_main, above.tag_boiler or tag_boiler, above.link or tag == "a", above.hidden or tag in HIDDEN,
+    )
+
+
+class _Reader:
+    """The open elements of a page, the blocks among them, and what is open within the innermost block."""
+
+    def __init__(self) -> None:
+        root = Element("", 0, 0, True)
+        self.open, self.blocks, self.inline = [root], [root], [Counter()]
+        self.counts: Counter[str] = Counter()
+        self.made, self.least = 0, 0
+        self.last_depth = 0
+        self.parts: list[tuple[str, bool]] = []
+        self.out: list[Block] = []
+
+    def text(self, text: str) -> None:
+        if not self.open[-1].hidden:
+            self.parts.append((text, self.open[-1].link))
+
+    def end_block(self) -> None:
+        if self.parts:
+            whole = " ".join(html.unescape("".join(x for x, _ in self.parts)).split())
+            if whole:
+                depth = len(self.blocks)
+                self.least = min(self.least, depth)
+                linked = sum(len(x) for x, link in self.parts if link)
+                self.out.append(Block(whole, linked, self.blocks[-1], self.last_depth + depth - 2 * self.least))
+                self.last_depth = self.least = depth
+            self.parts.clear()
+
+    def _pop(self) -> Element:
+        gone = self.open.pop()
+        self.counts[gone.tag] -= 1
+        if gone.is_block:
+            self.blocks.pop()
+            self.inline.pop()
+            self.least = min(self.least, len(self.blocks))
+        else:
+            self.inline[-1][gone.tag] -= 1
+        return gone
+
+    def _pop_to(self, tag: str) -> None:
+        while self._pop().tag != tag:
+            pass
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag in BLOCKS:
+            self.end_block()
+            while self.open[-1].tag in CHOICES:
+                self._pop()
+            shut = CLOSES.get(tag, ())
+            while self.blocks[-1].tag in shut:
+                self._pop_to(self.blocks[-1].tag)
+        elif tag == "br":
+            self.text(" ")
+        elif tag in HIDDEN:
+            self.text(" ")
+            if tag in ("option", "optgroup"):
+                while self.open[-1].tag in ("option", tag):
+                    self._pop()
+        if tag in VOID or (attrs.endswith("/") and tag not in BLOCKS):
+            return
+        self.made += 1
+        element = _open(tag, attrs, self.open[-1], self.made, self.blocks[-1].number)
+        self.open.append(element)
+        self.counts[tag] += 1
+        if element.is_block:
+            self.blocks.append(element)
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.end_block()
+            if self.counts[tag] > 0:
+                self._pop_to(tag)
+        elif self.inline[-1][tag] > 0:
+            self._pop_to(tag)
+            self.text(" " if tag in HIDDEN else "")
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the `>` of the tag whose name ends at `at` stands, or -1."""
+    while True:
+        stop = page.find(">", at)
+        if stop < 0:
+            return -1
+        quote = _QUOTED.search(page, at, stop)
+        if not quote:
+            return stop
+        close = page.find(quote[1], quote.end())
+        if close < 0 or page[close + 1 : close + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">"):
+            return page.find(">", quote.end())
+        at = close + 1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, white space settled, none empty."""
-    stack = [Element("", 0, 0, False, False, False)]
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    made = 0
-
-    def end_block() -> None:
-        if parts:
-            whole = " ".join(html.unescape("".join(x for x, _ in parts)).split())
-            if whole:
-                linked = sum(len(x) for x, link in parts if link)
-                holder = next((e for e in reversed(stack) if e.tag in BLOCKS or not e.tag), stack[0])
-                out.append(Block(whole, linked, holder, tuple(e.number for e in stack if e.tag in BLOCKS)))
-            parts.clear()
-
-    for token in _TOKEN.finditer(page):
-        kind = token.lastgroup
-        if kind == "text":
-            parts.append((token["text"], stack[-1].link))
+    reader = _Reader()
+    at, size, last = 0, len(page), page.rfind(">")
+    while at < size:
+        mark = page.find("<", at)
+        if mark < 0 or mark > last:
+            reader.text(page[at:])
+            break
+        if mark > at:
+            reader.text(page[at:mark])
+        if page.startswith("<!--", mark):
+            stop = page.find("-->", mark + 4)
+            if stop < 0:
+                break
+            at = stop + 3
             continue
-        tag = (token["tag"] or "").lower()
+        tag = _TAG.match(page, mark)
         if not tag:
-            if token["unseen"] or token["option"] or token["closed"]:
-                parts.append((" ", False))
+            if page[mark + 1 : mark + 2] in ("!", "?", "/"):
+                at = page.find(">", mark) + 1
+            else:
+                reader.text("<")
+                at = mark + 1
             continue
-        if tag in BLOCKS:
-            end_block()
-        elif tag == "br":
-            parts.append((" ", False))
-        if token["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
+        stop = _tag_end(page, tag.end())
+        if stop < 0:
+            reader.text(page[mark:])
+            break
+        name, attrs, at = tag[2].lower(), page[tag.end() : stop], stop + 1
+        if tag[1]:
+            reader.end(name)
+        elif name in RAW:
+            reader.text(" ")
+            if not attrs.endswith("/") or not reader.open[-1].hidden:
+                found = _RAW_END[name].search(page, at)
+                if not found:
                     break
-        elif tag not in VOID:
-            shut = CLOSES.get(tag)
-            if shut:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in shut:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in BLOCKS:
-                        break
-            made += 1
-            if not token["attrs"].endswith("/") or tag in BLOCKS:
-                stack.append(_open(tag, token["attrs"], stack[-1], made))
-    end_block()
-    return out
+                at = page.find(">", found.end()) + 1 or size
+        else:
+            reader.start(name, attrs)
+    reader.end_block()
+    return reader.out
 
 
 def features(blocks: list[Block]) -> np.ndarray:
+    inside: Counter[int] = Counter()
+    for b in blocks:
+        inside[b.element.parent] += len(b.text) - min(b.linked, len(b.text))
+    whole = sum(inside.values()) or 1
     rows = []
     for b in blocks:
         n, tag = len(b.text), b.element.tag
         stops = sum(map(b.text.count, ".!?,;:"))
         rows.append(
             (1.0, min(3.0, np.log1p(n) / 2 - 1.5), min(1.0, b.linked / n), min(2.0, 12.0 * stops / (n + 12)), len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(),
-             tag in ("p", "pre", "blockquote"), tag in ("li", "td", "th", "dt", "dd"), b.element.main, b.element.boiler)
+             tag in ("p", "pre", "blockquote"), tag in ("li", "td", "th", "dt", "dd"), inside[b.element.parent] / whole, b.element.main, b.element.boiler)
         )
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
-def fit(pages: list[str], prior: np.ndarray = PRIOR) -> np.ndarray:
-    """Logistic weights, most probable under a normal prior around `prior` (Newton steps)."""
-    xs, ys = [], []
-    for page in pages:
-        blocks = blocks_of(page or "")
-        if any(b.element.main for b in blocks):
-            x = features(blocks)
-            y = np.array([b.element.main and not b.element.boiler for b in blocks], float)
-            hidden = x.copy()
-            hidden[:, FEATURES.index("main") :] = 0
-            xs += [x, hidden]
-            ys += [y, y]
+def examples(page: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the page's blocks, none if it has no article or main element.
+
+    A block in such an element whose names alone call it boilerplate has no label.
+    """
+    blocks = blocks_of(page or "")
+    if not any(b.element.tag_main for b in blocks):
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    label = np.array([b.element.tag_main and not b.element.tag_boiler for b in blocks], float)
+    known = np.array([not (y and b.element.boiler) for y, b in zip(label, blocks, strict=True)])
+    return features(blocks)[known], label[known]
+
+
+def _newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
     weights = prior.copy()
-    if not xs:
-        return weights
-    x, y = np.concatenate(xs), np.concatenate(ys)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-x @ weights))
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (p - y) + PRIOR_EXAMPLES * (weights - prior)
         bend = (x * (p * (1 - p))[:, None]).T @ x + PRIOR_EXAMPLES * np.eye(len(weights))
         move = np.linalg.solve(bend, slope)
@@ -197,6 +308,15 @@ def fit(pages: list[str], prior: np.ndarray = PRIOR) -> np.ndarray:
     return weights
 
 
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR) -> np.ndarray:
+    """Both rows of weights, most probable under a normal prior around `prior` (Newton steps)."""
+    if not len(y):
+        return prior.copy()
+    plain = x.copy()
+    plain[:, -HINTS:] = 0
+    return np.array([_newton(plain, y, prior[0]), _newton(x, y, prior[1])])
+
+
 class Network:
     """Maximum flow (Dinic) between a source and a sink."""
 
@@ -259,37 +379,70 @@ class Network:
                     break
 
 
+def settled(pull: list[int], ties: list[dict[int, int]]) -> list[int]:
+    """1 or -1 for blocks whose pull outweighs all ties that are still open, else 0.
+
+    A settled block's ties become its neighbours' pulls; pull and ties change
+    in place. What is left has the same minimum cuts as before.
+    """
+    label = [0] * len(pull)
+    open_ = [sum(x.values()) for x in ties]
+    todo = deque(i for i in range(len(pull)) if abs(pull[i]) > open_[i])
+    while todo:
+        i = todo.popleft()
+        if label[i]:
+            continue
+        label[i] = 1 if pull[i] > 0 else -1
+        for j, tie in ties[i].items():
+            if not label[j]:
+                pull[j] += label[i] * tie
+                open_[j] -= tie
+                del ties[j][i]
+                if abs(pull[j]) > open_[j]:
+                    todo.append(j)
+    return label
+
+
 def content(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks the minimum cut leaves on the content side."""
     n = len(blocks)
     if not n:
         return []
-    odds = np.clip(features(blocks) @ weights, -12, 12)
-    as_boiler = np.rint(UNIT * np.log1p(np.exp(odds))).astype(int).tolist()
-    as_content = np.rint(UNIT * np.log1p(np.exp(-odds))).astype(int).tolist()
-    net = Network(n + 2)
-    for i in range(n):
-        # What both terminals could send through a block directly is cut in any case.
-        direct = min(as_boiler[i], as_content[i])
-        if as_boiler[i] > direct:
-            net.join(n, i, as_boiler[i] - direct)
-        elif as_content[i] > direct:
-            net.join(i, n + 1, as_content[i] - direct)
+    odds = np.clip(features(blocks) @ weights[int(any(b.element.main for b in blocks))], -12, 12)
+    # The difference of a block's two terminal capacities; what both could send is cut in any case.
+    pull = (np.rint(UNIT * np.log1p(np.exp(odds))) - np.rint(UNIT * np.log1p(np.exp(-odds)))).astype(int).tolist()
+    ties: list[dict[int, int]] = [{} for _ in range(n)]
+
+    def tie(i: int, j: int, much: int) -> None:
+        ties[i][j] = ties[i].get(j, 0) + much
+        ties[j][i] = ties[j].get(i, 0) + much
+
     last_child: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(a, b.path)) if x != y), min(len(a), len(b.path)))  # noqa: B905
-            apart = len(a) + len(b.path) - 2 * common
-            tie = round(UNIT * NEIGHBOUR / (1 + apart))
-            net.join(i - 1, i, tie, tie)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            tie(i - 1, i, round(UNIT * NEIGHBOUR / (1 + b.apart)))
+        parent = b.element.parent
         if parent in last_child:
-            tie = round(UNIT * SIBLING)
-            net.join(last_child[parent], i, tie, tie)
+            tie(last_child[parent], i, round(UNIT * SIBLING))
         last_child[parent] = i
-    level = net.flow(n, n + 1)
-    return [level[i] >= 0 for i in range(n)]
+    label = settled(pull, ties)
+    rest = [i for i in range(n) if not label[i]]
+    if rest:
+        at = {i: k for k, i in enumerate(rest)}
+        net = Network(len(rest) + 2)
+        source, sink = len(rest), len(rest) + 1
+        for i in rest:
+            if pull[i] > 0:
+                net.join(source, at[i], pull[i])
+            elif pull[i] < 0:
+                net.join(at[i], sink, -pull[i])
+            for j, much in ties[i].items():
+                if i < j and j in at:
+                    net.join(at[i], at[j], much, much)
+        level = net.flow(source, sink)
+        for i in rest:
+            label[i] = 1 if level[at[i]] >= 0 else -1
+    return [x > 0 for x in label]
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
@@ -304,14 +457,28 @@ def extract_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> I
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, markup: str = "html", page_id: str = "page_id", url: str = "url", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages."""
-    # A slice of the hashes of the wanted size, so that no task gathers more than the sample.
+def example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for page, h in zip(batch.column("html"), batch.column("h").to_pylist(), strict=True):
+            x, y = examples(page.as_py())
+            # Numbers that order the blocks of all sampled pages at random, alike in every run.
+            order = np.random.default_rng(h & (1 << 63) - 1).integers(0, 1 << 62, len(y))
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(y), *(pa.array(c) for c in x.T.copy())], names=["h", "y", *FEATURES])
+
+
+def train(pages: DataFrame, markup: str, page_id: str, sample_pages: int = SAMPLE_PAGES, sample_blocks: int = SAMPLE_BLOCKS) -> np.ndarray:
+    """Weights fitted on a sample of pages; only numbers of at most sample_blocks blocks reach the driver."""
     share = sample_pages / max(1, pages.count())
     hashed = pages.where(F.col(markup).isNotNull()).select(F.xxhash64(page_id, markup).alias("h"), F.col(markup).alias("html"))
     slice_ = hashed if share >= 1 else hashed.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
-    sample = slice_.orderBy("h").limit(sample_pages)
-    weights = fit([r.html for r in sample.select("html").toLocalIterator()])
+    fields = ", ".join(["h bigint", *(f"{c} double" for c in ("y", *FEATURES))])
+    found = slice_.mapInArrow(example_batches, fields).orderBy("h", *FEATURES).limit(sample_blocks).toArrow()
+    return fit(np.column_stack([found[c].to_numpy() for c in FEATURES]), found["y"].to_numpy())
+
+
+def extract(pages: DataFrame, markup: str = "html", page_id: str = "page_id", url: str = "url", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages."""
+    weights = train(pages, markup, page_id, sample_pages)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
     read = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(markup).alias("html"))
     return read.mapInArrow(lambda batches: extract_batches(batches, weights), f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars bigint")
