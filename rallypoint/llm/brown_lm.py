@@ -47,8 +47,8 @@ CORE_WORDS = 1 << 14
 PART_WORDS = 512
 #: Sweeps go on while the likelihood grows by more than this share of itself.
 LEAST_GAIN = 1e-4
-#: Words outside the core that one task places on average.
-WORDS_PER_TASK = 1 << 17
+#: Training tokens behind the words that one task places on average.
+TOKENS_PER_TASK = 1 << 22
 #: Entries that a task gathers before it merges equal ones.
 HELD = 1 << 22
 KNOWN_SHARE = 1 << 22
@@ -425,7 +425,7 @@ def class_words(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE_
     """h, n, class of every training word (the end token too), the class bigrams, and how many words are core."""
     counts = docs.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "words")
-    distinct = counts.count()
+    total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(core_words).toArrow()
     hashes, own_n = top["h"].to_numpy(), top["n"].to_numpy()
     by_hash = np.argsort(hashes)
@@ -434,14 +434,15 @@ def class_words(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE_
     pairs = docs.mapInArrow(lambda b: count_core(b, core_hashes), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = materialise(pairs.select(F.expr(f"CAST(pair DIV {size} AS INT)").alias("own"), F.expr(f"CAST(pair % {size} AS INT)").alias("other"), "n"), "pairs")
     both = pairs.withColumn("side", F.lit(0)).union(pairs.select(F.col("other").alias("own"), F.col("own").alias("other"), "n", F.lit(1).alias("side")))
-    packed = materialise(both.repartition(partitions_for(size, PART_WORDS), "own").mapInArrow(pack_core, PACKED), "core")
+    parts = partitions_for(size, PART_WORDS)
+    packed = materialise(both.repartitionById(parts, F.col("own") % parts).mapInArrow(pack_core, PACKED), "core")
     ranks = np.append(by_hash % max(1, classes - 1), classes - 1)
     own_class, table = exchange(packed, ranks, classes, least_gain)
     core = Core(core_hashes, own_class, table)
-    buckets = partitions_for(distinct, WORDS_PER_TASK)
+    buckets = partitions_for(total, TOKENS_PER_TASK)
     others = docs.mapInArrow(lambda b: count_others(b, core, buckets), OTHERS)
-    placed = materialise(others.repartition(buckets, "bucket").mapInArrow(lambda b: place_others(b, core, buckets), PLACED), "placed")
-    behind = placed.where("what IN ('class', 'then')").select("bucket", "what", "a", "b", "n").repartition(buckets, "bucket")
+    placed = materialise(others.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: place_others(b, core, buckets), PLACED), "placed")
+    behind = placed.where("what IN ('class', 'then')").select("bucket", "what", "a", "b", "n").repartitionById(buckets, F.col("bucket"))
     rest = behind.mapInArrow(lambda b: pair_cells(b, classes), "cell bigint, n bigint").union(placed.where("what = 'cell'").select("h", "count"))
     rest = rest.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = table.copy()
