@@ -1,13 +1,16 @@
 """Benchmark decontamination over template windows, in DataFrame functions only.
 
-A text becomes a sequence of tokens (runs of letters or digits). Tokens with a
-digit turn into `#`, a unit behind a number into `~`, a capitalised word inside
-a sentence (a name) into `@`. Five-token template windows of documents and
-benchmark items meet in an equality join; a document leaks an item if it holds
-0.8 or more of the item's windows and the values behind the placeholders map
-consistently: equal item values must stand against equal document values,
-either within one alignment or over all of them. So a question with new numbers
-or names is caught, and a chance fit of placeholders is not.
+A text becomes a sequence of tokens (runs of letters or digits; a number keeps
+its inner points and commas out of the way, so 1,250.5 is one token). Tokens
+with a digit turn into `#` and a unit behind a number into `~`. Two readings
+follow: one turns every capitalised word into `@`, a name's place; the other
+turns none, so that copies in other case meet. Five-token template windows of
+documents and benchmark items meet, in either reading, in an equality join; a
+document leaks an item if it holds 0.8 or more of the item's windows and the
+values behind the placeholders map consistently: equal item values must stand
+against equal document values, either within one alignment or over all of them.
+So a question with new numbers or names is caught, wherever these stand and
+however its lines are broken, and a chance fit of placeholders is not.
 
 Exactness: a document with 0.8 of an item's windows holds at least one of any
 `n - ceil(0.8 n) + 1` of them, so the first pass over the texts probes only that
@@ -17,8 +20,10 @@ read again and verified in full. Nothing is capped.
 Defined results for unusual input: a window with fewer than two words that are
 no placeholder is compared by its own tokens; a text of one to four tokens is
 one window, which only an item of the same tokens meets; texts without tokens
-(null, empty, blank) leak nothing; repeated rows give one row per (doc_id, text,
-item); items that repeat count each for itself; empty tables give empty results.
+(null, empty, blank) leak nothing; a very long text is read whole; a null doc_id
+is an id like others; repeated rows give one row per (doc_id, text, item); items
+that repeat count each for itself; empty tables give empty results; other
+columns, whatever their names, pass through drop_leaks untouched.
 """
 
 from __future__ import annotations
@@ -41,82 +46,87 @@ SLOTS = ("#", "@", "~")
 
 
 def clean(text: Column) -> Column:
-    """Lower-case tokens, single spaces between; names carry `@` in front."""
-    marked = F.regexp_replace(F.translate(text, "@#~", "   "), r"(\p{Ll},? )(\p{Lu})", "$1@$2")
+    """Lower-case tokens, single spaces between; words that began with a capital carry `@` in front."""
+    free = F.when(text.contains("@"), F.translate(text, "@", " ")).otherwise(text)
+    whole = F.regexp_replace(free, "([0-9])[.,](?=[0-9])", "$1")
+    marked = F.regexp_replace(whole, r"(^|[^\p{L}\p{N}])(\p{Lu})", "$1@$2")
     return F.lower(F.trim(F.regexp_replace(marked, r"[^\p{L}\p{N}@]+", " ")))
 
 
 def template(cleaned: Column) -> Column:
-    """The cleaned text with placeholders; token for token alike."""
-    numbers = F.regexp_replace(F.concat(F.regexp_replace(cleaned, "@[^ ]+", "@"), F.lit(" ")), "[^ ]*[0-9][^ ]*", "#")
-    return F.rtrim(F.regexp_replace(numbers, f"# ({'|'.join(UNITS)}) ", "# ~ "))
+    """The cleaned text with `#` and `~`, token for token alike; names are still to be read."""
+    numbers = F.regexp_replace(F.concat(cleaned, F.lit(" ")), "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "#")
+    return F.rtrim(F.regexp_replace(numbers, f"# @?({'|'.join(UNITS)}) ", "# ~ "))
+
+
+def named(templated: Column) -> Column:
+    return F.split(F.regexp_replace(templated, "@[^ ]+", "@"), " ")
+
+
+def unnamed(templated: Column) -> Column:
+    return F.split(F.replace(templated, F.lit("@"), F.lit("")), " ")
 
 
 def _short(tokens: Column) -> Column:
     return F.concat(F.lit("short "), F.array_join(tokens, " "))
 
 
+def _hashes(tokens: str) -> Column:
+    t = F.col(tokens)
+    starts = F.sequence(F.lit(0), F.size(t) - WINDOW)
+    each = F.transform(starts, lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(WINDOW))))
+    return F.when(F.size(t) < WINDOW, F.array(F.xxhash64(_short(t)))).otherwise(each)
+
+
 def probe_hashes(texts: DataFrame, text: Column, *ids: str) -> DataFrame:
-    """ids, hash: the hashes of all template windows of every text.
+    """ids, hash: the hashes of all template windows of every text, in both readings.
 
-    Tokens are a column of their own, so that no window computes them again.
+    Templates and tokens are columns of their own, so that no window computes them again.
     """
-    tokens = texts.select(*ids, F.split(template(clean(F.coalesce(text, F.lit("")))), " ").alias("t"))
-    starts = F.sequence(F.lit(0), F.size("t") - WINDOW)
-    hashes = F.when(F.size("t") < WINDOW, F.array(F.xxhash64(_short(F.col("t"))))).otherwise(
-        F.transform(starts, lambda i: F.xxhash64(*(F.get("t", i + k) for k in range(WINDOW))))
-    )
-    return tokens.select(*ids, F.explode(hashes).alias("hash"))
+    templated = texts.select(*ids, template(clean(F.coalesce(text, F.lit("")))).alias("s"))
+    tokens = templated.select(*ids, named(F.col("s")).alias("a"), unnamed(F.col("s")).alias("b"))
+    return tokens.select(*ids, F.explode(F.concat(_hashes("a"), _hashes("b"))).alias("hash"))
 
 
 def windows(texts: DataFrame, text: Column, *ids: str) -> DataFrame:
-    """ids, at, key, hash, own, slots: every window of every text.
+    """ids, at, key, hash, own, slots, n_windows: every window of every text, once a reading.
 
     own holds the window's tokens, slots its placeholders' places; key is what
     must be equal for windows to meet.
     """
     cleaned = free_name(texts, "cleaned")
     split = texts.withColumn(cleaned, clean(F.coalesce(text, F.lit("")))).where(F.col(cleaned) != "")
-    split = split.select(*ids, F.split(cleaned, " ").alias("o"), F.split(template(F.col(cleaned)), " ").alias("t"))
-    n = F.greatest(F.size("t") - WINDOW, F.lit(0))
-    length = F.least(F.size("t"), F.lit(WINDOW))
-    cut = F.transform(
-        F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("at"), F.slice("o", i + 1, length).alias("own"), F.slice("t", i + 1, length).alias("like"))
-    )
-    return _keyed(split.select(*ids, F.explode(cut).alias("w")).select(*ids, "w.*"), *ids)
+    s = template(F.col(cleaned))
+    split = split.select(*ids, unnamed(F.col(cleaned)).alias("o"), named(s).alias("a"), unnamed(s).alias("b"))
+    n = F.greatest(F.size("o") - WINDOW, F.lit(0))
+    length = F.least(F.size("o"), F.lit(WINDOW))
+    part = lambda c, i: F.slice(c, i + 1, length)
+    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("at"), part("o", i).alias("own"), F.array_distinct(F.array(part("a", i), part("b", i))).alias("likes")))
+    each = split.select(*ids, (n + 1).alias("n_windows"), F.explode(cut).alias("w")).select(*ids, "n_windows", "w.at", "w.own", F.explode("w.likes").alias("like"))
+    return _keyed(each, *ids)
 
 
 def _keyed(cut: DataFrame, *ids: str) -> DataFrame:
     is_slot = lambda x: x.isin(*SLOTS)
     literals = F.size(F.filter("like", lambda x: ~is_slot(x)))
-    plain = F.transform("own", lambda x: F.ltrim(x, F.lit("@")))
     size = F.size("like")
     typed = (size >= WINDOW) & (literals >= LEAST_LITERALS)
-    tokens = F.when(typed, F.col("like")).otherwise(plain)
+    tokens = F.when(typed, F.col("like")).otherwise(F.col("own"))
     return cut.select(
         *ids,
         "at",
         F.concat(F.when(size < WINDOW, F.lit("short ")).otherwise(F.when(typed, F.lit("t ")).otherwise(F.lit("o "))), F.array_join(tokens, " ")).alias("key"),
         F.when(size < WINDOW, F.xxhash64(_short(F.col("like")))).otherwise(F.xxhash64(*(F.get("like", F.lit(k)) for k in range(WINDOW)))).alias("hash"),
-        plain.alias("own"),
+        "own",
         F.when(typed, F.filter(F.transform("like", lambda x, i: F.when(is_slot(x), i)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>")).alias("slots"),
+        "n_windows",
     )
 
 
 def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """item_id, row, at, key, hash, own, slots, n_windows: the windows of each item.
-
-    An item's first word may stand inside a document's sentence and so look like
-    a name there, and a copy in one case has no names: the first window is filed
-    with a name in front too, and every window without names too.
-    """
+    """item_id, row, at, key, hash, own, slots, n_windows: the windows of each item."""
     rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    own = windows(rows, F.col("text"), "item_id", "row")
-    caseless = windows(rows, F.lower("text"), "item_id", "row")
-    as_name = F.regexp_replace("text", r"^[^\p{L}\p{N}]*(\p{Lu})", "x $1")
-    named = windows(rows, as_name, "item_id", "row").where("at = 1 AND key LIKE 't @%'").withColumn("at", F.lit(0))
-    counts = own.groupBy("row").agg(F.count(F.lit(1)).alias("n_windows"))
-    return own.union(caseless).union(named.select(own.columns)).dropDuplicates(["row", "at", "key"]).join(counts, "row")
+    return windows(rows, F.col("text"), "item_id", "row")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:

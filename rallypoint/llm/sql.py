@@ -102,27 +102,28 @@ WITH docs AS (
 ), src AS (
     SELECT 'doc' AS kind, rid, coalesce(text, '') AS text FROM docs
     UNION ALL SELECT 'item', rid, text FROM items
-    UNION ALL SELECT 'caseless', rid, lower(text) FROM items
-    UNION ALL SELECT 'named', rid, regexp_replace(text, '^[^\p{{L}}\p{{N}}]*(\p{{Lu}})', 'x \1') FROM items
+), joined AS (
+    SELECT kind, rid, regexp_replace(regexp_replace(translate(text, '@', ' '), '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g') AS text FROM src
 ), cleaned AS (
-    SELECT kind, rid, lower(trim(regexp_replace(regexp_replace(translate(text, '@#~', '   '), '(\p{{Ll}},? )(\p{{Lu}})', '\1@\2', 'g'), '[^\p{{L}}\p{{N}}@]+', ' ', 'g'))) AS c FROM src
+    SELECT kind, rid, lower(trim(regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}})', '\1@\2', 'g'), '[^\p{{L}}\p{{N}}@]+', ' ', 'g'))) AS c FROM joined
+), templated AS (
+    SELECT kind, rid, c, rtrim(regexp_replace(regexp_replace(c || ' ', '[^ ]*[0-9][^ ]*', '#', 'g'), '# @?({_UNITS}) ', '# ~ ', 'g')) AS s FROM cleaned WHERE c <> ''
 ), split AS (
-    SELECT kind, rid, string_split(c, ' ') AS o,
-        string_split(rtrim(regexp_replace(regexp_replace(regexp_replace(c, '@[^ ]+', '@', 'g') || ' ', '[^ ]*[0-9][^ ]*', '#', 'g'), '# ({_UNITS}) ', '# ~ ', 'g')), ' ') AS t
-    FROM cleaned WHERE c <> ''
+    SELECT kind, rid, string_split(replace(c, '@', ''), ' ') AS o, string_split(regexp_replace(s, '@[^ ]+', '@', 'g'), ' ') AS t FROM templated
+    UNION ALL SELECT kind, rid, string_split(replace(c, '@', ''), ' '), string_split(replace(s, '@', ''), ' ') FROM templated
 ), cut AS (
     SELECT kind, rid, pos, o[pos + 1 : pos + 5] AS own, t[pos + 1 : pos + 5] AS likes
     FROM (SELECT *, unnest(range(0, greatest(len(t) - 5, 0) + 1)) AS pos FROM split)
 ), typed AS (
-    SELECT *, list_transform(own, lambda x: ltrim(x, '@')) AS plain, len(likes) >= 5 AND len(list_filter(likes, lambda x: x NOT IN ('#', '@', '~'))) >= 2 AS typed FROM cut
+    SELECT *, own AS plain, len(likes) >= 5 AND len(list_filter(likes, lambda x: x NOT IN ('#', '@', '~'))) >= 2 AS typed FROM cut
 ), keyed AS (
-    SELECT kind, rid, CASE WHEN kind = 'named' THEN 0 ELSE pos END AS pos, plain, likes, typed,
+    SELECT DISTINCT kind, rid, pos, plain, likes, typed,
         CASE WHEN len(likes) < 5 THEN 'short ' WHEN typed THEN 't ' ELSE 'o ' END || array_to_string(CASE WHEN typed THEN likes ELSE plain END, ' ') AS key
-    FROM typed WHERE kind <> 'named' OR (pos = 1 AND typed AND likes[1] = '@')
+    FROM typed
 ), counts AS (
-    SELECT rid, count(*) AS n FROM keyed WHERE kind = 'item' GROUP BY rid
+    SELECT rid, count(DISTINCT pos) AS n FROM keyed WHERE kind = 'item' GROUP BY rid
 ), filed AS (
-    SELECT rid, pos, key, any_value(plain) AS plain, any_value(likes) AS likes, any_value(typed) AS typed FROM keyed WHERE kind <> 'doc' GROUP BY rid, pos, key
+    SELECT rid, pos, key, plain, likes, typed FROM keyed WHERE kind = 'item'
 ), met AS (
     SELECT d.rid AS doc, i.rid AS item, c.n, i.pos, d.pos - i.pos AS shift, d.plain AS b, i.plain AS a, i.likes, i.typed
     FROM keyed d JOIN filed i ON d.kind = 'doc' AND d.key = i.key JOIN counts c ON c.rid = i.rid

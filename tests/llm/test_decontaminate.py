@@ -29,6 +29,23 @@ def test_copies_and_new_parameters(spark):
     assert leaks(spark, docs, [QUESTION, OTHER, None, ""]) == {(0, 0), (1, 0), (3, 1), (4, 1), (4, 0)}
 
 
+LONG = "Tom buys 1,250 red and 300 blue pencils for the school of the town. Tom hands 2.5 boxes to Dr Green, who counts 7 of them (Ann helps) and asks how many boxes are left over"
+
+
+def other_values(text):
+    for a, b in (("Tom", "Zoe"), ("1,250", "96"), ("300", "4,100.5"), ("2.5", "11"), ("Green", "Ibsen"), ("Ann", "Per"), ("7 of", "83 of")):
+        text = text.replace(a, b)
+    return text
+
+
+def test_new_values_in_every_place(spark):
+    """Numbers with separators, names that begin a sentence or follow brackets, digits, wraps and quotes, and other case."""
+    new = other_values(LONG)
+    docs = [new, new.replace(" ", "\n"), new.replace(" ", "  \t"), f'He said: "{new}"', LONG.title(), LONG.lower(), LONG.upper(), new.replace("Dr", "\u201cDr"), OTHER]
+    assert leaks(spark, docs, [LONG, OTHER]) == {(i, 0) for i in range(8)} | {(8, 1)}
+    assert leaks(spark, [new.replace("Zoe hands", "Tom hands")], [LONG]) == set()
+
+
 def test_part_of_an_item_is_no_leak(spark):
     half = " ".join(QUESTION.split()[:12])
     assert leaks(spark, [half, "the of and a in to", "of"], [QUESTION, "of", "of the"]) == {(2, 1)}
@@ -59,7 +76,8 @@ def test_sql_on_hand_built_cases(spark):
     import duckdb
 
     changed = QUESTION.replace("12", "40").replace("Anna", "Maria")
-    docs, items = [f"some words before {QUESTION} and", changed, QUESTION.upper(), "of", "1 2 3 4 5 6", None], [QUESTION, OTHER, "of", "", "1 2 3 4 5 6"]
+    docs, items = [f"some words before {QUESTION} and", changed, QUESTION.upper(), "of", "1 2 3 4 5 6", None], [QUESTION, OTHER, "of", "", "1 2 3 4 5 6", LONG]
+    docs += [LONG.title(), other_values(LONG).replace(" ", "\n"), "a@B 1,2,3,4 x.5 6.y 7 Km", "Of"]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
