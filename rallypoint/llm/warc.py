@@ -11,11 +11,17 @@ range alone, and the records' ranges after that.
 Only captures that a finished task reported reach the index; what a lost task
 had written is never read.
 
+A key with very many captures spans parts, each of which its own task searches,
+and captures are handed on block by block. The upper level has a row for every
+LINES_PER_PART captures, and travels to the tasks.
+
 Defined results for unusual input: a null html has an empty payload, a null url
-an empty key; a null page_id is never referred to unless all equal payloads have
-null ids, which then are all responses; repeated rows with the smallest page_id
-are responses; one key may span blocks and parts; an empty table gives an empty
-result; other columns are never read.
+an empty key; ids are percent-encoded in records, so that any text, line ends
+and the empty one too, comes back as it was, apart from null; a null page_id is
+never referred to unless all equal payloads have null ids, which then are all
+responses; repeated rows with the smallest page_id are responses; very long
+payloads are written whole; an empty table gives an empty result; other columns,
+whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +47,9 @@ from rallypoint.llm.common import materialise, new_dir, partitions_for
 
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 1000
-LINES_PER_PART = 1 << 18
+LINES_PER_PART = 1 << 15
+#: Payload bytes that a task hands on at a time.
+HANDED_BYTES = 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 3
 MIN_REVISIT_BYTES = 0
@@ -69,7 +78,7 @@ def _head(fields: Iterable[tuple[str, object]], first: str) -> bytes:
 
 
 def _name(page_id: object) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+    return "<urn:x-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
 
 
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object, revisit: bool) -> bytes:
@@ -85,7 +94,12 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object,
     return packer.compress(_head(fields, "WARC/1.1") + block + b"\r\n\r\n") + packer.flush()
 
 
-_ID = re.compile(r"<urn:x-page:(.*)>")
+_ID = re.compile(r"<urn:x-page(?::(.*))?>")
+
+
+def _id(name: str) -> str | None:
+    found = _ID.fullmatch(name)[1]
+    return None if found is None else unquote(found)
 
 
 def parse(member: bytes) -> dict:
@@ -102,7 +116,7 @@ def parse(member: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    own = {k: _ID.fullmatch(fields[f])[1] or None if f in fields else None for k, f in (("page_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"))}
+    own = {k: _id(fields[f]) if f in fields else None for k, f in (("page_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"))}
     return own | {"url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "payload": payload}
 
 
@@ -193,20 +207,21 @@ class Lookup:
             self.keys = [x[0] for x in self.rows]
             self.open_block = (self.open_part, i)
 
-    def find(self, key: str) -> Iterator[list]:
-        """[key, file, offset, length] of each capture of the key."""
+    def parts_of(self, key: str) -> Iterator[int]:
+        """Numbers of the parts that may hold the key."""
         for p in range(bisect.bisect_left(self.lasts, key), len(self.parts)):
             if self.parts[p][0] > key:
                 return
-            self._part(self.parts[p][2])
-            for i in range(bisect.bisect_left(self.block_lasts, key), len(self.blocks)):
-                if self.blocks[i][0] > key:
-                    break
-                self._block(i)
-                for row in self.rows[bisect.bisect_left(self.keys, key) :]:
-                    if row[0] != key:
-                        break
-                    yield row
+            yield p
+
+    def find(self, key: str, part: int) -> Iterator[list[list]]:
+        """[key, file, offset, length] of each capture of the key in a part, block by block."""
+        self._part(self.parts[part][2])
+        for i in range(bisect.bisect_left(self.block_lasts, key), len(self.blocks)):
+            if self.blocks[i][0] > key:
+                return
+            self._block(i)
+            yield self.rows[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]
 
 
 def deduplicated(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -236,16 +251,32 @@ def index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES, lines_per_
 def find(keys: DataFrame, folder: str, parts: list[tuple[str, str, str]]) -> DataFrame:
     """The captures of the keys (column key), found through the index."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(folder, parts)
         for batch in batches:
-            rows = [x for key in batch.column(0).to_pylist() for x in lookup.find(key)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "file", "offset", "length"])
+            for key in batch.column("key").to_pylist():
+                at = np.fromiter(lookup.parts_of(key), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at)], names=["key", "part"])
 
-    distinct = keys.select("key").distinct()
-    return distinct.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(search, CAPTURE)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, held = Lookup(folder, parts), []
+
+        def out() -> pa.RecordBatch:
+            columns, kinds = list(zip(*held, strict=True)), (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "file", "offset", "length"])
+
+        for batch in batches:
+            for key, part in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                for rows in lookup.find(key, part):
+                    held += rows
+                    if len(held) >= BLOCK_LINES:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
+
+    placed = keys.select("key").where("key IS NOT NULL").distinct().mapInArrow(place, "key string, part int")
+    return placed.repartitionById(max(1, len(parts)), F.col("part")).sortWithinPartitions("part", "key").mapInArrow(search, CAPTURE)
 
 
 RECORD = "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string"
@@ -258,14 +289,24 @@ def fetch(captures: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = FileSystem.from_uri(folder)
         path, source = "", None
+        kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
+        rows, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            rows = []
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                 if file != path:
                     path, source = file, store.open_input_file(file)
-                rows.append(parse(source.read_at(length, offset)))
-            kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                found = parse(source.read_at(length, offset))
+                rows.append([found[n] for n in names])
+                held += len(found["payload"]) if payload else 256
+                if held >= HANDED_BYTES:
+                    yield out()
+                    rows, held = [], 0
+        if rows:
+            yield out()
 
     placed = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(read, RECORD + ", payload binary" * payload)

@@ -70,3 +70,23 @@ def test_lookup_over_many_blocks_and_parts(spark):
 def test_small_payloads_are_never_revisits(spark):
     out = w.deduplicated(pages(spark, (1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")), min_bytes=3)
     assert {r["page_id"]: r["refers_to"] for r in out.collect()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_any_text_is_an_id(spark):
+    ids = ["", None, "a\nb", "a b", "x>y", "%41", "é/:", "WARC-Type: x\r\n\r\n"]
+    made = spark.createDataFrame([(x, f"http://a.com/{i}", f"p{i // 4}") for i, x in enumerate(ids)], "page_id string, url string, html string")
+    got = [(r.page_id, r.refers_to) for r in w.round_trip(spark, made).collect()]
+    first = lambda xs: min(x for x in xs if x is not None)
+    want = [(x, None if x == first(ids[k : k + 4]) else first(ids[k : k + 4])) for k in (0, 4) for x in ids[k : k + 4]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_key_of_many_captures_is_searched_by_part(spark):
+    folder = folder_of(spark)
+    rows = [(i, None, f"text {i}") for i in range(2000)] + [(9000, "http://a.com/", "x")]
+    captures = w.write(pages(spark, *rows), folder)
+    parts = w.index(captures, folder, lines=20, lines_per_part=200)
+    found = w.find(captures, folder, parts)
+    assert found.count() == 2001 and found.select("file", "offset").distinct().count() == 2001
+    each = found.groupBy(w.F.spark_partition_id().alias("p")).count().collect()
+    assert len(each) > 5 and max(r["count"] for r in each) < 600
