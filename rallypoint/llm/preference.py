@@ -5,7 +5,13 @@ common turn prefix is rendered once as the prompt, and what follows in each is
 rendered as its completion. A completion's mask lists the character spans
 (start, end) of assistant text and its end mark, which alone carry loss.
 
-Defined results for unusual input: turns are ordered by turn number (nulls
+Control marks in a role or text are escaped: between `<` and `|`, with any
+backslashes between, goes one backslash more. Taking one out of each such place
+gives the text back, and no text can open or end a turn. Masks count the
+rendered characters.
+
+Defined results for unusual input: a conversation is one row, however long;
+turns are ordered by turn number (nulls
 first), then role and text, so ties and repeated rows are turns in a row; a null
 role or text is rendered as empty and equals only null; a pair that has one side
 only is left out, as is a null pair id; equal conversations give two empty
@@ -30,12 +36,16 @@ def conversations(turns: DataFrame, pair: str) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("")), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), escaped(turn["role"]), F.lit(CLOSE))
 
 
 def _body(turn: Column) -> Column:
-    return F.concat(F.coalesce(turn["text"], F.lit("")), F.lit(END))
+    return F.concat(escaped(turn["text"]), F.lit(END))
 
 
 def render(turns: Column) -> Column:

@@ -47,10 +47,11 @@ FROM r
 OP1 = r"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 last AS (
-    SELECT conv_id, turn AS last_turn, text AS last_text FROM t
-    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC NULLS LAST, text DESC NULLS LAST) = 1 AND role = 'assistant'
+    SELECT conv_id, turn AS last_turn, text AS last_text, row_number() OVER (ORDER BY conv_id) AS i, count(*) OVER () AS n FROM (
+        SELECT * FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1
+    )
 ), twin AS (
-    SELECT a.conv_id, a.last_turn, a.last_text, b.last_text AS reply FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
+    SELECT a.conv_id, a.last_turn, a.last_text, b.last_text AS reply FROM last a JOIN last b ON b.i = a.i % a.n + 1
 ), s AS (
     SELECT t.conv_id, t.turn, t.role, t.text AS c,
         CASE WHEN t.role = 'assistant' AND t.turn IS NOT DISTINCT FROM w.last_turn AND t.text IS NOT DISTINCT FROM w.last_text THEN w.reply ELSE t.text END AS r
@@ -65,7 +66,8 @@ last AS (
 ), parts AS (
     SELECT conv_id, 'c' AS side, i, role, text FROM chosen UNION ALL SELECT conv_id, 'r', i, role, text FROM rejected
 ), sized AS (
-    SELECT p.*, n, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body FROM parts p JOIN cmp USING (conv_id)
+    SELECT p.*, n, '<|' || regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) AS head,
+        regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body FROM parts p JOIN cmp USING (conv_id)
 ), placed AS (
     SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, side, i > n ORDER BY i) AS stop FROM sized
 )
