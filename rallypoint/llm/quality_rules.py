@@ -1,13 +1,16 @@
 """Host-level quality rules.
 
-Each text is measured once. Rule failures are summed by host (`source`), the
-hosts' failure rates are shrunk with a beta prior fitted to the hosts
-themselves, and a host whose shrunk rate is too high takes its documents along.
+Each text is measured once. Failures of each rule are summed by host (`source`).
+A rule's failure rates are shrunk with a beta prior fitted to the hosts
+themselves, less what chance alone makes rates of small hosts differ, and a host
+with a rule whose shrunk rate is too high takes its documents along.
 
 Defined results for unusual input: a null or blank text has no words and fails;
 a null host has no verdict, so only the base rule counts; repeated rows are
-measured, counted and returned one by one; an empty table gives an empty
-result; a document's other columns are never read.
+measured, counted and returned one by one; a very long text is measured whole;
+one host alone, or hosts that differ by no more than chance, get the heaviest
+prior; an empty table gives an empty result; other columns, whatever their
+names, are never read, and filter_hosts returns them as they are.
 """
 
 from __future__ import annotations
@@ -106,32 +109,52 @@ def base_failed(stats: Column) -> Column:
     return (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEAT_PERCENT * stats["n_words"])
 
 
-def any_failed(stats: Column) -> Column:
-    return (
-        base_failed(stats)
-        | (100 * stats["n_symbols"] > MAX_SYMBOLS_PER_100_WORDS * stats["n_words"])
-        | (100 * stats["n_dup_lines"] > MAX_DUP_LINES_PERCENT * stats["n_lines"])
-    )
+def rules(stats: Column) -> dict[str, Column]:
+    """Each rule's failure."""
+    return {
+        "base": base_failed(stats),
+        "symbols": 100 * stats["n_symbols"] > MAX_SYMBOLS_PER_100_WORDS * stats["n_words"],
+        "dup_lines": 100 * stats["n_dup_lines"] > MAX_DUP_LINES_PERCENT * stats["n_lines"],
+    }
+
+
+RULES = ("base", "symbols", "dup_lines")
+
+
+def beta_prior(n: float, k: float, squares: float, n_squares: float, hosts: int, weight: tuple[float, float] = PRIOR_WEIGHT) -> tuple[float, float]:
+    """Mean and weight of a rule's prior, by moments of beta-binomial counts.
+
+    n and k sum documents and failures, squares failures squared per document,
+    n_squares squared documents. The variance of the rates, each host weighted by
+    its documents, less what binomial chance adds, gives the weight.
+    """
+    low, high = weight
+    if not n:
+        return 0.0, high
+    mean = k / n
+    spread, chance = mean * (1 - mean), (hosts - 1) / n
+    room = spread * (1 - n_squares / n**2 - chance)
+    between = (squares - k**2 / n) / n - spread * chance
+    if between <= 0 or room <= 0:
+        return mean, high
+    return mean, min(high, max(low, room / between - 1))
 
 
 def host_rates(measured: DataFrame, host: str, stats: str, prior_weight: tuple[float, float] = PRIOR_WEIGHT) -> DataFrame:
-    """host, n_docs, n_failed, host_rate: the failure rate shrunk to the hosts' own beta prior.
+    """host, n_docs, failed_<rule>, rate_<rule> and host_rate, the highest: failure rates shrunk to each rule's own beta prior.
 
-    The prior's mean and weight come from the mean and variance of the hosts'
-    rates (method of moments); only these few sums reach the driver.
+    Only a few sums over the hosts reach the driver.
     """
-    hosts = (
-        measured.where(F.col(host).isNotNull())
-        .groupBy(F.col(host).alias("host"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(any_failed(F.col(stats))).alias("n_failed"))
-    )
+    failed = [F.count_if(x).alias(f"failed_{r}") for r, x in rules(F.col(stats)).items()]
+    hosts = measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *failed)
     hosts = materialise(hosts, "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    low, high = prior_weight
-    mean = 0.0 if mean is None else mean
-    weight = high if not var else min(high, max(low, mean * (1 - mean) / var - 1))
-    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight)))
+    n = F.col("n_docs").cast("double")
+    sums = [F.struct(F.sum(f"failed_{r}").alias("k"), F.sum(F.pow(f"failed_{r}", F.lit(2)) / n).alias("squares")).alias(r) for r in RULES]
+    got = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("n"), F.sum(n * n).alias("n_squares"), *sums).first()
+    for r in RULES:
+        mean, weight = beta_prior(got.n or 0, got[r].k or 0, got[r].squares or 0.0, got.n_squares or 0.0, got.hosts, prior_weight)
+        hosts = hosts.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.lit(mean * weight)) / (n + F.lit(weight)))
+    return hosts.withColumn("host_rate", F.greatest(*(f"rate_{r}" for r in RULES)))
 
 
 def _judged(docs: DataFrame, text: str, host: str, keep: list[str], max_host_rate: float) -> tuple[DataFrame, str]:
@@ -144,14 +167,14 @@ def _judged(docs: DataFrame, text: str, host: str, keep: list[str], max_host_rat
 
 
 def score_hosts(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per document: its measures, base_failed, rules_failed, host_rate and kept."""
+    """Per document: its measures, base_failed, rules_failed (names), host_rate and kept."""
     out, stats = _judged(docs, text, host, list(dict.fromkeys([doc_id, host])), max_host_rate)
     s, rate = F.col(stats), F.col(f"{stats}_rate")
     return out.select(
         doc_id,
         *(s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         base_failed(s).alias("base_failed"),
-        any_failed(s).alias("rules_failed"),
+        F.concat_ws(",", *(F.when(x, F.lit(r)) for r, x in rules(s).items())).alias("rules_failed"),
         rate.alias("host_rate"),
         (~base_failed(s) & ~F.coalesce(rate > max_host_rate, F.lit(False))).alias("kept"),
     )

@@ -29,19 +29,21 @@ WITH d AS (
 ), f AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), r AS (
-    SELECT *, base_failed OR 100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM f
+    SELECT rid, source, unnest([base_failed, 100 * n_symbols > 50 * n_words, 100 * n_dup_lines > 30 * n_lines]) AS failed, unnest([1, 2, 3]) AS rule FROM f
 ), h AS (
-    SELECT source, count(*) AS n, count(*) FILTER (failed) AS k FROM r WHERE source IS NOT NULL GROUP BY source
-), pr AS (
-    SELECT avg(k / n) AS mu, var_pop(k / n) AS v FROM h
+    SELECT rule, source, count(*)::DOUBLE AS n, (count(*) FILTER (failed))::DOUBLE AS k FROM r WHERE source IS NOT NULL GROUP BY rule, source
+), s AS (
+    SELECT rule, count(*) AS hosts, sum(n) AS n, sum(k) / sum(n) AS mu, (sum(k * k / n) - sum(k) ** 2 / sum(n)) / sum(n) AS spread, sum(n * n) AS nn FROM h GROUP BY rule
+), v AS (
+    SELECT rule, mu, mu * (1 - mu) * (1 - nn / n ** 2 - (hosts - 1) / n) AS room, spread - mu * (1 - mu) * (hosts - 1) / n AS between_ FROM s
 ), pw AS (
-    SELECT mu, CASE WHEN coalesce(v, 0) = 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, mu * (1 - mu) / v - 1)) END AS weight FROM pr
+    SELECT rule, mu, CASE WHEN between_ <= 0 OR room <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, room / between_ - 1)) END AS weight FROM v
 ), bad AS (
-    SELECT source FROM h, pw WHERE (k + mu * weight) / (n + weight) > 0.5
+    SELECT DISTINCT source FROM h JOIN pw USING (rule) WHERE (k + mu * weight) / (n + weight) > 0.5
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
-FROM r
+FROM f
 """
 
 OP1 = r"""

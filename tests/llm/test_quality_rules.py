@@ -53,3 +53,26 @@ def test_few_words(n):
     import numpy as np
 
     assert q.repeated_words(np.arange(n), np.zeros(n, int), 1).tolist() == [0]
+
+
+def test_prior_takes_chance_off():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = rng.integers(3, 40, 20_000).astype(float)
+    k = rng.binomial(n.astype(int), rng.beta(4, 16, len(n))).astype(float)
+    mean, weight = q.beta_prior(n.sum(), k.sum(), (k * k / n).sum(), (n * n).sum(), len(n))
+    assert mean == pytest.approx(0.2, abs=0.01) and weight == pytest.approx(20, rel=0.1)
+    chance = rng.binomial(n.astype(int), 0.2).astype(float)
+    assert q.beta_prior(n.sum(), chance.sum(), (chance * chance / n).sum(), (n * n).sum(), len(n))[1] > 200
+    assert q.beta_prior(5.0, 2.0, 0.8, 25.0, 1) == (0.4, 1000.0) and q.beta_prior(0, 0, 0, 0, 0) == (0.0, 1000.0)
+
+
+def test_rules_count_apart_and_small_hosts_are_shrunk(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    noisy, doubled = good + "#" * 40, "\n".join(f"{good} {i % 2}" for i in range(4))
+    rows = [(i, (noisy, doubled, good)[i % 3], "mixed") for i in range(300)] + [(1000 + i, good, f"h{i % 20}") for i in range(600)] + [(5000, "short", "tiny"), (5001, good, "tiny")]
+    got = {r["doc_id"]: r for r in q.score_hosts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert [got[i]["rules_failed"] for i in (0, 1, 2)] == ["symbols", "base,dup_lines", ""]
+    assert got[0]["kept"] and got[2]["kept"] and got[1000]["kept"] and got[5001]["kept"] and not got[5000]["kept"]
+    assert got[5001]["host_rate"] < 0.5
