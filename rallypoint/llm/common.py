@@ -62,6 +62,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than this share of the rows, so fewer than HOT_KEYS keys are.
+HOT_KEYS = 1024
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int) -> list:
+    """The keys that hold more than 1/HOT_KEYS of the rows; counts has one row per key."""
+    return [r[0] for r in counts.where(F.col(n) * HOT_KEYS > rows).select(key).collect()]
+
+
+def join_unique(many: DataFrame, one: DataFrame, on: tuple[str, str], hot: list) -> DataFrame:
+    """Inner join of many rows with a table that holds each key once; hot keys skip the shuffle.
+
+    The hot rows of `one`, of which there are fewer than HOT_KEYS, are broadcast.
+    """
+    a, b = on
+    if not hot:
+        return many.join(one, F.col(a) == F.col(b))
+    rest = many.where(~F.col(a).isin(hot)).join(one.where(~F.col(b).isin(hot)), F.col(a) == F.col(b))
+    return rest.union(many.where(F.col(a).isin(hot)).join(F.broadcast(one.where(F.col(b).isin(hot))), F.col(a) == F.col(b)))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df doesn't hold yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

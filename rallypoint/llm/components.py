@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallypoint.llm.common import materialise
+from rallypoint.llm.common import hot_keys, join_unique, materialise
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Each node hands its larger neighbours to the least node it knows."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"), "n")
+    least = materialise(least, "least")
+    return join_unique(both.where("v > u"), least, ("u", "at"), hot_keys(least, "at", "n", 2 * rows)).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """Each node ties itself and its smaller neighbours to the least of these."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "at"), "least")
+    met = join_unique(down, least, ("u", "at"), hot_keys(least, "at", "n", rows))
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("at", F.col("m").alias("v")))
 
 
 def _state(links: DataFrame) -> tuple:
@@ -32,13 +33,15 @@ def components(links: DataFrame, label: str = "links", max_rounds: int = 60) ->
 
     Alternates large-star and small-star until the links stop changing; each
     round's links are written to the shared folder, so lineage stays short. A
-    node with very many links costs a partial minimum and a join that Spark can
-    split, never a list of its neighbours. Null ends and self-links are left out.
+    node with very many links costs a partial minimum, and its links meet that
+    minimum where they lie, never in one task. Null ends and self-links are left
+    out; repeated links count once; an empty table has no nodes.
     """
     links = materialise(links.where("u <> v").distinct(), label)
     before = _state(links)
     for _ in range(max_rounds):
-        links = materialise(_small_star(_large_star(links).distinct()).distinct(), label)
+        large = materialise(_large_star(links, before[0]).distinct(), label)
+        links = materialise(_small_star(large, before[0]).distinct(), label)
         now = _state(links)
         if now == before:
             break

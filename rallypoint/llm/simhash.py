@@ -9,11 +9,14 @@ meet, and the whole fingerprints are verified.
 Each fingerprint files one variant under each of 64 masked bits, so no bucket
 can hold more than a 64th of all variants. A bucket emits a spanning forest of
 its verified links, never all pairs; a bucket of more than `block` fingerprints
-is dealt to tasks as pairs of blocks, which loses no link.
+is dealt to tasks as pairs of blocks, which loses no link. Chance lets buckets
+grow with the table (32 bits, less one, tell them apart), so beyond some ten
+billion distinct fingerprints three segments would be due. Rows of a fingerprint
+that very many texts share meet its component without a shuffle.
 
 Defined results for unusual input: a null, empty or blank text has fingerprint
 zero and links like any other; a null doc_id never names a component unless all
-ids of the component are null; repeated rows share a component; an empty table
+ids of the component are null; a very long text is read whole; repeated rows share a component; an empty table
 gives an empty result; other columns pass through untouched.
 """
 
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from xxhash import xxh64_intdigest
 
-from rallypoint.llm.common import materialise
+from rallypoint.llm.common import hot_keys, join_unique, materialise
 from rallypoint.llm.components import components
 
 SHINGLE = 3
@@ -117,19 +120,22 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def components_by_print(prints: DataFrame, doc_id: str) -> DataFrame:
-    """fp, component_id for each distinct fp: the least doc_id that links lead to."""
-    least = materialise(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "prints")
+    """fp, component_id, n for each distinct fp: the least doc_id that links lead to, and the rows that have this fp."""
+    least = materialise(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id"), F.count(F.lit(1)).alias("n")), "prints")
     roots = materialise(components(near_links(least.select("fp")), "simhash"), "roots")
-    linked = roots.join(least, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("root_id"))
-    moved = roots.join(linked.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("node"), "root_id")
-    return least.join(moved, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id"))
+    linked = roots.join(least, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("root_id"), F.count(F.lit(1)).alias("members"))
+    linked = materialise(linked.withColumnRenamed("root", "r"), "linked")
+    hot = hot_keys(linked, "r", "members", roots.count())
+    moved = join_unique(roots, linked, ("root", "r"), hot).select(F.col("node"), "root_id")
+    return least.join(moved, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root_id", "least_id").alias("component_id"), "n")
 
 
 def group_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for every row of docs."""
     prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    found = components_by_print(prints, "doc_id").withColumnRenamed("fp", "at")
-    return prints.join(found, F.col("fp") == F.col("at")).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    found = materialise(components_by_print(prints, "doc_id").withColumnRenamed("fp", "at"), "components")
+    hot = hot_keys(found, "at", "n", prints.count())
+    return join_unique(prints, found, ("fp", "at"), hot).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

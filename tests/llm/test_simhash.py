@@ -76,3 +76,21 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501)], "u bigint, v bigint")
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[501] == 500 and len(got) == 303
+
+
+def test_hot_keys_meet_without_a_shuffle(spark):
+    from rallypoint.llm import common as c
+
+    many = spark.createDataFrame([(0, i) for i in range(900)] + [(i, i) for i in range(1, 100)], "k bigint, v bigint")
+    one = spark.createDataFrame([(i, -i) for i in range(50)], "at bigint, w bigint")
+    hot = c.hot_keys(many.groupBy("k").count(), "k", "count", 999 * 200)
+    assert hot == [0]
+    want = sorted(tuple(r) for r in many.join(one, many.k == one.at).collect())
+    assert sorted(tuple(r) for r in c.join_unique(many, one, ("k", "at"), hot).collect()) == want == sorted(tuple(r) for r in c.join_unique(many, one, ("k", "at"), []).collect())
+
+
+def test_components_of_a_star_and_of_odd_links(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(5000, 5001), (5001, 5002), (5002, 5002), (None, 7), (8, None), (5001, 5000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == dict.fromkeys(range(3000), 0) | dict.fromkeys((5000, 5001, 5002), 5000)
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
