@@ -188,16 +188,24 @@ class Automaton:
                 found = at
         return found
 
+    def first_bytes(self) -> set[int]:
+        """Bytes that a match may begin with."""
+        return set(np.flatnonzero(self.table[0][self.kind] >= 0).tolist())
+
     def for_bytes(self) -> Automaton:
         """Plain lists beside the arrays, for walking single bytes."""
         self.rows, self.kinds, self.accepted = self.table.tolist(), self.kind.tolist(), (self.accepts != 0).tolist()
         return self
 
+    #: With fewer lanes left than this, stepping each by itself is faster than stepping all together.
+    FEW = 64
+
     def scan(self, raw: np.ndarray, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ends (exclusive) and rule bits of all accepting steps, and the places of reset bytes.
 
         One pass: the text is cut behind reset bytes into lanes, which all step
-        together through the transition array.
+        together through the transition array, the last few one by one, so that a
+        long stretch without reset bytes costs no more than its bytes.
         """
         kinds, resets = self.kind[raw], np.flatnonzero(self.resets[raw])
         n = len(raw)
@@ -211,12 +219,25 @@ class Automaton:
         active = len(starts) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0]) if len(lengths) else 0), "right")
         state = np.zeros(len(starts), np.int32)
         ends, bits = [], []
-        for t, k in enumerate(active.tolist()):
+        together = int((active >= self.FEW).sum())
+        for t, k in enumerate(active[:together].tolist()):
             now = self.next[state[:k] + kinds[starts[:k] + t]]
             state[:k] = now
             hit = np.flatnonzero(now >= self.first_accepting)
             if len(hit):
                 ends.append(starts[hit] + (t + 1))
                 bits.append(self.accepts[now[hit] // self.n_kinds])
+        step, kind, least = self.next.tolist(), self.kind.tolist(), self.first_accepting
+        own_ends, own_bits = [], []
+        for i in range(int(active[together]) if together < len(active) else 0):
+            now, at = int(state[i]), int(starts[i]) + together
+            for at, byte in enumerate(raw[at : int(starts[i] + lengths[i])].tobytes(), at + 1):
+                now = step[now + kind[byte]]
+                if now >= least:
+                    own_ends.append(at)
+                    own_bits.append(now // self.n_kinds)
+        if own_ends:
+            ends.append(np.array(own_ends, np.int64))
+            bits.append(self.accepts[own_bits])
         none = np.zeros(0, np.int64)
         return np.concatenate(ends) if ends else none, np.concatenate(bits) if bits else none, resets

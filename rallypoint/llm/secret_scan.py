@@ -2,8 +2,9 @@
 
 All rules are compiled into one minimal automaton. A single pass over a batch's
 bytes finds the stretches (between bytes that no rule reads) in which a rule
-ends; the rule's own small automata then settle leftmost, non-overlapping spans
-there, and spans that are too short are dropped. A private key's span runs on
+ends; in these few, the rule's own small automata of the same making settle
+where its leftmost, non-overlapping spans begin and how far they run, and spans
+that are too short are dropped. A private key's span runs on
 over the lines of its block, whatever its lines end with.
 
 Defined results for unusual input: a null or empty text has no spans; positions
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rallypoint.llm.automaton import Automaton
+from rallypoint.llm.automaton import Automaton, Positions
 from rallypoint.llm.common import by_bytes, free_name
 
 
@@ -42,7 +44,7 @@ class Rule:
     tail: str
     least: int = 1
     least_tail: int = 1
-    #: For the combined pass, a pattern that ends wherever a long enough span does.
+    #: For the combined pass, a pattern that every long enough span holds; short ones keep the automaton small.
     trigger: str = ""
     #: What may follow the span and belongs to it; alone of all patterns it may read line ends.
     body: str = ""
@@ -70,6 +72,12 @@ RULES = (
     Rule("hex", "", "[0-9a-f]+", least=16, trigger="[0-9a-f]{16,}"),
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", least=40),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", least=20),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]+", least=30, trigger="\\.eyJ[A-Za-z0-9_-]"),
+    Rule("google", "AIza", "[A-Za-z0-9_-]+", least=39, trigger="AIza[A-Za-z0-9_-]"),
+    Rule("stripe", "[sr]k_(live|test)_", "[A-Za-z0-9]+", least_tail=16, trigger="[sr]k_(live|test)_[A-Za-z0-9]"),
+    Rule("gitlab", "glpat-", "[A-Za-z0-9_-]+", least_tail=20, trigger="glpat-[A-Za-z0-9_-]"),
+    Rule("npm", "npm_", "[A-Za-z0-9]+", least=40, trigger="npm_[A-Za-z0-9]"),
+    Rule("url", "://[A-Za-z0-9._%+-]+:", "[A-Za-z0-9._%+~!*-]+@", trigger="://[A-Za-z0-9._%+-]"),
     Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "-----", body=PEM_BODY),
 )
 
@@ -80,22 +88,34 @@ def body_of(rule: Rule) -> Automaton | None:
 
 
 @functools.cache
-def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton]]]:
+def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton, re.Pattern]]]:
+    """The combined automaton, and each rule's own ones with what a match may begin with."""
     whole = Automaton([r.pattern for r in rules])
+    # A stretch holds whole spans, triggers or not.
+    for r in rules:
+        for part in (r.head, r.tail):
+            for reads in Positions(part).reads:
+                whole.resets[list(reads)] = False
     if not whole.resets[ord("\n")]:
         raise ValueError("no rule may read a line end")
-    return whole, [(Automaton([r.head], True).for_bytes(), Automaton([r.tail], True).for_bytes()) for r in rules]
+    own = []
+    for r in rules:
+        head, tail = Automaton([r.head], True).for_bytes(), Automaton([r.tail], True).for_bytes()
+        first = head.first_bytes() | (tail.first_bytes() if head.accepts[0] else set())
+        own.append((head, tail, re.compile(b"[" + re.escape(bytes(sorted(first))) + b"]")))
+    return whole, own
 
 
-def rule_spans(rule: Rule, own: tuple[Automaton, Automaton], text: bytes, at: int, end: int, last: int) -> list[tuple[int, int]]:
+def rule_spans(rule: Rule, own: tuple[Automaton, Automaton, re.Pattern], text: bytes, at: int, end: int, last: int) -> list[tuple[int, int]]:
     """The rule's leftmost non-overlapping spans that begin in text[at:end]; text[end] is no rule's byte.
 
     A body may run on to `last`, the line end behind the document.
     """
-    head, tail = own
+    head, tail, first = own
     body = body_of(rule)
     out = []
-    while at < end:
+    while begin := first.search(text, at, end):
+        at = begin.start()
         middle = head.longest(text, at, end)
         stop = tail.longest(text, middle, end) if middle >= 0 else -1
         if stop <= at:

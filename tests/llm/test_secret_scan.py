@@ -121,3 +121,32 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert s.scan(no_documents(spark)).count() == 0 and s.mask(no_documents(spark)).count() == 0
+
+
+OTHERS = {
+    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "google": r"AIza[A-Za-z0-9_-]+", "stripe": r"[sr]k_(?:live|test)_[A-Za-z0-9]+",
+    "gitlab": r"glpat-[A-Za-z0-9_-]+", "npm": r"npm_[A-Za-z0-9]+", "url": r"://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+~!*-]+@",
+}
+BITS = ["eyJhbGciOiJIUzI1NiJ9", ".", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "AIza", "a-b_C9" * 6, "sk_live_", "rk_test_", "k7" * 9, "glpat-", "npm_", "https://", "user:", "pa%20ss", "@", "host", " ", "\n", "/"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=30))
+def test_further_rules_against_regular_expressions(parts):
+    text = "".join(parts)
+    least = {"jwt": 30, "google": 39, "npm": 40}
+    want = [(m.start(), k, m.end()) for k, x in OTHERS.items() for m in re.finditer(x, text) if len(m[0]) >= least.get(k, 0)]
+    tails = {"stripe": (8, 16), "gitlab": (6, 20)}
+    want = sorted(x for x in want if x[1] not in tails or x[2] - x[0] - tails[x[1]][0] >= tails[x[1]][1])
+    got = [(a, s.RULES[i].kind, b) for a, i, b in s.find_spans([text.encode()])[0]]
+    assert sorted(x for x in got if x[1] in OTHERS) == want
+    assert base_of(s.find_spans([text.encode()])[0]) == plain(text)
+
+
+@pytest.mark.parametrize("text", ["letters and spaces only " * 170_000, "f" * 1_000_000, "token=" + "Ab9" * 400_000, "password " * 200_000])
+def test_texts_without_reset_bytes_take_linear_time(text):
+    import time
+
+    began = time.monotonic()
+    assert base_of(s.find_spans([text.encode()])[0]) == plain(text)
+    assert time.monotonic() - began < 20
