@@ -82,16 +82,17 @@ def log_loss(p: Column, outcome: Column) -> Column:
 
 
 def evidence_bucket(n: Column) -> Column:
+    """Null without a number, as for both grades below."""
     out = F.when(n == 0, "0_unseen").when(n == 1, "1").when(n < 5, "2_4").when(n < 10, "5_9").when(n < 20, "10_19")
-    return out.otherwise("20_plus")
+    return out.when(n.isNotNull(), "20_plus")
 
 
 def support_tier(n: Column) -> Column:
-    return F.when(n < 5, "0-4").when(n < 20, "5-19").when(n < 50, "20-49").otherwise("50+")
+    return F.when(n < 5, "0-4").when(n < 20, "5-19").when(n < 50, "20-49").when(n.isNotNull(), "50+")
 
 
 def evidence_tier(p: Column) -> Column:
-    return F.when(p < 0.90, "insufficient").when(p < 0.95, "moderate").otherwise("strong")
+    return F.when(p < 0.90, "insufficient").when(p < 0.95, "moderate").when(p.isNotNull(), "strong")
 
 
 def near_top(x: Column, y: Column) -> Column:

@@ -11,11 +11,14 @@ _VERSION = r"^(\d+)\.(\d+)(?:\.\d+)*$"
 
 
 def resolve(version: Column, created: Column) -> Column:
-    """struct(public_patch, patch_status) of a build version and a creation time."""
+    """struct(public_patch, patch_status) of a build version and a creation time (a timestamp, read in UTC).
+
+    Numbers too long for an integer belong to no rule.
+    """
     ok = F.coalesce(version.rlike(_VERSION), F.lit(False))
-    major = F.when(ok, F.regexp_extract(version, _VERSION, 1).cast("int"))
-    minor = F.when(ok, F.regexp_extract(version, _VERSION, 2).cast("int"))
-    year = F.year(created)
+    major = F.when(ok, F.regexp_extract(version, _VERSION, 1).try_cast("int"))
+    minor = F.when(ok, F.regexp_extract(version, _VERSION, 2).try_cast("int"))
+    year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(created.cast("timestamp")) / 86_400).cast("int")))
     public, known_year = F.lit(None).cast("int"), F.lit(False)
     for rule_year, build, shown in RULES:
         public = F.when((year == rule_year) & (major == build) & minor.between(1, 99), shown).otherwise(public)

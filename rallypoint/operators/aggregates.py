@@ -23,10 +23,15 @@ ROLE_SHARE, ROLE_GAMES = 0.05, 50
 def with_age(rows: DataFrame, target: str, max_age: int = MAX_AGE) -> DataFrame:
     """Keeps patches at most max_age behind the target and adds their age.
 
-    Rows newer than the target raise an error where they are read.
+    Rows newer than the target, and rows of another major, raise an error where
+    they are read; rows without a patch are left out.
     """
     age = patches.age(F.col("public_patch"), F.lit(target))
-    checked = F.when(age < 0, F.raise_error(F.lit("input is newer than the target patch"))).otherwise(age)
+    checked = (
+        F.when(age < 0, F.raise_error(F.lit("input is newer than the target patch")))
+        .when(F.col("public_patch").isNotNull() & age.isNull(), F.raise_error(F.concat(F.lit("no age across majors: "), F.col("public_patch"))))
+        .otherwise(age)
+    )
     return rows.withColumn("age", checked).where(F.col("age") <= max_age)
 
 

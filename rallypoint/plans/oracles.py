@@ -302,8 +302,8 @@ SQL["regression_metrics"] = """WITH r AS (SELECT l_returnflag, l_extendedprice A
         round(sum(w * (sign(p) = sign(t))::INTEGER) / sum(w), 6) AS sign_accuracy FROM r JOIN m USING (l_returnflag) GROUP BY l_returnflag"""
 SQL["multiclass_metrics"] = """WITH r AS (SELECT event_type, event_id % 3 AS y, 0.2::DOUBLE + event_id % 5 * 0.1::DOUBLE AS p0, 0.25::DOUBLE AS p1, 0.55::DOUBLE - event_id % 5 * 0.1::DOUBLE AS p2, 1 + event_id % 2 AS w FROM events)
     SELECT event_type, count(*) AS n, round(sum(-ln(greatest([p0, p1, p2][y + 1], 1e-15)) * w) / sum(w), 6) AS log_loss,
-        round(sum((pow(p0 - (y = 0)::INTEGER, 2) + pow(p1 - (y = 1)::INTEGER, 2) + pow(p2 - (y = 2)::INTEGER, 2)) * w) / sum(w), 6) AS brier FROM r WHERE p2 > 0 GROUP BY event_type"""
-SQL["champion_means"] = """WITH r AS (SELECT user_id, value FROM events WHERE event_id % 7 = 0) SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(value) ELSE (SELECT avg(value) FROM r) END, 6) AS mean FROM r GROUP BY user_id"""
+        round(sum((pow(p0 - (y = 0)::INTEGER, 2) + pow(p1 - (y = 1)::INTEGER, 2) + pow(p2 - (y = 2)::INTEGER, 2)) * w) / sum(w), 6) AS brier FROM r GROUP BY event_type"""
+SQL["champion_means"] = """WITH r AS (SELECT user_id, value FROM events) SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(value) ELSE (SELECT avg(value) FROM r) END, 6) AS mean FROM r GROUP BY user_id"""
 SQL["status_catalog"] = "WITH l AS (SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY user_id) SELECT event_type, count(*) AS n FROM l GROUP BY event_type"
 SQL["dedup_antijoin"] = "SELECT c_custkey AS o_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE orders.o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
 SQL["keep_first_dedup"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS price FROM lineitem

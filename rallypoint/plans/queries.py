@@ -25,7 +25,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return opponents.observations(tables(spark, sf_dir))
+    """Observations, staged once for all queries on the same tables."""
+    t = tables(spark, sf_dir)
+    return t.once("observations", lambda: opponents.observations(t))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -64,7 +66,7 @@ def formula_contract(spark, sf_dir):
 @query
 def reconciliation_checks(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return quality.reconciliation(t).union(aggregates.reverse_pair_check(opponents.matchups(opponents.observations(t)), TARGET))
+    return quality.reconciliation(t).union(aggregates.reverse_pair_check(opponents.matchups(observed(spark, sf_dir)), TARGET))
 
 
 @query
@@ -109,7 +111,7 @@ def matchup_leave_one_out(spark, sf_dir):
 
 @query
 def synergy_leave_one_out(spark, sf_dir):
-    rows = stage(observed(spark, sf_dir), "observations")
+    rows = observed(spark, sf_dir)
     return aggregates.synergy_leave_one_out(opponents.synergies(rows), rows, TARGET)
 
 
@@ -119,13 +121,14 @@ def role_share(spark, sf_dir):
 
 
 def predictions(spark, sf_dir):
-    rows = stage(observed(spark, sf_dir), "observations")
-    return stage(policies.predictions(rows, TARGET), "predictions")
+    rows = observed(spark, sf_dir)
+    return tables(spark, sf_dir).once("predictions", lambda: policies.predictions(rows, TARGET))
 
 
 def split(spark, sf_dir):
     """Drafts before the target patch, and those of it."""
-    drafts_ = stage(drafts.corpus(observed(spark, sf_dir)), "drafts")
+    rows = observed(spark, sf_dir)
+    drafts_ = tables(spark, sf_dir).once("drafts", lambda: drafts.corpus(rows))
     return drafts_.where(F.col("public_patch") != TARGET), drafts_.where(F.col("public_patch") == TARGET)
 
 
@@ -330,7 +333,7 @@ def regression_metrics(spark, sf_dir):
 def multiclass_metrics(spark, sf_dir):
     k = F.col("event_id")
     rows = series_lens.history(spark, sf_dir).select("event_type", (k % 3).cast("int").alias("y"), (0.2 + k % 5 * 0.1).alias("p0"), F.lit(0.25).alias("p1"), (0.55 - k % 5 * 0.1).alias("p2"), (1 + k % 2).cast("double").alias("w"))
-    return rounded(audits.multiclass_metrics(rows.where("p2 > 0"), "y", ["p0", "p1", "p2"], "w", "event_type"))
+    return rounded(audits.multiclass_metrics(rows, "y", ["p0", "p1", "p2"], "w", "event_type"))
 
 
 @query

@@ -6,7 +6,8 @@ the kind is the seat. Two consecutive seats of all five roles make a match.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 
 from rallypoint.functions.formulas import POSITIONS
 from rallypoint.functions.identity import pseudonym
+from rallypoint.sources.stages import stage
 
 #: Event kinds in the order of the positions they stand for.
 KINDS = ("signup", "view", "click", "purchase", "error")
@@ -22,18 +24,41 @@ NAMESPACE = "lens"
 
 @dataclass
 class Tables:
-    """matches, participants and teams; keys match_id, (match_id, participant_id), (match_id, team_id)."""
+    """matches, participants and teams; keys match_id, (match_id, participant_id), (match_id, team_id).
+
+    staged holds stage tables that were made of these.
+    """
 
     matches: DataFrame
     participants: DataFrame
     teams: DataFrame
+    staged: dict[str, DataFrame] = field(default_factory=dict)
+
+    def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if label not in self.staged:
+            self.staged[label] = stage(make(), label)
+        return self.staged[label]
+
+
+def places(events: DataFrame) -> DataFrame:
+    """Adds place: an event's number among those of its kind in time.
+
+    Ranks within a kind's hour, plus how many of its events lie before that hour,
+    so that no task sees all events of a kind; only counts by hour meet in one window.
+    """
+    rows = events.withColumn("hour", F.date_trunc("hour", "ts"))
+    counts = rows.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("event_type").orderBy("hour")) - F.col("n")
+    offsets = counts.select(F.col("event_type").alias("of"), F.col("hour").alias("at"), before.alias("before"))
+    within = F.row_number().over(W.partitionBy("event_type", "hour").orderBy("ts", "event_id")) - 1
+    rows = rows.withColumn("within", within).join(offsets, (F.col("event_type") == F.col("of")) & F.col("hour").eqNullSafe(F.col("at")))
+    return rows.withColumn("place", (F.col("within") + F.col("before")).cast("int")).drop("hour", "of", "at", "within", "before")
 
 
 def seats(events: DataFrame) -> DataFrame:
     """One row per event with its match, team and derived counts."""
     role = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i + 1)))), F.col("event_type"))
-    place = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    e = events.select("event_id", "ts", "user_id", role.alias("role_no"), place.alias("place"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("gold"))
+    e = places(events).select("event_id", "ts", "user_id", role.alias("role_no"), "place", F.get_json_object("props", "$.k").cast("int").alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("gold"))
     side = F.col("place") % 2
     name = lambda n: F.element_at(F.array(*map(F.lit, POSITIONS)), n)
     own = name(F.col("role_no").cast("int"))
@@ -60,8 +85,23 @@ def seats(events: DataFrame) -> DataFrame:
     )
 
 
+#: Staged tables by application and by the input's files as they were.
+_STAGED: dict[tuple, Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    placed = seats(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The match tables of a folder's events, derived once a session and input, and read back from stage tables."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = events.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, *sorted(tuple(r) for r in files.collect()))
+    if key not in _STAGED:
+        made = derived(events)
+        _STAGED[key] = Tables(*(stage(df, f"lens-{name}") for name, df in (("matches", made.matches), ("participants", made.participants), ("teams", made.teams))))
+    return _STAGED[key]
+
+
+def derived(events: DataFrame) -> Tables:
+    placed = stage(seats(events), "lens-seats")
     day = F.dayofmonth("game_creation")
     matches = placed.groupBy("match_id", "match_no").agg(F.min("ts").alias("game_creation")).select(
         "match_id",
