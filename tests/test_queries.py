@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from rallypoint.plans.oracles import SQL
-from rallypoint.plans.queries import QUERIES
+from rallypoint.plans import further, oracles, queries
 from tests.compare import same_rows
 
+QUERIES, SQL = {**queries.QUERIES, **further.QUERIES}, {**oracles.SQL, **further.SQL}
+
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, small, name):
