@@ -26,10 +26,24 @@ def plain(word):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="abetinghd1é中😀", min_size=1, max_size=14), min_size=1, max_size=20))
 def test_trie_equals_single_words(found):
-    known = t.Vocabulary.__new__(t.Vocabulary)
-    known.__dict__ = {**t.vocabulary(PATH).__dict__, "known": {}}
-    counts = t.word_counts([x.encode() for x in found], known)
-    assert counts.tolist() == [plain(t.MARK + x) for x in found]
+    trie = t.PrefixTrie(t.vocabulary(PATH))
+    in_order = sorted(set(found))
+    assert [trie.insert(t.MARK + x) for x in in_order] == [plain(t.MARK + x) for x in in_order]
+
+
+def test_terminal_counts_are_stored_once_a_word(spark):
+    texts = ["the internet and the international internals", "inter internal the", None, "", "internation international"]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)
+    got = {r.h: (r.pieces, r.n) for r in t.word_pieces(docs, PATH, words_per_task=4).collect()}
+    every = [w for x in texts for w in words(x)]
+    assert got == {int(t._hashes([w.encode()], 1)[0]): (plain(t.MARK + w), every.count(w)) for w in every}
+
+
+def test_known_or_joined_words_count_alike(spark):
+    docs = odd_documents(spark)
+    want = sorted(map(tuple, t.count_tokens(docs).collect()), key=str)
+    for share in (1, 100):
+        assert sorted(map(tuple, t.count_tokens(docs, known_share=share, words_per_task=100).collect()), key=str) == want
 
 
 def test_shared_prefixes_are_scored_once():
@@ -43,7 +57,7 @@ def test_query(spark, small):
     docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = QUERIES["op9_trie_counts"](spark, small).collect()
     memo = {}
-    for r in rows[::5]:
+    for r in rows:
         w = docs[r["doc_id"]]
         for x in set(w) - set(memo):
             memo[x] = plain(t.MARK + x)
