@@ -8,26 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rallypoint.sources.stages import stage
+
+
+def values_below(rows: DataFrame, value: str, *key: str) -> DataFrame:
+    """key, value, cell_n, below: each distinct value, its rows, and the key's rows with lower values.
+
+    Values are dealt out by ranges; ranges are summed within themselves, and only
+    the ranges' totals of a key meet in one window.
+    """
+    cells = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("cell_n"))
+    parts = stage(cells.repartitionByRange(*key, value).withColumn("range_no", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy(*key, "range_no").agg(F.sum("cell_n").alias("range_n"))
+    before = F.sum("range_n").over(W.partitionBy(*key).orderBy("range_no")) - F.col("range_n")
+    totals = totals.select(*(F.col(k).alias(f"total_{k}") for k in key), F.col("range_no").alias("total_no"), before.alias("before"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"total_{k}")) for k in key), F.col("range_no") == F.col("total_no"))
+    within = F.sum("cell_n").over(W.partitionBy(*key, "range_no").orderBy(value)) - F.col("cell_n")
+    return parts.withColumn("within", within).join(totals, same).select(*key, value, "cell_n", (F.col("before") + F.col("within")).alias("below"))
+
 
 def distribution(rows: DataFrame, value: str, *key: str) -> DataFrame:
-    """Counts, mean, population deviation and exact quartiles of a value per key."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    found = rows.groupBy(*key).agg(
-        F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
-        F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most"),
+    """Counts, mean, population deviation and exact quartiles of a value per key; nothing of a key meets in one task but sums."""
+    whole = rows.groupBy(*key).agg(
+        F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most")
     )
-    return found.select(*key, "n", "missing", "mean", "deviation", "least", *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("p25", "median", "p75"))), "most")
+    named = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    of = whole.select(*(F.col(k).alias(f"of_{k}") for k in key), F.col("n").alias("of_n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key))
+    cells = values_below(rows.where(F.col(value).isNotNull()), value, *key).join(of, same)
+    place = lambda q: (F.col("of_n") - 1) * q
+    at = lambda i: F.max(F.when(F.col("below") <= i, F.col(value)))
+    ends = [x for name, q in named.items() for x in (at(F.floor(place(q))).alias(f"{name}_low"), at(F.ceil(place(q))).alias(f"{name}_high"), F.first(place(q) - F.floor(place(q))).alias(f"{name}_part"))]
+    found = cells.groupBy(*(F.col(k).alias(f"of_{k}") for k in key)).agg(*ends)
+    mixed = [((1 - F.col(f"{n}_part")) * F.col(f"{n}_low") + F.col(f"{n}_part") * F.col(f"{n}_high")).alias(n) for n in named]
+    return whole.join(found, same, "left").select(*key, "n", "missing", "mean", "deviation", "least", *mixed, "most")
 
 
 def correlations(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Pearson and Spearman per key; null where a side doesn't vary."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def rank(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(W.partitionBy(key, c))
-        return F.rank().over(W.partitionBy(key).orderBy(c)) + (ties - 1) / 2
-
-    ranked = both.withColumn("rx", rank(x)).withColumn("ry", rank(y))
+    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for c, name in ((x, "rx"), (y, "ry")):
+        cells = values_below(ranked, c, key).select(F.col(key).alias(f"{name}_key"), F.col(c).alias(f"{name}_at"), (F.col("below") + (F.col("cell_n") + 1) / 2).alias(name))
+        ranked = ranked.join(cells, F.col(key).eqNullSafe(F.col(f"{name}_key")) & (F.col(c) == F.col(f"{name}_at")))
     varies = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
     return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr(x, y)).alias("pearson"), F.when(varies, F.corr("rx", "ry")).alias("spearman"))
 
@@ -72,8 +94,9 @@ def regression_metrics(rows: DataFrame, target: str, predicted: str, weight: str
     """Weighted MAE, RMSE, R2 (null without variance) and sign accuracy, from sums alone."""
     t, p, w = F.col(target).cast("double"), F.col(predicted).cast("double"), F.col(weight).cast("double")
     e = p - t
-    center = F.avg(t).over(W.partitionBy(*key))
-    rows = rows.withColumn("shifted", t - center)
+    centers = rows.groupBy(*(F.col(k).alias(f"of_{k}") for k in key)).agg(F.avg(t).alias("center"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key))
+    rows = rows.join(centers, same).withColumn("shifted", t - F.col("center"))
     s = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.sum(w).alias("weight_sum"), F.sum(w * F.abs(e)).alias("a"), F.sum(w * e * e).alias("e2"), F.sum(w * F.col("shifted")).alias("s1"),
         F.sum(w * F.col("shifted") * F.col("shifted")).alias("s2"), F.sum(w * (F.signum(p) == F.signum(t)).cast("int")).alias("right"),
@@ -94,8 +117,8 @@ def means_or_overall(rows: DataFrame, key: str, value: str, weight: str, minimum
     """The weighted mean per key, or the overall one where a key has too few rows."""
     v, w = F.col(value) * F.col(weight), F.col(weight)
     cells = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("v"), F.sum(w).alias("w"))
-    overall = rows.agg((F.sum(v) / F.sum(w)).alias("overall_mean"))
-    return cells.crossJoin(F.broadcast(overall)).select(key, "n", F.when(F.col("n") >= minimum, F.col("v") / F.col("w")).otherwise(F.col("overall_mean")).alias("mean"))
+    overall = rows.agg(F.sum(v) / F.sum(w)).scalar()
+    return cells.select(key, "n", F.when(F.col("n") >= minimum, F.col("v") / F.col("w")).otherwise(overall).alias("mean"))
 
 
 def survivors(rows: DataFrame, key: str, endpoint: str, value: str) -> DataFrame:

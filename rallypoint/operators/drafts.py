@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from rallypoint.functions.formulas import POSITIONS
 from rallypoint.functions.identity import hash_order
+from rallypoint.operators.series import numbered_by_digest
 
 SLOTS = [f"{side}_{role.lower()}" for side in ("blue", "red") for role in POSITIONS]
 
@@ -93,14 +94,14 @@ def rate_baseline(drafts: DataFrame, rates: DataFrame, fallback: Column, clip: b
 def hash_folds(drafts: DataFrame, folds: int, seed: int, scope: str) -> DataFrame:
     """match_id, stratum, fold: strata of platform and outcome dealt out in hash order."""
     digest = F.sha2(F.concat_ws("|", F.lit(scope), F.lit(str(seed)), "platform", "match_id"), 256)
-    order = W.partitionBy("platform", "outcome").orderBy(digest, "match_id")
-    return drafts.select("match_id", "platform", "outcome", ((F.row_number().over(order) - 1) % folds).alias("fold"))
+    rows = numbered_by_digest(drafts.select("match_id", "platform", "outcome"), ["platform", "outcome"], digest, "match_id")
+    return rows.select("match_id", "platform", "outcome", (F.col("nth") % folds).cast("int").alias("fold"))
 
 
 def learning_curve(drafts: DataFrame, fractions: tuple[float, ...], seed: int) -> DataFrame:
     """match_id, fraction: the first ceil(f n) matches, two at least, in hash order per platform."""
-    over = W.partitionBy("platform")
-    rows = drafts.select("match_id", "platform", F.row_number().over(over.orderBy(hash_order(seed, F.col("match_id")), "match_id")).alias("nth"), F.count(F.lit(1)).over(over).alias("n"))
+    rows = numbered_by_digest(drafts.select("match_id", "platform"), ["platform"], hash_order(seed, F.col("match_id")), "match_id")
+    rows = rows.select("match_id", "platform", (F.col("nth") + 1).cast("int").alias("nth"), F.col("total").alias("n"))
     wanted = rows.select("*", F.explode(F.array(*map(F.lit, fractions))).alias("fraction"))
     return wanted.where(F.col("nth") <= F.greatest(F.lit(2), F.ceil(F.col("fraction") * F.col("n")))).groupBy("platform", "fraction").agg(F.count(F.lit(1)).alias("matches"), F.max("nth").alias("last"))
 
@@ -127,8 +128,8 @@ def time_folds(rows: DataFrame, created: str, starts: list[str], days: int) -> D
 def counterfactuals(drafts: DataFrame, slot: str, champions: DataFrame) -> DataFrame:
     """Each draft with one slot replaced by every champion, and a hash of the nine that stay."""
     rest = F.sha2(F.concat_ws("|", *(F.concat_ws("=", F.lit(s), s) for s in SLOTS if s != slot)), 256)
-    wanted = champions.select("candidate").distinct().agg(F.array_sort(F.collect_list("candidate")).alias("candidates"), F.lit(1).alias("one"))
-    grid = drafts.withColumn("all", F.lit(1)).join(wanted, F.col("all") == F.col("one")).withColumn("candidate", F.explode("candidates"))
+    wanted = champions.select("candidate").distinct().agg(F.array_sort(F.collect_list("candidate")))
+    grid = drafts.withColumn("candidates", wanted.scalar()).withColumn("candidate", F.explode("candidates"))
     return grid.select(*(F.col("candidate").alias(c) if c == slot else F.col(c) for c in drafts.columns), rest.alias("unchanged"), F.col(slot).alias("original"))
 
 

@@ -57,9 +57,10 @@ def predictions(observed: DataFrame, target: str, prior: float = PRIOR_GAMES) ->
     role = _counts(train, ["champion_id", "position"], "role")
     match = _counts(matched, ["champion_id", "position", "opponent_champion_id"], "match")
     ally = _counts(pairs, ["focal", "focal_position", "other", "other_position"], "ally")
-    whole = by_age(train.withColumn("one", F.lit(1)), "one").select(F.col("games_by_age").alias("all_g"), F.col("wins_by_age").alias("all_w"), F.col("one").alias("all_one"))
-    ev = rows.where(F.col("age") < MAX_AGE).withColumn("eligible", eligible).withColumn("one", F.lit(1))
-    ev = ev.join(whole, F.col("one") == F.col("all_one"), "left").join(role, _on(["champion_id", "position"], "role", ["champion_id", "position"]), "left")
+    # All games by age, one row and none without training rows, as a subquery.
+    whole = by_age(train).where(F.exists("games_by_age", lambda n: n > 0)).select(F.struct(F.col("games_by_age").alias("g"), F.col("wins_by_age").alias("w")))
+    ev = rows.where(F.col("age") < MAX_AGE).withColumn("eligible", eligible).withColumn("all", whole.scalar())
+    ev = ev.withColumns({"all_g": F.col("all.g"), "all_w": F.col("all.w")}).drop("all").join(role, _on(["champion_id", "position"], "role", ["champion_id", "position"]), "left")
     ev = ev.join(match, _on(["champion_id", "position", "opponent_champion_id"], "match", ["champion_id", "position", "opponent_champion_id"]), "left")
     n = lambda name: (_before(f"{name}_g"), _before(f"{name}_w"))
     (ag, aw), (rg, rw), (mg, mw) = n("all"), n("role"), n("match")

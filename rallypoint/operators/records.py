@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rallypoint.functions.identity import hash_order
+from rallypoint.operators.series import numbered_by_digest
 
 
 def keep_one(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -47,8 +48,8 @@ def even_allocation(strata: DataFrame, key: str, target: int) -> DataFrame:
 
 def balanced_schedule(candidates: DataFrame, stratum: str, candidate: str, seed: int) -> DataFrame:
     """stratum, candidate, turn: each stratum in hash order; turns interleave the strata."""
-    order = W.partitionBy(stratum).orderBy(hash_order(seed, F.col(candidate)), candidate)
-    return candidates.select(stratum, candidate, (F.row_number().over(order) - 1).alias("turn"))
+    rows = numbered_by_digest(candidates.select(stratum, candidate), [stratum], hash_order(seed, F.col(candidate)), candidate)
+    return rows.select(stratum, candidate, F.col("nth").cast("int").alias("turn"))
 
 
 def attach_rank(participants: DataFrame, observed: DataFrame, player: str, rank: str) -> DataFrame:

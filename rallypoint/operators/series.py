@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -99,6 +101,21 @@ def ordered_index(rows: DataFrame, at: str, *ties: str, unit: str = "hour") -> D
     return rows.withColumn("within", nth).join(offsets, F.col("unit").eqNullSafe(F.col("of"))).withColumn("nth", F.col("within") + F.col("before")).drop("unit", "of", "within", "before")
 
 
+def numbered_by_digest(rows: DataFrame, stratum: list[str], digest: Column, *ties: str) -> DataFrame:
+    """Adds nth (from 0) in the order of a hex digest within each stratum, and the stratum's total.
+
+    Ranks within 4096 ranges of the digest, plus the ranges before: no task sees a stratum whole.
+    """
+    rows = rows.withColumn("digest", digest).withColumn("part", F.substring("digest", 1, 3))
+    counts = rows.groupBy(*stratum, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy(*stratum).orderBy("part")) - F.col("n")
+    offsets = counts.select(*(F.col(s).alias(f"of_{s}") for s in stratum), F.col("part").alias("of_part"), before.alias("before"), F.sum("n").over(W.partitionBy(*stratum)).alias("total"))
+    same = reduce(lambda a, b: a & b, (F.col(s).eqNullSafe(F.col(f"of_{s}")) for s in stratum), F.col("part") == F.col("of_part"))
+    within = F.row_number().over(W.partitionBy(*stratum, "part").orderBy("digest", *ties)) - 1
+    out = rows.withColumn("within", within).join(offsets, same).withColumn("nth", F.col("within") + F.col("before"))
+    return out.drop("digest", "part", "of_part", "before", "within", *(f"of_{s}" for s in stratum))
+
+
 def blocks(rows: DataFrame, at: str, *ties: str, n: int = 5) -> DataFrame:
     """Adds block: block b holds the rows numbered [b * total // n, (b + 1) * total // n)."""
     return ordered_index(rows, at, *ties).withColumn("block", F.floor((n * (F.col("nth") + 1) - 1) / F.col("total")))
