@@ -47,7 +47,9 @@ def age(patch: Column, target: Column) -> Column:
 
 
 def at_age(target: Column, years: Column) -> Column:
-    return F.concat_ws(".", major(target), minor(target) - years)
+    """The patch so many minors behind the target; a minor below zero is an error."""
+    behind = minor(target) - years
+    return F.when(behind < 0, F.raise_error(F.lit("no patch so far behind"))).otherwise(F.concat_ws(".", major(target), behind))
 
 
 def window(target: Column, size: int) -> Column:

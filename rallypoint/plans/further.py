@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallypoint.operators import aggregates, checks, lineage, opponents, quality, timelines
+from rallypoint.functions import formulas, patches
+from rallypoint.operators import aggregates, audits, checks, lineage, opponents, quality, timelines
 from rallypoint.plans.oracles import CONTEXT, LENS, OBSERVED, PAIR
 from rallypoint.plans.oracles import SQL as KNOWN
 from rallypoint.plans.queries import TARGET, observed, rounded, split
-from rallypoint.sources import series_lens, timeline_lens
+from rallypoint.sources import records, series_lens, timeline_lens
 from rallypoint.sources.lens import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +267,80 @@ def vocabulary_sides(spark, sf_dir):
     train, test = split(spark, sf_dir)
     rows = train.unionByName(test)
     return lineage.vocabulary_sides(rows.select(F.col("blue_top").alias("champion")), rows.select(F.col("red_top").alias("champion")), "champion")
+
+
+@query(f"""WITH {LENS}, p AS (SELECT DISTINCT public_patch AS patch, split_part(public_patch, '.', 2)::INTEGER AS m FROM matches)
+SELECT patch, array_to_string(list_transform(range(m, greatest(0, m - 3), -1), lambda x: '26.' || x), ',') AS newest, '26.' || (m - 3) AS three_behind, rank() OVER (ORDER BY m) AS nth FROM p""")
+def patch_windows(spark, sf_dir):
+    """The newest three patches up to each, the one three behind, and the patches' order by number."""
+    rows = tables(spark, sf_dir).matches.select(F.col("public_patch").alias("patch")).distinct()
+    ordered = rows.agg(F.array_sort(F.collect_list(F.struct(patches.order(F.col("patch")).alias("o"), "patch"))).alias("all")).select(F.posexplode("all").alias("i", "x"))
+    p = F.col("x.patch")
+    return ordered.select(p.alias("patch"), F.array_join(patches.window(p, 3), ",").alias("newest"), patches.at_age(p, F.lit(3)).alias("three_behind"), (F.col("i") + 1).alias("nth"))
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT CASE WHEN n < 5 THEN '0-4' WHEN n < 20 THEN '5-19' WHEN n < 50 THEN '20-49' ELSE '50+' END AS tier, count(*) AS users, sum(n)::BIGINT AS rows FROM c GROUP BY 1""")
+def support_tiers(spark, sf_dir):
+    cells = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(formulas.support_tier(F.col("n")).alias("tier")).agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("rows"))
+
+
+@query("""WITH r AS (SELECT event_id, ['  mid ', 'Bot', 'SUPPORT', '', ' ', 'top', 'jungle', 'Other thing', NULL][event_id % 9 + 1] AS raw FROM events), u AS (SELECT event_id, upper(trim(raw)) AS x FROM r)
+SELECT event_id, CASE x WHEN 'MID' THEN 'MIDDLE' WHEN 'BOT' THEN 'BOTTOM' WHEN 'SUPPORT' THEN 'UTILITY' WHEN '' THEN NULL ELSE x END AS position FROM u""")
+def position_aliases(spark, sf_dir):
+    names = F.array(*map(F.lit, ("  mid ", "Bot", "SUPPORT", "", " ", "top", "jungle", "Other thing")), F.lit(None).cast("string"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get(names, (F.col("event_id") % 9).cast("int")).alias("raw"))
+    return rows.select("event_id", formulas.normalize_position(F.col("raw")).alias("position"))
+
+
+@query("""SELECT p_partkey, regexp_replace(p_brand || '/' || p_type || ' ' || p_partkey, '[^A-Za-z0-9_.-]', '_', 'g') AS segment FROM part""")
+def safe_segments(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", formulas.safe_segment(F.concat("p_brand", F.lit("/"), "p_type", F.lit(" "), F.col("p_partkey").cast("string"))).alias("segment"))
+
+
+@query("""WITH f AS (SELECT p_brand AS feature, avg(l_discount) - 0.05 AS c, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)
+SELECT feature, round(c, 9) AS coefficient, n AS support FROM f WHERE n >= 100 ORDER BY abs(round(c, 9)) DESC, feature LIMIT 10""")
+def top_coefficients(spark, sf_dir):
+    lines, parts = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
+    by_brand = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("feature")).agg(F.round(F.avg("l_discount") - 0.05, 9).alias("coefficient"), F.count(F.lit(1)).alias("support"))
+    return audits.top_coefficients(by_brand, 10, 100)
+
+
+@query("""WITH b AS (SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_linenumber % 4 END AS turn, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE (l_partkey % 170)::INTEGER END AS champion FROM lineitem)
+SELECT l_orderkey, string_agg(coalesce(turn::VARCHAR, '-') || ':' || coalesce(champion::VARCHAR, '-'), ',' ORDER BY coalesce(turn, 10000), coalesce(champion, -1)) AS bans FROM b GROUP BY l_orderkey""")
+def sorted_bans(spark, sf_dir):
+    line = (F.col("l_linenumber") % 4).cast("int")
+    ban = F.struct(F.when(F.col("l_partkey") % 10 != 0, (F.col("l_partkey") % 170).cast("int")).alias("championId"), F.when(line != 0, line).alias("pickTurn"))
+    per = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(ban).alias("b"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    return per.select("l_orderkey", F.array_join(F.transform(records.sorted_bans(F.col("b")), lambda x: F.concat(text(x["pickTurn"]), F.lit(":"), text(x["championId"]))), ",").alias("bans"))
+
+
+@query("""SELECT n_regionkey AS style, n_nationkey AS keystone, n_name AS name FROM nation""")
+def keystones(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    trees = nation.groupBy(F.col("n_regionkey").alias("id")).agg(F.array(F.struct(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("runes"))).alias("slots"))
+    return records.keystones(trees)
+
+
+@query("""WITH r AS (SELECT event_id, user_id % 7 AS style, event_id % 40 AS a, event_id % 25 AS b, event_id % 5 AS k FROM events), n AS (SELECT n_regionkey AS style, list(n_nationkey) AS ids FROM nation GROUP BY 1),
+m AS (SELECT r.*, n.style AS known, len(list_intersect(list_distinct([a, b]), ids)) AS met, list_intersect([a, b], ids) AS got FROM r LEFT JOIN n USING (style))
+SELECT event_id, CASE WHEN k = 0 THEN 'perks_missing' WHEN k = 1 THEN 'primary_style_missing' WHEN k = 2 THEN 'primary_style_ambiguous' WHEN known IS NULL THEN 'primary_style_unknown'
+    WHEN met = 0 THEN 'keystone_unmatched' WHEN met > 1 THEN 'keystone_ambiguous' ELSE 'mapped' END AS keystone_status,
+    CASE WHEN k > 2 AND known IS NOT NULL AND met = 1 THEN got[1]::INTEGER END AS keystone_id FROM m""")
+def keystone_mapping(spark, sf_dir):
+    """Perks of every event: no perks, no primary style, two of them, or one whose selections meet a region's nations."""
+    k, n = (F.col("event_id") % 5).cast("int"), lambda c, m: (F.col(c) % m).cast("int")
+    style = lambda name: F.struct(F.lit(name).alias("description"), n("user_id", 7).alias("style"), F.array(F.struct(n("event_id", 40).alias("perk")), F.struct(n("event_id", 25).alias("perk"))).alias("selections"))
+    primary, sub = style(" PrimaryStyle "), style("subStyle")
+    perks = F.when(k != 0, F.struct(F.when(k == 1, F.array(sub)).when(k == 2, F.array(primary, primary)).otherwise(F.array(sub, primary)).alias("styles")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", perks.alias("perks"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("style"), F.col("n_nationkey").cast("int").alias("keystone"))
+    return records.map_keystone(rows, "perks", nation).select("event_id", "keystone_status", "keystone_id")
+
+
+@query("""WITH s AS (SELECT event_type AS component, value FROM events) SELECT component, count(*) AS n_files, sum(round(value * 100)::BIGINT)::BIGINT AS size, ceil(sum(round(value * 100)::BIGINT) * (10000 / 500.0 * 1.1))::BIGINT AS projected FROM s GROUP BY component""")
+def storage_projection(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("size"))
+    return records.storage_projection(rows, F.col("event_type"), 500)
