@@ -126,8 +126,9 @@ def cluster_bootstrap(losses: DataFrame, key: str, cluster: str, stratum: str, v
     """key, estimate, low, high: percentile interval of the mean loss, clusters redrawn within strata.
 
     Each replicate draws a cluster's weight from a Poisson law by a hash of
-    (seed, replicate, cluster), so means are plain sums, no task holds all
-    clusters, and a rerun draws alike.
+    (seed, replicate, stratum, cluster), so means are plain sums, no task holds all
+    clusters, all keys draw alike, and so does a rerun. Give differences of paired
+    losses for a paired bootstrap of groups.
     """
     names = F.col(key).alias("b_key"), F.col(stratum).alias("b_stratum"), F.col(cluster).alias("b_cluster")
     by_cluster = losses.groupBy(*names).agg(F.sum(value).alias("loss_sum"), F.count(value).alias("loss_n"))
@@ -140,16 +141,22 @@ def cluster_bootstrap(losses: DataFrame, key: str, cluster: str, stratum: str, v
 
 
 def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw decided by a hash: the bootstrap's count of one unit."""
-    u = F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
-    out, upto, term = F.lit(8), 0.0, math.exp(-1)
-    steps = []
-    for k in range(8):
+    """A Poisson(1) draw decided by a digest: the bootstrap's count of one unit."""
+    digest = F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+    out = F.lit(8)
+    for k, edge in reversed(list(enumerate(poisson_edges()))):
+        out = F.when(u < edge, k).otherwise(out)
+    return out
+
+
+def poisson_edges(most: int = 8) -> list[float]:
+    """P(X <= k) of a Poisson(1) law for k below `most`."""
+    upto, term, out = 0.0, math.exp(-1), []
+    for k in range(most):
         upto += term
-        steps.append((upto, k))
+        out.append(upto)
         term /= k + 1
-    for edge, k in reversed(steps):
-        out = F.when(u < edge, k).otherwise(out)
     return out
 
 

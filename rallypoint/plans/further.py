@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallypoint.functions import formulas, patches
-from rallypoint.operators import aggregates, audits, checks, lineage, opponents, quality, timelines
+from rallypoint.operators import aggregates, audits, checks, lineage, models, opponents, quality, timelines
 from rallypoint.plans.oracles import CONTEXT, LENS, OBSERVED, PAIR
 from rallypoint.plans.oracles import SQL as KNOWN
-from rallypoint.plans.queries import TARGET, observed, rounded, split
+from rallypoint.plans.queries import TARGET, observed, predictions, rounded, split
 from rallypoint.sources import records, series_lens, timeline_lens
 from rallypoint.sources.lens import tables
 
@@ -344,3 +344,30 @@ def keystone_mapping(spark, sf_dir):
 def storage_projection(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("size"))
     return records.storage_projection(rows, F.col("event_type"), 500)
+
+
+def _bootstrap(rows: str, seed: int, replicates: int) -> str:
+    """SQL over rows (policy, match_id, v): clusters are matches, strata their platforms."""
+    edges = " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(models.poisson_edges()))
+    return f"""WITH p AS ({KNOWN["policy_predictions"]}), v AS ({rows}), c AS (
+    SELECT policy, match_id, CASE WHEN substr(match_id, 2)::BIGINT % 2 = 0 THEN 'eun1' ELSE 'euw1' END AS platform, sum(v) AS s, count(v) AS n FROM v GROUP BY policy, match_id
+), d AS (
+    SELECT match_id, r, CASE {edges} ELSE 8 END AS w FROM (
+        SELECT match_id, r, ('0x' || substr(sha256('{seed}|' || r || '|' || platform || '|' || match_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT match_id, platform FROM c), range(1, {replicates + 1}) t(r)
+    )
+), m AS (SELECT policy, r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM c JOIN d USING (match_id) GROUP BY policy, r),
+e AS (SELECT policy, sum(s) / sum(n) AS estimate FROM c GROUP BY policy)
+SELECT policy, round(estimate, 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN e USING (policy) GROUP BY policy, estimate"""
+
+
+SQL["cluster_bootstrap"] = _bootstrap("SELECT policy, match_id, pow(probability - outcome, 2) AS v FROM p WHERE probability IS NOT NULL", 33, 200)
+
+
+@query(_bootstrap("""SELECT a.policy, match_id, pow(a.probability - a.outcome, 2) - pow(b.probability - b.outcome, 2) AS v FROM p a JOIN p b USING (match_id, participant_id)
+    WHERE b.policy = 'naive_empirical' AND a.policy <> 'naive_empirical' AND a.probability IS NOT NULL AND b.probability IS NOT NULL""", 35, 200))
+def group_bootstrap(spark, sf_dir):
+    """Intervals of each policy's squared error less the naive one's, matches redrawn whole."""
+    p = predictions(spark, sf_dir).where("probability IS NOT NULL").withColumn("loss", F.pow(F.col("probability") - F.col("outcome"), 2))
+    base = p.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("participant_id").alias("i"), F.col("loss").alias("base"))
+    both = p.where("policy <> 'naive_empirical'").join(base, (F.col("match_id") == F.col("m")) & (F.col("participant_id") == F.col("i")))
+    return rounded(models.cluster_bootstrap(both.withColumn("difference", F.col("loss") - F.col("base")), "policy", "match_id", "platform", "difference", 200, 35))

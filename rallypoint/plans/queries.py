@@ -434,7 +434,7 @@ def paired_bootstrap(spark, sf_dir):
 @query
 def cluster_bootstrap(spark, sf_dir):
     p = predictions(spark, sf_dir).where("probability IS NOT NULL").withColumn("loss", F.pow(F.col("probability") - F.col("outcome"), 2))
-    return models.cluster_bootstrap(p, "policy", "match_id", "platform", "loss", 200, 33)
+    return rounded(models.cluster_bootstrap(p, "policy", "match_id", "platform", "loss", 200, 33))
 
 
 @query
