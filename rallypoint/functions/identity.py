@@ -14,7 +14,11 @@ def pseudonym(value: Column, namespace: str, prefix: str = "player_") -> Column:
 
 
 def set_fingerprint(value: Column, separator: str = "\n") -> Column:
-    """An aggregate: sha-256 over the distinct values in order."""
+    """An aggregate: sha-256 over the distinct values in order.
+
+    The digest is over one text of all values, so one task holds a group's values;
+    meant for ids of a patch or a fold, not for groups beyond some ten million.
+    """
     return F.sha2(F.array_join(F.sort_array(F.collect_set(value.cast("string"))), separator), 256)
 
 

@@ -81,6 +81,15 @@ def cumulative_windows(rows: DataFrame, target: str, max_age: int = MAX_AGE) ->
     return dense.select(*PAIR, "oldest_age", observed.alias("observed_patches"), *statistics(upto("games_by_age"), upto("wins_by_age")))
 
 
+def window_patches(rows: DataFrame, target: str, max_age: int = MAX_AGE) -> DataFrame:
+    """oldest_age, considered, missing_ages of each cumulative window: its patches, and the ages without any row."""
+    present = with_age(rows, target, max_age).agg(F.collect_set("age").alias("ages"))
+    each = present.select("ages", F.explode(F.sequence(F.lit(0), F.lit(max_age))).alias("oldest_age"))
+    ages = F.sequence(F.lit(0), F.col("oldest_age"))
+    text = lambda x: F.array_join(F.transform(x, lambda a: a.cast("string")), ",")
+    return each.select("oldest_age", F.array_join(F.transform(ages, lambda a: patches.at_age(F.lit(target), a)), ",").alias("considered"), text(F.array_except(ages, "ages")).alias("missing_ages"))
+
+
 def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 

@@ -371,3 +371,16 @@ def group_bootstrap(spark, sf_dir):
     base = p.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("participant_id").alias("i"), F.col("loss").alias("base"))
     both = p.where("policy <> 'naive_empirical'").join(base, (F.col("match_id") == F.col("m")) & (F.col("participant_id") == F.col("i")))
     return rounded(models.cluster_bootstrap(both.withColumn("difference", F.col("loss") - F.col("base")), "policy", "match_id", "platform", "difference", 200, 35))
+
+
+@query(f"""WITH p AS ({KNOWN["policy_predictions"]}) SELECT policy, coalesce(missing_reason, 'predicted') AS reason, count(*) AS n FROM p GROUP BY 1, 2""")
+def abstention_reasons(spark, sf_dir):
+    reason = F.coalesce("missing_reason", F.lit("predicted")).alias("reason")
+    return predictions(spark, sf_dir).groupBy("policy", reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {OBSERVED}, a AS (SELECT DISTINCT age FROM matchups), w AS (SELECT range AS oldest_age FROM range(0, 6))
+SELECT oldest_age, array_to_string(list_transform(range(0, oldest_age + 1), lambda x: '26.' || (15 - x)), ',') AS considered,
+    coalesce((SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT range AS m FROM range(0, 6)) t WHERE m <= oldest_age AND m NOT IN (SELECT age FROM a)), '') AS missing_ages FROM w""")
+def window_patches(spark, sf_dir):
+    return aggregates.window_patches(opponents.matchups(observed(spark, sf_dir)), TARGET)

@@ -29,11 +29,16 @@ def read_partitioned(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).option("basePath", path).json(path)
 
 
-def write_partitioned(rows: DataFrame, path: str) -> None:
-    """Rows under region/patch/queue folders; a null patch goes to `unresolved`."""
+def write_partitioned(rows: DataFrame, path: str, tasks_per_folder: int = 16, most_rows: int = 1_000_000) -> None:
+    """Rows under region/patch/queue folders; a null patch goes to `unresolved`.
+
+    A folder's rows are dealt to several tasks by their match, and no file holds
+    more than most_rows.
+    """
     patch = F.coalesce("patch", F.lit("unresolved"))
     out = rows.withColumns({"region": safe_segment(F.col("region")), "patch": safe_segment(patch)})
-    out.repartition("region", "patch", "queue").write.partitionBy("region", "patch", "queue").parquet(path)
+    deal = F.pmod(F.xxhash64("match_id"), F.lit(tasks_per_folder))
+    out.repartition("region", "patch", "queue", deal).write.option("maxRecordsPerFile", most_rows).partitionBy("region", "patch", "queue").parquet(path)
 
 
 def of_match(rows: DataFrame, match_id: str, region: str, patch: str, queue: int) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,7 @@ def publish(df: DataFrame, path: str, checks: DataFrame | None = None) -> bool:
     with failures.
     """
     spark = df.sparkSession
-    if checks is not None and (failed := checks.where("failures > 0").limit(20).collect()):
-        raise ValueError("checks failed: " + ", ".join(f"{r['check']} ({r['failures']})" for r in failed))
+    require(checks)
     if exists(spark, path):
         if fingerprint(spark.read.parquet(path)) != fingerprint(df):
             raise ValueError(f"{path} holds other rows")
@@ -50,11 +51,79 @@ def publish(df: DataFrame, path: str, checks: DataFrame | None = None) -> bool:
     return True
 
 
+def require(checks: DataFrame | None) -> None:
+    """Raises if the check table (check, failures) has failures."""
+    if checks is not None and (failed := checks.where("failures > 0").limit(20).collect()):
+        raise ValueError("checks failed: " + ", ".join(f"{r['check']} ({r['failures']})" for r in failed))
+
+
+_POINTER = "no bigint, name string, path string"
+
+
+def publish_version(df: DataFrame, base: str, name: str, checks: DataFrame | None = None) -> bool:
+    """Publishes df as the newest version of a replaceable stage; True if written, False if it holds the newest version's rows.
+
+    Failed checks, and a written copy that differs from df, leave the newest
+    version as it was: versions are folders of their own, and a row added to the
+    pointer table makes one the newest.
+    """
+    spark = df.sparkSession
+    require(checks)
+    known = versions(spark, base).collect()
+    newest = max(known, key=lambda r: r.no, default=None)
+    wanted = fingerprint(df)
+    if newest and fingerprint(spark.read.parquet(newest.path)) == wanted:
+        return False
+    path = f"{base}/versions/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if fingerprint(spark.read.parquet(path)) != wanted:
+        raise ValueError("the written rows are not those that were to be published")
+    _point(spark, base, newest.no + 1 if newest else 1, name, path)
+    return True
+
+
+def _point(spark: SparkSession, base: str, no: int, name: str, path: str) -> None:
+    spark.createDataFrame([(no, name, path)], _POINTER).coalesce(1).write.mode("append").parquet(f"{base}/pointer")
+
+
+def versions(spark: SparkSession, base: str) -> DataFrame:
+    """no, name, path of all published versions."""
+    return spark.read.schema(_POINTER).parquet(f"{base}/pointer") if exists(spark, f"{base}/pointer") else spark.createDataFrame([], _POINTER)
+
+
+def roll_back(spark: SparkSession, base: str) -> None:
+    """Makes the version before the newest one the newest again."""
+    known = sorted(versions(spark, base).collect(), key=lambda r: r.no)
+    if len(known) < 2:
+        raise ValueError("no version to go back to")
+    _point(spark, base, known[-1].no + 1, known[-2].name, known[-2].path)
+
+
+def snapshots(spark: SparkSession, base: str, which: str = "latest") -> DataFrame:
+    """The rows of the latest version, of the newest one with this name, or of all (`all`, with columns version and name)."""
+    known = sorted(versions(spark, base).collect(), key=lambda r: r.no)
+    if which == "all":
+        parts = [spark.read.parquet(r.path).withColumns({"version": F.lit(r.no), "version_name": F.lit(r.name)}) for r in known]
+        return reduce(DataFrame.unionByName, parts)
+    found = [r for r in known if which in ("latest", r.name)]
+    if not found:
+        raise ValueError(f"no version {which}")
+    return spark.read.parquet(found[-1].path)
+
+
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one JSON object of a file as one row; anything else is an error."""
+    found = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    if found.count() != 1:
+        raise ValueError(f"{path} is not one JSON object")
+    return found
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
     return True

@@ -97,3 +97,28 @@ def test_ingest_takes_each_key_once(spark, tmp_path):
     spark.createDataFrame([(2, "late"), (3, "c")], "id int, v string").write.mode("append").parquet(f"file://{src}")
     ingest.ingest_stream(spark, stream(), "id", out)
     assert {tuple(r) for r in spark.read.parquet(f"{out}/ledger").collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_replaceable_stages(spark, tmp_path):
+    base = f"file://{tmp_path}/stage"
+    one, two = spark.range(5), spark.range(7)
+    good, bad = (spark.createDataFrame([("rows", n)], "check string, failures bigint") for n in (0, 3))
+    assert stages.publish_version(one, base, "a", good) and not stages.publish_version(one.repartition(3), base, "again")
+    with pytest.raises(ValueError, match="checks failed: rows \\(3\\)"):
+        stages.publish_version(two, base, "b", bad)
+    assert stages.snapshots(spark, base).count() == 5
+    assert stages.publish_version(two, base, "b") and stages.snapshots(spark, base).count() == 7
+    assert stages.snapshots(spark, base, "a").count() == 5 and stages.snapshots(spark, base, "all").groupBy("version_name").count().count() == 2
+    stages.roll_back(spark, base)
+    assert stages.snapshots(spark, base).count() == 5
+    with pytest.raises(ValueError, match="no version c"):
+        stages.snapshots(spark, base, "c")
+
+
+def test_one_json_object(spark, tmp_path):
+    good, bad = tmp_path / "a.json", tmp_path / "b.json"
+    good.write_text('{\n "a": 1,\n "b": "x"}')
+    bad.write_text('[{"a": 1}, {"a": 2}]')
+    assert stages.read_object(spark, f"file://{good}", "a int, b string").first().a == 1
+    with pytest.raises(ValueError, match="not one JSON object"):
+        stages.read_object(spark, f"file://{bad}", "a int, b string")
