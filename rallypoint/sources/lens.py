@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from rallypoint.functions.formulas import POSITIONS
 from rallypoint.functions.identity import pseudonym
-from rallypoint.sources.stages import stage
+from rallypoint.sources.stages import stage, still_there
 
 #: Event kinds in the order of the positions they stand for.
 KINDS = ("signup", "view", "click", "purchase", "error")
@@ -35,7 +35,7 @@ class Tables:
     staged: dict[str, DataFrame] = field(default_factory=dict)
 
     def once(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if label not in self.staged:
+        if label not in self.staged or not still_there(self.staged[label]):
             self.staged[label] = stage(make(), label)
         return self.staged[label]
 
@@ -94,7 +94,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     files = events.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     key = (spark.sparkContext.applicationId, *sorted(tuple(r) for r in files.collect()))
-    if key not in _STAGED:
+    if key not in _STAGED or not all(still_there(df) for df in (_STAGED[key].matches, _STAGED[key].participants, _STAGED[key].teams)):
         made = derived(events)
         _STAGED[key] = Tables(*(stage(df, f"lens-{name}") for name, df in (("matches", made.matches), ("participants", made.participants), ("teams", made.teams))))
     return _STAGED[key]

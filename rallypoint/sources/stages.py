@@ -28,6 +28,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether a stage table's files haven't been cleared away since."""
+    return all(exists(df.sparkSession, folder) for folder in {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
 def fingerprint(df: DataFrame) -> str:
     """A hash of the rows as a multiset: equal for equal rows in any order."""
     h = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(df.columns)))

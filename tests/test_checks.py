@@ -99,3 +99,16 @@ def test_tower_outcome_of_odd_events(spark):
     assert got["a", 200].label_at_15 == "allied_top_outer_first" and got["a", 200].plate_difference == -1
     assert (b.label_at_15, b.first_relation, b.fell_before_15, b.fell_before_20, b.plate_difference, b.plates_supported) == ("neither_by_15", "allied", False, True, None, False)
     assert (c.label_at_15, c.first_relation, c.plate_difference, c.plates_supported) == ("neither_by_15", None, 0, True)
+
+
+def test_cleared_stage_tables_are_made_again(spark, small):
+    import shutil
+
+    from rallypoint.sources.lens import tables
+
+    t = tables(spark, small)
+    assert tables(spark, small) is t
+    made = t.once("probe", lambda: spark.range(3).toDF("id"))
+    assert t.once("probe", lambda: spark.range(9).toDF("id")).count() == made.count() == 3
+    shutil.rmtree(made.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
+    assert t.once("probe", lambda: spark.range(9).toDF("id")).count() == 9
