@@ -113,6 +113,30 @@ def multiclass_metrics(rows: DataFrame, target: str, probabilities: list[str], w
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), (F.sum(-F.log(F.greatest(own, F.lit(1e-15))) * w) / F.sum(w)).alias("log_loss"), (F.sum(brier * w) / F.sum(w)).alias("brier"))
 
 
+def multiclass_calibration(rows: DataFrame, target: str, probabilities: list[str], weight: str, *key: str) -> DataFrame:
+    """key, match_weight, ece, n_class_<i>: calibration of the likeliest class over ten bins, and rows per class.
+
+    A bin ends a hair above its upper edge, so a confidence on an edge counts in both.
+    """
+    every, conf = F.array(*probabilities), F.greatest(*probabilities)
+    hit = (F.array_position(every, conf) - 1 == F.col(target)).cast("double")
+    low = lambda i: i * F.lit(0.1)
+    bins = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("conf") >= low(i)) & (F.col("conf") < low(i) + 0.1 + 1e-12))
+    scored = rows.select(*key, F.col(target).alias("y"), F.col(weight).alias("w"), conf.alias("conf"), hit.alias("hit"))
+    each = scored.select(*(F.col(k).alias(f"of_{k}") for k in key), "w", "conf", "hit", F.explode(bins).alias("bin"))
+    gaps = each.groupBy(*(f"of_{k}" for k in key), "bin").agg(F.abs(F.sum(F.col("w") * F.col("hit")) - F.sum(F.col("w") * F.col("conf"))).alias("gap"))
+    gaps = gaps.groupBy(*(f"of_{k}" for k in key)).agg(F.sum("gap").alias("gap"))
+    counts = scored.groupBy(*key).agg(F.sum("w").alias("match_weight"), *(F.count_if(F.col("y") == i).alias(f"n_class_{i}") for i in range(len(probabilities))))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key))
+    return counts.join(gaps, same, "left").select(*key, "match_weight", F.try_divide(F.col("gap"), F.col("match_weight")).alias("ece"), *(f"n_class_{i}" for i in range(len(probabilities))))
+
+
+def histogram(rows: DataFrame, *fields: str) -> DataFrame:
+    """field, value, n: how often each value of each field occurs; missing ones under `<missing>`."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias("value")) for c in fields)))
+    return rows.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def means_or_overall(rows: DataFrame, key: str, value: str, weight: str, minimum: int = 10) -> DataFrame:
     """The weighted mean per key, or the overall one where a key has too few rows."""
     v, w = F.col(value) * F.col(weight), F.col(weight)

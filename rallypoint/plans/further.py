@@ -384,3 +384,22 @@ SELECT oldest_age, array_to_string(list_transform(range(0, oldest_age + 1), lamb
     coalesce((SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT range AS m FROM range(0, 6)) t WHERE m <= oldest_age AND m NOT IN (SELECT age FROM a)), '') AS missing_ages FROM w""")
 def window_patches(spark, sf_dir):
     return aggregates.window_patches(opponents.matchups(observed(spark, sf_dir)), TARGET)
+
+
+@query(f"""WITH {CONTEXT}, h AS (SELECT unnest(['champion_id', 'position', 'public_patch']) AS field, unnest([champion_id::VARCHAR, position, public_patch]) AS value FROM placed JOIN matches USING (match_id))
+SELECT field, coalesce(value, '<missing>') AS value, count(*) AS n FROM h GROUP BY 1, 2""")
+def histograms(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    rows = quality.with_positions(t.participants).join(t.matches.select("match_id", "public_patch"), "match_id")
+    return audits.histogram(rows, "champion_id", "position", "public_patch")
+
+
+@query("""WITH r AS (SELECT event_type, event_id % 3 AS y, 0.2::DOUBLE + event_id % 5 * 0.1::DOUBLE AS p0, 0.25::DOUBLE AS p1, 0.55::DOUBLE - event_id % 5 * 0.1::DOUBLE AS p2, (1 + event_id % 2)::DOUBLE AS w FROM events),
+c AS (SELECT *, greatest(p0, p1, p2) AS conf, (list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1 = y)::INTEGER AS hit FROM r),
+g AS (SELECT event_type, abs(sum(w * hit) - sum(w * conf)) AS gap FROM c, range(0, 10) b(i) WHERE conf >= i * 0.1::DOUBLE AND conf < i * 0.1::DOUBLE + 0.1::DOUBLE + 1e-12::DOUBLE GROUP BY event_type, i),
+e AS (SELECT event_type, sum(gap) AS gap FROM g GROUP BY event_type)
+SELECT event_type, sum(w) AS match_weight, round(any_value(gap) / sum(w), 6) AS ece, count(*) FILTER (y = 0) AS n_class_0, count(*) FILTER (y = 1) AS n_class_1, count(*) FILTER (y = 2) AS n_class_2 FROM c JOIN e USING (event_type) GROUP BY event_type""")
+def multiclass_calibration(spark, sf_dir):
+    k = F.col("event_id")
+    rows = series_lens.history(spark, sf_dir).select("event_type", (k % 3).cast("int").alias("y"), (0.2 + k % 5 * 0.1).alias("p0"), F.lit(0.25).alias("p1"), (0.55 - k % 5 * 0.1).alias("p2"), (1 + k % 2).cast("double").alias("w"))
+    return rounded(audits.multiclass_calibration(rows, "y", ["p0", "p1", "p2"], "w", "event_type"))
