@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import brown_lm, decontaminate, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts, warc
+from rallypoint.llm import brown_lm, decontaminate, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts, token_files, warc
 from rallypoint.llm.common import ready, table
 
 
@@ -54,6 +54,10 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("text_hash")
 
 
+def op13_perfect_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_host_rules": op2_host_rules,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_capture_index": op8_capture_index,
     "op9_trie_counts": op9_trie_counts,
     "op10_template_windows": op10_template_windows,
+    "op13_perfect_hash_shards": op13_perfect_hash_shards,
     "pipeline": corpus_pipeline.run,
 }
 
