@@ -147,3 +147,28 @@ WITH docs AS (
 )
 SELECT doc_id, item_id, n AS n_windows, max(found) AS n_found FROM passed p JOIN docs d ON d.rid = p.doc JOIN items i ON i.rid = p.item GROUP BY doc, item, doc_id, item_id, n
 """
+
+OP12 = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts),
+fails AS (SELECT doc_id, part,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > first OR (doc_id IS NULL AND first IS NOT NULL) THEN 'E' ELSE '' END AS mask FROM words),
+known AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fails LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM one a, one b, one c, one d, one e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier FROM orders, range(1, 6) s(step)),
+met AS (SELECT c.*, s.*, contains(mask, own) AS fails, len(mask) > 0 AND regexp_matches(mask, '[' || earlier || '0]') AS gone FROM cells c, steps s),
+summed AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed,
+  sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+  sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM summed
+"""
