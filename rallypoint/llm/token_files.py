@@ -1,8 +1,8 @@
 """Token-id shards under a minimal perfect hash index.
 
 Documents are dealt to tasks by ranges of doc_id. Each task encodes its texts and
-appends their ids, raw little-endian 32-bit numbers, to one shard file; nothing
-but ids is in it. An index part holds the keys that a hash deals to it, in blocks
+appends their ids, raw little-endian numbers of 16 bits where the vocabulary
+allows it and else of 32, to one shard file; nothing but ids is in it. An index part holds the keys that a hash deals to it, in blocks
 of about BLOCK_KEYS keys. A block is a minimal perfect hash function (levels of
 bits, each of which one key alone has hit; a key's slot is the rank of its bit)
 and an array of slots, each with the key's fingerprint, shard, offset and number
@@ -182,7 +182,12 @@ def _path(base: str, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:
+def id_type(vocabulary: str) -> str:
+    """How ids stand in shards."""
+    return "<u2" if segment_ids(vocabulary).whole.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, kind: str) -> Iterator[pa.RecordBatch]:
     """Appends every row's ids to this task's shard; yields doc_id, its number within the shard's run of it, shard, file, offset, n_tokens."""
     known, shard = segment_ids(vocabulary), TaskContext.get().partitionId()
     store, base = FileSystem.from_uri(folder)
@@ -193,7 +198,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str)
                 out = store.open_output_stream(path, compression=None)
             counts = [np.zeros(0, np.int64)]
             for ids, n in texts_ids(batch.column(1), known):
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(kind).tobytes())
                 counts.append(n)
             n = np.concatenate(counts)
             numbers = []
@@ -323,6 +328,7 @@ class TokenFiles:
 
     folder: str
     parts: int
+    id_type: str
     shards: DataFrame
     index: DataFrame
     keys: DataFrame
@@ -348,12 +354,12 @@ def write(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabular
     folder = new_dir(spark, "token-files")
     store, base = FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    own, kind = docs.schema[doc_id].dataType.simpleString(), id_type(path)
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     order = [F.asc_nulls_first("doc_id"), F.asc("_text"), F.asc("_row")]
     dealt = read.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    fields = f"doc_id {kind}, run bigint, shard int, file string, offset bigint, n_tokens bigint"
-    entries = materialise(dealt.mapInArrow(lambda batches: write_shard(batches, folder, path), fields), "entries")
+    fields = f"doc_id {own}, run bigint, shard int, file string, offset bigint, n_tokens bigint"
+    entries = materialise(dealt.mapInArrow(lambda batches: write_shard(batches, folder, path, kind), fields), "entries")
     shards = materialise(_with_starts(entries), "shards")
     carried = shards.where("carried > 0").select(F.col("shard").alias("_shard"), F.col("first.doc_id").alias("_first"), "carried")
     met = entries.join(carried, (F.col("shard") == F.col("_shard")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left")
@@ -372,7 +378,7 @@ def write(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabular
         return pd.DataFrame({"part": rows.part.iloc[:1], "file": [file]})
 
     index = materialise(keyed.groupBy("part").applyInPandas(build, "part bigint, file string"), "index")
-    return TokenFiles(folder, parts, shards.select("shard", "file", "rows", "first_id"), index, numbered.select("doc_id", "number"))
+    return TokenFiles(folder, parts, kind, shards.select("shard", "file", "rows", "first_id"), index, numbered.select("doc_id", "number"))
 
 
 def look_up(files: TokenFiles, keys: DataFrame) -> DataFrame:
@@ -400,8 +406,9 @@ def look_up(files: TokenFiles, keys: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInPandas(look, f"doc_id {kinds[0]}, number {kinds[1]}, shard int, offset bigint, n_tokens bigint")
 
 
-def read_ids(batches: Iterator[pa.RecordBatch], folder: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def read_ids(batches: Iterator[pa.RecordBatch], folder: str, kind: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """Reads each row's range of its shard, neighbours together; adds ids_crc32 and, if asked for, ids."""
+    size = np.dtype(kind).itemsize
     store, _ = FileSystem.from_uri(folder)
     for batch in batches:
         files, offsets, counts = (batch.column(c).to_pylist() for c in ("file", "offset", "n_tokens"))
@@ -413,14 +420,14 @@ def read_ids(batches: Iterator[pa.RecordBatch], folder: str, keep_ids: bool) ->
                 j += 1
                 end += counts[j]
             with store.open_input_file(files[i]) as f:
-                raw = memoryview(f.read_at(4 * (end - begin), 4 * begin))
+                held = np.frombuffer(f.read_at(size * (end - begin), size * begin), kind)
             for k in range(i, j + 1):
-                own = raw[4 * (offsets[k] - begin) : 4 * (offsets[k] - begin + counts[k])]
-                if len(own) != 4 * counts[k]:
+                own = held[offsets[k] - begin : offsets[k] - begin + counts[k]]
+                if len(own) != counts[k]:
                     raise ValueError(f"{files[k]} ends before id {offsets[k] + counts[k]}")
-                crcs.append(zlib.crc32(own))
+                crcs.append(zlib.crc32(own.astype("<u4")))
                 if keep_ids:
-                    ids.append(np.frombuffer(own, "<u4").astype(np.int64))
+                    ids.append(own.astype(np.int64))
             i = j + 1
         columns = [batch.column(c) for c in ("doc_id", "number", "start", "n_tokens")] + [pa.array(crcs, pa.int64())]
         names = ["doc_id", "number", "start", "n_tokens", "ids_crc32"]
@@ -431,12 +438,12 @@ def read_ids(batches: Iterator[pa.RecordBatch], folder: str, keep_ids: bool) ->
 
 def read(files: TokenFiles, keys: DataFrame | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, number, start, n_tokens, ids_crc32 (and ids) of the written documents with these keys, all by default, through the index."""
-    folder, found = files.folder, look_up(files, files.keys if keys is None else keys).where(F.col("shard").isNotNull())
+    folder, kind, found = files.folder, files.id_type, look_up(files, files.keys if keys is None else keys).where(F.col("shard").isNotNull())
     kinds = [found.schema[c].dataType.simpleString() for c in ("doc_id", "number")]
     placed = found.join(files.shards, "shard").withColumn("start", F.col("first_id") + F.col("offset"))
     dealt = placed.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").select("doc_id", "number", "file", "offset", "n_tokens", "start")
     fields = f"doc_id {kinds[0]}, number {kinds[1]}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids
-    return dealt.mapInArrow(lambda batches: read_ids(batches, folder, keep_ids), fields)
+    return dealt.mapInArrow(lambda batches: read_ids(batches, folder, kind, keep_ids), fields)
 
 
 class KeyedIds:
@@ -445,9 +452,9 @@ class KeyedIds:
     index maps a part to its file and shards a shard to its file, as in the lists of TokenFiles.
     """
 
-    def __init__(self, folder: str, parts: int, index: dict[int, str], shards: dict[int, str]) -> None:
-        self.store, _ = FileSystem.from_uri(folder)
-        self.parts, self.index, self.shards = parts, index, shards
+    def __init__(self, files: TokenFiles, index: dict[int, str], shards: dict[int, str]) -> None:
+        self.store, _ = FileSystem.from_uri(files.folder)
+        self.parts, self.kind, self.index, self.shards = files.parts, np.dtype(files.id_type), index, shards
 
     def get(self, key: str) -> np.ndarray | None:
         """The ids of the key (as key_text writes it), or None."""
@@ -466,7 +473,8 @@ class KeyedIds:
         if slot["fingerprint"] != _fingerprints(hashes)[0]:
             return None
         with self.store.open_input_file(self.shards[int(slot["shard"])]) as f:
-            return np.frombuffer(f.read_at(4 * int(slot["n"]), 4 * int(slot["offset"])), "<u4")
+            size = self.kind.itemsize
+            return np.frombuffer(f.read_at(size * int(slot["n"]), size * int(slot["offset"])), self.kind)
 
 
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def test_a_doc_id_with_a_third_of_all_rows_spans_shards(spark):
 def test_keyed_access(spark):
     docs = spark.createDataFrame([(i, f"document {i} " + "word " * (i % 50)) for i in range(500)] + [(None, LONG), (3, "again")], "doc_id bigint, text string")
     files = token_files.write(docs)
-    one = token_files.KeyedIds(files.folder, files.parts, {r.part: r.file for r in files.index.collect()}, {r.shard: r.file for r in files.shards.collect()})
+    one = token_files.KeyedIds(files, {r.part: r.file for r in files.index.collect()}, {r.shard: r.file for r in files.shards.collect()})
     assert one.get("=17:0").tolist() == plain(["document 17 " + "word " * 17])[0]
     assert one.get("null:0").tolist() == plain([LONG])[0]
     assert {tuple(one.get(f"=3:{i}").tolist()) for i in range(2)} == {tuple(x) for x in plain(["document 3 " + "word " * 3, "again"])}
