@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from rallypoint.llm import brown_lm, decontaminate, filter_audit, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts, token_files, warc
+from rallypoint.llm import brown_lm, decontaminate, filter_audit, html_cut, packing, preference, quality_rules, secret_scan, simhash, sql, token_counts, token_files, vector_codes, warc
 from rallypoint.llm.common import ready, table
 
 
@@ -54,6 +54,10 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.drop("text_hash")
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(ready(spark), sf_dir, "embeddings")).drop("label")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_capture_index": op8_capture_index,
     "op9_trie_counts": op9_trie_counts,
     "op10_template_windows": op10_template_windows,
+    "op11_filtering_lloyd": op11_filtering_lloyd,
     "op12_filter_audit": op12_filter_audit,
     "op13_perfect_hash_shards": op13_perfect_hash_shards,
     "pipeline": corpus_pipeline.run,
@@ -83,5 +88,6 @@ ORACLES: dict[str, str] = {
     "op2_host_rules": sql.OP2,
     "op8_capture_index": sql.OP8,
     "op10_template_windows": sql.OP10,
+    "op11_filtering_lloyd": sql.OP11,
     "op12_filter_audit": sql.OP12,
 }

@@ -172,3 +172,30 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
   CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
 FROM summed
 """
+
+
+#: A round of OP11: every part's nearest entry of books c{i}, then the books c{i + 1} of floored means.
+_OP11_NEAREST = """
+a{i} AS MATERIALIZED (SELECT r, part, CAST(min(CAST(far AS HUGEINT) * 16 + entry) % 16 AS INT) AS entry, CAST(min(CAST(far AS HUGEINT) * 16 + entry) // 16 AS BIGINT) AS far
+  FROM (SELECT r, v.part, entry, sum((x - c) * (x - c)) AS far FROM v JOIN c{i} USING (part, pos) GROUP BY r, v.part, entry) GROUP BY r, part)"""
+_OP11_MEANS = """
+c{j} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c
+  FROM c{i} c LEFT JOIN (SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM a{i} JOIN v USING (r, part) GROUP BY part, entry, pos) USING (part, entry, pos))"""
+
+OP11 = (
+    """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS FIRST) AS r, vec_id, label, embedding, len(embedding) // 8 AS d
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, (i - 1) // d AS part, (i - 1) % d AS pos, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, d, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT part, CAST(r - 1 AS INT) AS entry, pos, x AS c FROM v WHERE r <= 16)"""
+    + "".join("," + _OP11_NEAREST.format(i=i) + "," + _OP11_MEANS.format(i=i, j=i + 1) for i in range(6))
+    + ","
+    + _OP11_NEAREST.format(i=6)
+    + """,
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+)
