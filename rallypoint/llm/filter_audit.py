@@ -1,6 +1,8 @@
 """How five filters act together, in every order and for every part of a corpus.
 
-Rows are range-sorted by text fingerprint, full text and doc_id. Each task then
+Rows are range-sorted by text fingerprint, full text and doc_id; ranges are cut by
+a SHA-256 digest in the text's place, as the driver samples what they are cut by,
+and tasks sort by the text itself. Each task then
 compares rows with their predecessors and measures the texts as they pass, so one
 shuffle serves all five filters. A run of equal texts that began in an earlier
 partition is mended afterwards: each partition reports the texts of its first and
@@ -121,8 +123,9 @@ def failure_masks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     """doc_id, part and mask (bit i: the document fails filter i of FILTERS) of every row."""
     ids, parts = (docs.schema[c].dataType.simpleString() for c in (doc_id, part))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(part).alias("part"), F.coalesce(text, F.lit("")).alias("text"))
-    order = [F.asc("_print"), F.asc("text"), F.asc_nulls_last("doc_id")]
-    dealt = read.withColumn("_print", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = [F.asc("_print"), F.asc("_digest"), F.asc_nulls_last("doc_id")]
+    dealt = read.withColumns({"_print": F.xxhash64("text"), "_digest": F.unhex(F.sha2("text", 256))}).repartitionByRange(*ranges)
+    dealt = dealt.sortWithinPartitions(*ranges[:2], F.asc("text"), ranges[2]).select("_print", "text", "doc_id", "part")
     judged = materialise(dealt.mapInArrow(judge_sorted, f"doc_id {ids}, part {parts}, mask int, partition int, head boolean, edge string"), "judged")
     edges = judged.where(F.col("edge").isNotNull())
     smallest = edges.groupBy("edge").agg(F.min("doc_id").alias("smallest"))
