@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from rallypoint.plans import further, oracles, queries
+from rallypoint.plans import further, oracles, queries, studies
 from tests.compare import same_rows
 
-QUERIES, SQL = {**queries.QUERIES, **further.QUERIES}, {**oracles.SQL, **further.SQL}
+QUERIES, SQL = {**queries.QUERIES, **further.QUERIES, **studies.QUERIES}, {**oracles.SQL, **further.SQL, **studies.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
