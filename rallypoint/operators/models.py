@@ -9,7 +9,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,12 @@ def beta_posterior(rows: DataFrame, wins: str, games: str, baseline: str, streng
     return out.withColumn("tier", evidence_tier(F.col("p_advantage")))
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, entries: list) -> object:
-    return Vectors.sparse(size, sorted((int(e["index"]), float(e["value"])) for e in entries))
-
-
 def as_vectors(values: DataFrame, drafts: DataFrame, size: int) -> DataFrame:
-    """match_id, label, features: sparse vectors, all-zero for drafts without features."""
-    rows = values.groupBy(F.col("match_id").alias("of")).agg(F.collect_list(F.struct("index", "value")).alias("entries"))
+    """match_id, label, features: vectors of this size, all-zero for drafts without features."""
+    rows = values.groupBy(F.col("match_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").cast("int"), F.col("value").cast("double")))).alias("entries"))
     joined = drafts.select("match_id", F.col("outcome").cast("double").alias("label")).join(rows, F.col("match_id") == F.col("of"), "left")
-    return joined.select("match_id", "label", _sparse(F.lit(size), F.coalesce("entries", F.array().cast("array<struct<index:int,value:int>>"))).alias("features"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("entries", i), F.lit(0.0)))
+    return joined.select("match_id", "label", array_to_vector(dense).alias("features"))
 
 
 def fit_logistic(vectors: DataFrame, l2: float) -> np.ndarray:
@@ -122,82 +118,6 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big")
 
 
-def cluster_bootstrap(losses: DataFrame, key: str, cluster: str, stratum: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """key, estimate, low, high: percentile interval of the mean loss, clusters redrawn within strata.
-
-    Each replicate draws a cluster's weight from a Poisson law by a hash of
-    (seed, replicate, stratum, cluster), so means are plain sums, no task holds all
-    clusters, all keys draw alike, and so does a rerun. Give differences of paired
-    losses for a paired bootstrap of groups.
-    """
-    names = F.col(key).alias("b_key"), F.col(stratum).alias("b_stratum"), F.col(cluster).alias("b_cluster")
-    by_cluster = losses.groupBy(*names).agg(F.sum(value).alias("loss_sum"), F.count(value).alias("loss_n"))
-    weight = poisson_weight(F.lit(seed), F.col("replicate"), F.col("b_stratum"), F.col("b_cluster"))
-    drawn = by_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = drawn.groupBy("b_key", "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("loss_sum")), F.sum(F.col("w") * F.col("loss_n"))).alias("m"))
-    q = means.groupBy("b_key").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    real = by_cluster.groupBy(F.col("b_key").alias("of")).agg((F.sum("loss_sum") / F.sum("loss_n")).alias("estimate"))
-    return q.join(real, F.col("b_key") == F.col("of")).select(F.col("b_key").alias(key), "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
-
-
-def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw decided by a digest: the bootstrap's count of one unit."""
-    digest = F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
-    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / float(1 << 52)
-    out = F.lit(8)
-    for k, edge in reversed(list(enumerate(poisson_edges()))):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
-
-
-def poisson_edges(most: int = 8) -> list[float]:
-    """P(X <= k) of a Poisson(1) law for k below `most`."""
-    upto, term, out = 0.0, math.exp(-1), []
-    for k in range(most):
-        upto += term
-        out.append(upto)
-        term /= k + 1
-    return out
-
-
-def paired_bootstrap(differences: DataFrame, key: str, stratum: str, value: str, replicates: int, seed: int, block: int = 1024) -> DataFrame:
-    """key, estimate, low, high, share_below: redraw of paired differences within strata.
-
-    Takes one difference per match. Equal differences are one cell, whose draws
-    follow a Poisson law of its count; a stratum's mean is divided by its drawn
-    weight, so its size stays. A task draws the cells of one block, about `block`
-    of a stratum, and replicates are grouped sums of the blocks'.
-    """
-    names = F.col(key).alias("b_key"), F.col(stratum).alias("b_stratum"), F.col(value).cast("double").alias("v")
-    cells = differences.where(F.col(value).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    cells = stage(cells, "differences")
-    strata = cells.groupBy(F.col("b_key").alias("of"), F.col("b_stratum").alias("in")).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("cells"))
-    same = F.col("b_key").eqNullSafe(F.col("of")) & F.col("b_stratum").eqNullSafe(F.col("in"))
-    dealt = cells.join(F.broadcast(strata), same).withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("cells") / block)))
-    kinds = {c: cells.schema[c].dataType.simpleString() for c in ("b_key", "b_stratum")}
-
-    def redraw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        k, s, b = (pdf[c].iloc[0] for c in ("b_key", "b_stratum", "block"))
-        rng = np.random.default_rng(_seed(seed, k, s, b))
-        v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
-        drawn, summed = np.zeros(replicates), np.zeros(replicates)
-        for i in range(0, replicates, 500):
-            w = rng.poisson(n, (min(500, replicates - i), len(n)))
-            drawn[i : i + 500], summed[i : i + 500] = w.sum(1), w @ v
-        return pd.DataFrame({"b_key": [k], "b_stratum": [s], "drawn": [drawn], "summed": [summed]})
-
-    parts = dealt.select("b_key", "b_stratum", "block", "v", "n").groupBy("b_key", "b_stratum", "block").applyInPandas(redraw, f"b_key {kinds['b_key']}, b_stratum {kinds['b_stratum']}, drawn array<double>, summed array<double>")
-    each = parts.select("b_key", "b_stratum", F.posexplode(F.arrays_zip("drawn", "summed")).alias("replicate", "d"))
-    each = each.groupBy("b_key", "b_stratum", "replicate").agg(F.sum("d.drawn").alias("drawn"), F.sum("d.summed").alias("summed"))
-    each = each.join(F.broadcast(strata), same).withColumn("held", F.when(F.col("drawn") > 0, F.col("size")))
-    means = each.groupBy("b_key", "replicate").agg(F.try_divide(F.sum(F.col("held") * F.col("summed") / F.col("drawn")), F.sum("held")).alias("m"))
-    q = means.groupBy("b_key").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") < 0).cast("double")).alias("share_below"))
-    real = cells.groupBy(F.col("b_key").alias("real_key")).agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("estimate"))
-    found = q.join(real, F.col("b_key").eqNullSafe(F.col("real_key")))
-    return found.select(F.col("b_key").alias(key), "estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "share_below")
-
-
 def required_sample_size(mean: float, deviation: float, power: float = 0.8, level: float = 0.05, most: int = 10_000_000) -> int | None:
     """The least n at which a two-sided t-test finds the mean with this power (normal approximation of the shift)."""
     if not deviation or not mean:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallypoint.functions import formulas, patches
-from rallypoint.operators import aggregates, audits, checks, lineage, models, opponents, quality, timelines
+from rallypoint.operators import aggregates, audits, checks, lineage, models, opponents, quality, resampling, timelines
 from rallypoint.plans.oracles import CONTEXT, LENS, OBSERVED, PAIR
 from rallypoint.plans.oracles import SQL as KNOWN
 from rallypoint.plans.queries import TARGET, observed, predictions, rounded, split
@@ -346,20 +346,38 @@ def storage_projection(spark, sf_dir):
     return records.storage_projection(rows, F.col("event_type"), 500)
 
 
+def exact_draws(units: str, values: str, seed: int, replicates: int, columns: str) -> str:
+    """SQL over units (policy, platform, match_id and values), strata of at most 1024 units: columns of each policy's replicates m.
+
+    Digest q of a replicate gives its draws 4q to 4q + 3.
+    """
+    return f"""WITH p AS ({KNOWN["policy_predictions"]}), c AS ({units}),
+o AS (SELECT *, row_number() OVER (PARTITION BY policy, platform ORDER BY sha256(match_id), match_id) - 1 AS i, count(*) OVER (PARTITION BY policy, platform) AS k FROM c),
+h AS (SELECT policy, platform, k, r, q, sha256('{seed}|' || policy || '|' || platform || '|0|' || r || '|' || q) AS h
+    FROM (SELECT DISTINCT policy, platform, k FROM o), range(1, {replicates + 1}) t(r), range(0, 256) u(q) WHERE q * 4 < k),
+d AS (SELECT policy, platform, r, floor(('0x' || substr(h, 16 * j + 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * k)::BIGINT AS i FROM h, range(0, 4) v(j) WHERE q * 4 + j < k),
+m AS (SELECT policy, r, {values} FROM d JOIN o USING (policy, platform, i) GROUP BY policy, r)
+SELECT policy, {columns} FROM m GROUP BY policy"""
+
+
+PLATFORM = "CASE WHEN substr(match_id, 2)::BIGINT % 2 = 0 THEN 'eun1' ELSE 'euw1' END AS platform"
+
+
+def _quantiles(m: str) -> str:
+    return f"round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.975), 6) AS high"
+
+
 def _bootstrap(rows: str, seed: int, replicates: int) -> str:
     """SQL over rows (policy, match_id, v): clusters are matches, strata their platforms."""
-    edges = " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(models.poisson_edges()))
-    return f"""WITH p AS ({KNOWN["policy_predictions"]}), v AS ({rows}), c AS (
-    SELECT policy, match_id, CASE WHEN substr(match_id, 2)::BIGINT % 2 = 0 THEN 'eun1' ELSE 'euw1' END AS platform, sum(v) AS s, count(v) AS n FROM v GROUP BY policy, match_id
-), d AS (
-    SELECT match_id, r, CASE {edges} ELSE 8 END AS w FROM (
-        SELECT match_id, r, ('0x' || substr(sha256('{seed}|' || r || '|' || platform || '|' || match_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT match_id, platform FROM c), range(1, {replicates + 1}) t(r)
-    )
-), m AS (SELECT policy, r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM c JOIN d USING (match_id) GROUP BY policy, r),
-e AS (SELECT policy, sum(s) / sum(n) AS estimate FROM c GROUP BY policy)
-SELECT policy, round(estimate, 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN e USING (policy) GROUP BY policy, estimate"""
+    units = f"SELECT policy, match_id, {PLATFORM}, sum(v) AS s, count(v) AS n FROM ({rows}) GROUP BY policy, match_id"
+    estimate = "round((SELECT sum(s) / sum(n) FROM c WHERE c.policy = m.policy), 6) AS estimate"
+    return exact_draws(units, "sum(s) / nullif(sum(n), 0) AS m", seed, replicates, f"{estimate}, {_quantiles('m')}")
 
 
+_LOSS = "SELECT policy, match_id, avg(pow(probability - outcome, 2)) AS loss FROM p WHERE probability IS NOT NULL GROUP BY policy, match_id"
+SQL["paired_bootstrap"] = exact_draws(
+    f"SELECT a.policy, match_id, {PLATFORM}, a.loss - b.loss AS v FROM ({_LOSS}) a JOIN ({_LOSS}) b USING (match_id) WHERE b.policy = 'naive_empirical' AND a.policy <> 'naive_empirical'",
+    "sum(v) / count(*) AS m", 34, 2000, f"round((SELECT avg(v) FROM c WHERE c.policy = m.policy), 6) AS estimate, {_quantiles('m')}, round(avg((m < 0)::INTEGER), 6) AS share_below")
 SQL["cluster_bootstrap"] = _bootstrap("SELECT policy, match_id, pow(probability - outcome, 2) AS v FROM p WHERE probability IS NOT NULL", 33, 200)
 
 
@@ -370,7 +388,7 @@ def group_bootstrap(spark, sf_dir):
     p = predictions(spark, sf_dir).where("probability IS NOT NULL").withColumn("loss", F.pow(F.col("probability") - F.col("outcome"), 2))
     base = p.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("participant_id").alias("i"), F.col("loss").alias("base"))
     both = p.where("policy <> 'naive_empirical'").join(base, (F.col("match_id") == F.col("m")) & (F.col("participant_id") == F.col("i")))
-    return rounded(models.cluster_bootstrap(both.withColumn("difference", F.col("loss") - F.col("base")), "policy", "match_id", "platform", "difference", 200, 35))
+    return rounded(resampling.cluster_bootstrap(both.withColumn("difference", F.col("loss") - F.col("base")), "policy", "match_id", "platform", "difference", 200, 35))
 
 
 @query(f"""WITH p AS ({KNOWN["policy_predictions"]}) SELECT policy, coalesce(missing_reason, 'predicted') AS reason, count(*) AS n FROM p GROUP BY 1, 2""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallypoint.functions import clock, identity, patches
 from rallypoint.functions.formulas import POSITIONS
-from rallypoint.operators import aggregates, audits, drafts, models, opponents, policies, quality, records, series
+from rallypoint.operators import aggregates, audits, drafts, models, opponents, policies, quality, records, resampling, series
 from rallypoint.sources import series_lens
 from rallypoint.sources.lens import tables
 from rallypoint.sources.stages import stage
@@ -428,13 +428,13 @@ def paired_bootstrap(spark, sf_dir):
     by_match = p.groupBy("policy", "platform", "match_id").agg(F.avg("loss").alias("loss"))
     base = by_match.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("loss").alias("base"))
     rest = by_match.where("policy <> 'naive_empirical'").join(base, F.col("match_id") == F.col("m"))
-    return models.paired_bootstrap(rest.select("policy", "platform", (F.col("loss") - F.col("base")).alias("difference")), "policy", "platform", "difference", 2000, 34)
+    return rounded(resampling.paired_bootstrap(rest.select("policy", "platform", "match_id", (F.col("loss") - F.col("base")).alias("difference")), "policy", "platform", "match_id", "difference", 2000, 34))
 
 
 @query
 def cluster_bootstrap(spark, sf_dir):
     p = predictions(spark, sf_dir).where("probability IS NOT NULL").withColumn("loss", F.pow(F.col("probability") - F.col("outcome"), 2))
-    return rounded(models.cluster_bootstrap(p, "policy", "match_id", "platform", "loss", 200, 33))
+    return rounded(resampling.cluster_bootstrap(p, "policy", "match_id", "platform", "loss", 200, 33))
 
 
 @query

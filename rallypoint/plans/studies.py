@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallypoint.operators import drafts, interactions
+from rallypoint.functions.beta import student_quantile
+from rallypoint.operators import drafts, interactions, resampling
+from rallypoint.plans.further import PLATFORM, exact_draws
 from rallypoint.plans.oracles import LENS
 from rallypoint.plans.oracles import SQL as KNOWN
-from rallypoint.plans.queries import observed, rounded
+from rallypoint.plans.queries import observed, predictions, rounded
 from rallypoint.sources.lens import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,49 @@ def interaction_probabilities(spark, sf_dir):
     placed = rows.select(F.col("match_id").alias("of"), seconds("game_creation").alias("t")).select("of", F.explode(F.filter(blocks, lambda x: (F.col("t") >= x["a"]) & (F.col("t") < x["b"]))).alias("x"))
     own = placed.select("of", F.col("x.fold").alias("block"))
     return rounded(scored.join(own, (F.col("match_id") == F.col("of")) & (F.col("fold") == F.col("block"))).drop("of", "block"), 6)
+
+
+def paired_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """policy, platform, match_id, log_loss and brier: each policy's mean losses in a match less the naive ones."""
+    p = F.least(F.greatest("probability", F.lit(1e-15)), F.lit(1 - 1e-15))
+    known = predictions(spark, sf_dir).where("probability IS NOT NULL")
+    by = known.groupBy("policy", "platform", "match_id").agg(
+        F.avg(-F.when(F.col("outcome") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("l"), F.avg(F.pow(F.col("probability") - F.col("outcome"), 2)).alias("b"))
+    base = by.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("l").alias("bl"), F.col("b").alias("bb"))
+    met = by.where("policy <> 'naive_empirical'").join(base, F.col("match_id") == F.col("m"))
+    return met.select("policy", "platform", "match_id", (F.col("l") - F.col("bl")).alias("log_loss"), (F.col("b") - F.col("bb")).alias("brier"))
+
+
+_BY = """SELECT policy, match_id, avg(-ln(CASE WHEN outcome = 1 THEN least(greatest(probability, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(probability, 1e-15), 1 - 1e-15) END)) AS l,
+    avg(pow(probability - outcome, 2)) AS b FROM p WHERE probability IS NOT NULL GROUP BY policy, match_id"""
+_PAIRED = f"SELECT a.policy, match_id, {PLATFORM}, a.l - n.l AS log_loss, a.b - n.b AS brier FROM ({_BY}) a JOIN ({_BY}) n USING (match_id) WHERE n.policy = 'naive_empirical' AND a.policy <> 'naive_empirical'"
+_BOTH = exact_draws(_PAIRED, "avg(log_loss) AS ml, avg(brier) AS mb", 36, 1000, ", ".join(
+    f"round((SELECT avg({c}) FROM c WHERE c.policy = m.policy), 6) AS e{m}, round(quantile_cont({m}, 0.025), 6) AS l{m}, round(quantile_cont({m}, 0.975), 6) AS h{m}, round(avg(({m} < 0)::INTEGER), 6) AS s{m}" for c, m in (("log_loss", "ml"), ("brier", "mb"))))
+
+
+@query(f"""SELECT policy, unnest(['log_loss', 'brier']) AS metric, unnest([eml, emb]) AS estimate, unnest([lml, lmb]) AS low, unnest([hml, hmb]) AS high, unnest([sml, smb]) AS share_below FROM ({_BOTH})""")
+def metric_bootstrap(spark, sf_dir):
+    """Intervals of both metrics' differences to the naive policy, over the same exact redraws."""
+    return rounded(resampling.metric_bootstrap(paired_losses(spark, sf_dir), "policy", "platform", "match_id", ["log_loss", "brier"], 1000, 36))
+
+
+#: Sizes for which the SQL of power_requirements has the t-test's bounds.
+_SIZES = 256
+_CUTS = "[0, " + ", ".join(repr(student_quantile(0.975, n - 1)) for n in range(2, _SIZES + 1)) + "]"
+SHARES, TARGETS, REPLICATES, POWER_SEED, ELIGIBILITY = [0.4, 0.6], [0.8, 0.9], 400, 41, 0.85
+
+
+@query(f"""WITH RECURSIVE p AS ({KNOWN["policy_predictions"]}), c AS ({_PAIRED}),
+    o AS (SELECT policy, brier - avg(brier) OVER (PARTITION BY policy) AS x, row_number() OVER (PARTITION BY policy ORDER BY sha256(match_id), match_id) - 1 AS i FROM c),
+    g AS (SELECT policy, count(*) AS k, stddev_samp(brier) AS sd FROM c GROUP BY policy HAVING stddev_samp(brier) > 0),
+    d AS (SELECT policy, r, n, floor(('0x' || substr(sha256('{POWER_SEED}|' || policy || '|' || r || '|' || n), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * k)::BIGINT AS i FROM g, range(1, {REPLICATES + 1}) t(r), range(1, {_SIZES + 1}) u(n)),
+    s AS (SELECT policy, r, n, sum(x) OVER w AS s, sum(x * x) OVER w AS q FROM d JOIN o USING (policy, i) WINDOW w AS (PARTITION BY policy, r ORDER BY n)),
+    t AS (SELECT s.policy, e AS effect, r, n, abs(s / n - e * sd) AS off, sqrt(greatest((q - s * s / n) / (n - 1), 0) / n) AS error, ({_CUTS})[n] AS cut FROM s JOIN g USING (policy), (SELECT unnest({SHARES}::DOUBLE[]) AS e) WHERE n >= 2),
+    w AS MATERIALIZED (SELECT policy, effect, n, count(*) FILTER (error <= 0 OR off / error >= cut) / {REPLICATES}.0::DOUBLE AS power FROM t GROUP BY ALL),
+    z AS (SELECT policy, effect, target, min(n) AS high FROM w, (SELECT unnest({TARGETS}::DOUBLE[]) AS target) WHERE n IN (32, 64, 128, 256) AND power >= target GROUP BY ALL),
+    b AS (SELECT policy, effect, target, CASE WHEN high > 32 THEN high // 2 + 1 ELSE 2 END AS low, high FROM z
+        UNION ALL SELECT b.policy, b.effect, target, CASE WHEN power >= target THEN low ELSE n + 1 END, CASE WHEN power >= target THEN n ELSE high END FROM b JOIN w ON b.policy = w.policy AND b.effect = w.effect AND n = (low + high) // 2 WHERE low < high)
+    SELECT policy, effect, target, low::INTEGER AS eligible, ceil(low / {ELIGIBILITY})::INTEGER AS accepted, ceil(ceil(low / {ELIGIBILITY}) * 1.1::DOUBLE)::INTEGER AS reserved FROM b WHERE low >= high""")
+def power_requirements(spark, sf_dir):
+    """Matches that a paired test of each policy's Brier difference needs, by resampling."""
+    return resampling.required_sizes(paired_losses(spark, sf_dir), "policy", "match_id", "brier", SHARES, TARGETS, REPLICATES, POWER_SEED, ELIGIBILITY)

@@ -136,15 +136,6 @@ def test_ridge_matches_closed_form(spark):
     assert np.allclose(models.fit_ridge(df, 10.0)[0], want, atol=1e-4)
 
 
-def test_bootstraps_are_repeatable(spark):
-    rng = np.random.default_rng(5)
-    rows = spark.createDataFrame([("a", f"s{i % 2}", f"m{i}", float(v)) for i, v in enumerate(rng.normal(0.5, 1, 300))], "k string, s string, m string, d double")
-    one, two = (models.paired_bootstrap(rows, "k", "s", "d", 1000, 1).first() for _ in range(2))
-    assert one == two and one["low"] < one["estimate"] < one["high"]
-    c = models.cluster_bootstrap(rows, "k", "m", "s", "d", 300, 2).first()
-    assert c["low"] < c["estimate"] < c["high"] and abs(c["low"] - one["low"]) < 0.06
-
-
 def test_few_rows_take_the_overall_mean(spark):
     rows = spark.createDataFrame([("a", float(i), 1.0 + i % 2) for i in range(10)] + [("b", 100.0, 3.0), ("c", 7.0, 1.0)], "k string, v double, w double")
     got = {r["k"]: (r["n"], r["mean"]) for r in audits.means_or_overall(rows, "k", "v", "w", 10).collect()}
@@ -174,16 +165,6 @@ def test_calibration_line_matches_newton_on_all_rows(spark):
     assert got["flat"] == (pytest.approx(np.log(3)), None) and got["sure"] == (None, None)
 
 
-def test_paired_bootstrap_in_blocks(spark):
-    rng = np.random.default_rng(7)
-    d = np.concatenate([rng.normal(0.1, 1, 600), np.full(400, 0.25)])
-    rows = spark.createDataFrame([("a", f"s{i % 2}", float(x)) for i, x in enumerate(d)], "k string, s string, d double")
-    one, two = (models.paired_bootstrap(rows.repartition(n), "k", "s", "d", 2000, 1, block=16).first() for n in (1, 7))
-    assert one["low"] == pytest.approx(two["low"], abs=1e-9) and one["high"] == pytest.approx(two["high"], abs=1e-9)
-    half = 1.96 * d.std() / np.sqrt(len(d))
-    assert one["estimate"] == pytest.approx(d.mean()) and abs(one["low"] - d.mean() + half) < 0.01 and abs(one["high"] - d.mean() - half) < 0.01
-
-
 def test_overall_mean_needs_no_window(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0)], "k string, v double, w double")
     assert "Window" not in audits.means_or_overall(rows, "k", "v", "w")._jdf.queryExecution().toString()
