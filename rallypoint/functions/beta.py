@@ -59,13 +59,18 @@ def beta_survival(a: Column, b: Column, threshold: Column) -> Column:
     return _survival(a.cast("double"), b.cast("double"), threshold.cast("double"))
 
 
-def student_quantile(p: float, freedom: float) -> float:
-    """The p-quantile of Student's t, by bisection of the incomplete beta."""
+def student_quantiles(p: float, freedoms: list[float]) -> list[float]:
+    """The p-quantile of Student's t for each number of degrees of freedom, by bisection of the incomplete beta."""
     if p < 0.5:
-        return -student_quantile(1 - p, freedom)
-    low, high = 0.0, 1e6
-    for _ in range(200):
+        return [-x for x in student_quantiles(1 - p, freedoms)]
+    f = np.array(freedoms, float)
+    low, high = np.zeros(len(f)), np.full(len(f), 1e6)
+    for _ in range(72):
         mid = (low + high) / 2
-        tail = float(beta_cdf(freedom / 2, 0.5, freedom / (freedom + mid * mid))) / 2
-        low, high = (mid, high) if 1 - tail < p else (low, mid)
-    return (low + high) / 2
+        more = 1 - beta_cdf(f / 2, 0.5, f / (f + mid * mid)) / 2 < p
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    return ((low + high) / 2).tolist()
+
+
+def student_quantile(p: float, freedom: float) -> float:
+    return student_quantiles(p, [freedom])[0]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallypoint.functions.beta import student_quantile
+from rallypoint.functions.beta import student_quantiles
 from rallypoint.operators.series import numbered_by_digest
 from rallypoint.sources.stages import stage
 
@@ -154,7 +154,7 @@ def rejection_rates(differences: DataFrame, key: str, unit: str, value: str, eff
     met = asked.join(residuals, F.col("dk").eqNullSafe(F.col("k")) & (F.col("at") == F.col("nth")))
     upto = Window.partitionBy("k", "r").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     summed = met.select("k", "r", F.col("n").cast("double").alias("n"), F.sum("x").over(upto).alias("s"), F.sum(F.col("x") * F.col("x")).over(upto).alias("q")).where("n >= 2")
-    critical = spark.createDataFrame([(float(n), student_quantile(1 - level / 2, n - 1)) for n in range(2, sizes + 1)], "cn double, cut double")
+    critical = spark.createDataFrame([(float(n), x) for n, x in enumerate(student_quantiles(1 - level / 2, list(range(1, sizes))), 2)], "cn double, cut double")
     shifts = F.element_at(F.create_map(*(x for k, v in effects.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("k"))
     tested = summed.join(F.broadcast(critical), F.col("n") == F.col("cn")).select("k", "r", "n", "s", "q", "cut", F.posexplode(shifts).alias("effect", "shift"))
     spread = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallypoint.functions.beta import student_quantile
+from rallypoint.functions.beta import student_quantiles
 from rallypoint.operators import drafts, interactions, resampling
 from rallypoint.plans.further import PLATFORM, exact_draws
 from rallypoint.plans.oracles import LENS
@@ -139,7 +139,7 @@ def metric_bootstrap(spark, sf_dir):
 
 #: Sizes for which the SQL of power_requirements has the t-test's bounds.
 _SIZES = 256
-_CUTS = "[0, " + ", ".join(repr(student_quantile(0.975, n - 1)) for n in range(2, _SIZES + 1)) + "]"
+_CUTS = "[0, " + ", ".join(map(repr, student_quantiles(0.975, list(range(1, _SIZES))))) + "]"
 SHARES, TARGETS, REPLICATES, POWER_SEED, ELIGIBILITY = [0.4, 0.6], [0.8, 0.9], 400, 41, 0.85
 
 
