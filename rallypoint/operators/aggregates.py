@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rallypoint.functions import patches
-from rallypoint.operators.opponents import CONTEXT
+from rallypoint.operators.opponents import CONTEXT, synergies
 
 DECAY = 0.8
 MAX_AGE = 5
@@ -161,6 +161,75 @@ def role_share(observed: DataFrame, target: str) -> DataFrame:
     )
 
 
+BUNDLES = ("role", "matchup", "synergy")
+
+
+def bundle_counts(observed: DataFrame, target: str) -> DataFrame:
+    """champion_id, position, context and, by bundle and age, games and wins: one count vector per champion and role.
+
+    Entry b * (MAX_AGE + 1) + a of games counts the rows of age a that bundle b is
+    eligible for, so one grouped pass serves all bundles.
+    """
+    rows = with_age(observed.where(F.col("position").isNotNull()), target)
+    holds = [F.size(f"{b}_reasons") == 0 for b in BUNDLES]
+    cells = [(F.col("age") == a) & on for on in holds for a in range(MAX_AGE + 1)]
+    counts = rows.groupBy("champion_id", "position", *CONTEXT).agg(*(F.count_if(c).alias(f"g{i}") for i, c in enumerate(cells)), *(F.count_if(c & F.col("win")).alias(f"w{i}") for i, c in enumerate(cells)))
+    return counts.select("champion_id", "position", *CONTEXT, F.array(*(f"g{i}" for i in range(len(cells)))).alias("games"), F.array(*(f"w{i}" for i in range(len(cells)))).alias("wins"))
+
+
+def role_bundles(observed: DataFrame, target: str) -> DataFrame:
+    """Per champion, role, bundle and cumulative window (ages 0 to oldest_age) the sufficient statistics; viability by the role bundle.
+
+    A champion and role stand here if any row has them, eligible or not; games_by_age
+    are the bundle's games of each single patch.
+    """
+    table = bundle_counts(observed, target)
+    ages = MAX_AGE + 1
+    own = F.aggregate(F.slice("games", 1, ages), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    table = table.withColumn("role_games", own)
+    all_roles = F.sum("role_games").over(W.partitionBy("champion_id", *CONTEXT))
+    table = table.withColumn("all_role_games", all_roles).withColumn("share", F.when(F.col("all_role_games") > 0, F.col("role_games") / F.col("all_role_games")))
+    each = table.select("*", F.posexplode(F.array(*map(F.lit, BUNDLES))).alias("b", "bundle")).select("*", F.explode(F.sequence(F.lit(0), F.lit(MAX_AGE))).alias("oldest_age"))
+    part = lambda c: F.slice(c, F.col("b") * ages + 1, F.col("oldest_age") + 1)
+    meets = F.coalesce(F.col("share") >= ROLE_SHARE, F.lit(False)), F.col("role_games") >= ROLE_GAMES
+    return each.select(
+        "champion_id", "position", *CONTEXT, "bundle", "oldest_age", F.array_join(F.transform(part("games"), lambda n: n.cast("string")), ",").alias("games_by_age"),
+        *statistics(part("games"), part("wins")), "all_role_games", F.round("share", 6).alias("role_share"), meets[0].alias("meets_share"), meets[1].alias("meets_games"), (meets[0] & meets[1]).alias("provisional"),
+    )
+
+
+def _without(rows: DataFrame, every: DataFrame, kind: str) -> DataFrame:
+    """Each counterpart of `rows` with the totals of `every` less its own: one map per champion and role."""
+    key = ("champion_id", "position", *CONTEXT)
+    own = by_age(rows, *key, "other", "other_position")
+    entry = F.struct(F.struct("other", "other_position").alias("k"), F.struct("games_by_age", "wins_by_age").alias("v"))
+    maps = own.groupBy(*key).agg(F.map_from_entries(F.collect_list(entry)).alias("by_other"))
+    totals = by_age(every, *key)
+    right = totals.select(*(F.col(c).alias(f"t_{c}") for c in totals.columns))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    met = maps.join(right, same)
+    rest = F.transform_values("by_other", lambda _, v: F.struct(_minus(F.col("t_games_by_age"), v["games_by_age"]).alias("g"), _minus(F.col("t_wins_by_age"), v["wins_by_age"]).alias("w")))
+    return met.select(*key, F.lit(kind).alias("kind"), F.explode(rest).alias("k", "v"))
+
+
+def exclusion_components(observed: DataFrame, target: str) -> DataFrame:
+    """Per champion, role and counterpart: the bundle of the champion's eligible games without that counterpart.
+
+    kind is opponent (matchup-eligible rows with an opponent) or ally
+    (synergy-eligible rows; one that holds the ally twice is left out once).
+    Counterparts are bounded by champions and roles, so a map per champion and role is.
+    """
+    rows = with_age(observed.where(F.col("position").isNotNull()), target)
+    against = rows.where((F.size("matchup_reasons") == 0) & F.col("opponent_champion_id").isNotNull()).withColumns({"other": F.col("opponent_champion_id"), "other_position": F.col("position")})
+    pairs = with_age(synergies(observed), target).dropDuplicates(["match_id", "participant_id", "other", "other_position"]).withColumnsRenamed({"focal": "champion_id", "focal_position": "position"})
+    found = _without(against, against, "opponent").unionByName(_without(pairs, rows.where(F.size("synergy_reasons") == 0), "ally"))
+    stats_ = statistics(F.col("v.g"), F.col("v.w"))
+    status = F.when(F.aggregate(F.col("v.g"), F.lit(0).cast("bigint"), lambda s, x: s + x) > 0, "available").otherwise("unavailable_no_leave_pair_out_observations")
+    return found.select("champion_id", "position", *CONTEXT, "kind", F.col("k.other").alias("other"), F.col("k.other_position").alias("other_position"), status.alias("availability"), *stats_)
+
+
 def reverse_pair_check(rows: DataFrame, target: str) -> DataFrame:
     """check, failures: every pair has its reverse, with equal games and wins against losses."""
     table = pair_statistics(rows, target)

@@ -76,7 +76,7 @@ def participant_features(t: Tables) -> DataFrame:
 
 def reconciliation(t: Tables) -> DataFrame:
     """check, failures: invariants that must hold between the tables."""
-    totals, features = team_totals(t), participant_features(t)
+    features = participant_features(t)
     shares = features.groupBy("match_id", "team_id").agg(F.count(F.lit(1)).alias("n"), F.count("gold_share").alias("filled"), F.sum("gold_share").alias("total"))
     torn = ((F.col("filled") > 0) & (F.col("filled") < F.col("n"))) | (F.abs(F.col("total") - 1) > 1e-9)
     keys = t.participants.agg((F.count(F.lit(1)) - F.count_distinct("match_id", "participant_id")).alias("failures"))
@@ -88,7 +88,7 @@ def reconciliation(t: Tables) -> DataFrame:
         .union(keys.select(F.lit("duplicate_participant").alias("check"), "failures"))
         .union(count(winners, "one_winner", F.col("wins") != 1))
         .union(count(orphans, "participant_without_match"))
-        .union(count(totals, "kills_nonnegative", F.col("team_kills") < 0))
+        .union(count(t.teams.join(t.participants, ["match_id", "team_id"], "left_anti"), "team_without_members"))
     )
 
 

@@ -9,8 +9,8 @@ from rallypoint.functions.formulas import near_top
 
 TEAMS = (100, 200)
 PLATE_CUTOFF_MS = 14 * 60_000
-HERALD_WINDOW_MS = 180_000
-PRIMARY_MINUTES = (10, 15)
+HERALD_WINDOW_MS = 120_000
+PRIMARY_MINUTES = (5, 10, 15)
 LATENESS_MS = 60_000
 FELL_MINUTES = (10, 15, 20, 25)
 
@@ -46,14 +46,15 @@ def timeline_exclusions(matches: DataFrame, participants: DataFrame, timelines:
     rows = matches.join(top_pairs(participants), "match_id", "left").join(timelines.withColumn("downloaded", F.lit(True)), "match_id", "left")
     frames = [frame_at(F.col("frames"), m) for m in PRIMARY_MINUTES]
     rows = rows.select("*", *(f.alias(f"frame_{m}") for f, m in zip(frames, PRIMARY_MINUTES, strict=True)))
-    missing, no_people, bad = F.lit(False), F.lit(False), F.lit(False)
+    missing, by_minute = F.lit(False), []
     for m in PRIMARY_MINUTES:
         frame = F.col(f"frame_{m}")
         missing = missing | frame.isNull()
-        no_people = no_people | frame["people"].isNull()
         people = F.map_from_entries(frame["people"])
+        bad = F.lit(False)
         for top in ("blue_top", "red_top"):
             bad = bad | frame_values(F.try_element_at(people, F.col(top))).isNull()
+        by_minute.append(F.when(frame["people"].isNull(), "participant_frames_missing").when(bad, "primary_target_invalid"))
     reason = (
         F.when(F.col("downloaded").isNull(), "timeline_not_downloaded")
         .when(~F.coalesce(F.col("public_patch") == patch, F.lit(False)), "wrong_patch")
@@ -62,8 +63,7 @@ def timeline_exclusions(matches: DataFrame, participants: DataFrame, timelines:
         .when(F.col("blue_top").isNull(), "top_participant_identification")
         .when(F.col("frames").isNull(), "timeline_frames_missing")
         .when(missing, "primary_frame_missing")
-        .when(no_people, "participant_frames_missing")
-        .when(bad, "primary_target_invalid")
+        .otherwise(F.coalesce(*by_minute))
     )
     return rows.select("match_id", reason.alias("reason"))
 
@@ -104,7 +104,7 @@ def interventions(events: DataFrame, participants: DataFrame, cutoff_ms: int) ->
 
     A kill counts if killer, victim and assistants meet the two top players;
     the others among them speak by their position. herald_tower tells a herald
-    followed within three minutes by a top tower of the other team.
+    followed within two minutes by a top tower of the other team; any_recorded that any of the four holds.
     """
     tops = top_pairs(participants).withColumn("tops", F.array("blue_top", "red_top"))
     roles = participants.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("participant_id", F.coalesce("team_position", F.lit("")).alias("role")))).alias("roles"))
@@ -125,4 +125,4 @@ def interventions(events: DataFrame, participants: DataFrame, cutoff_ms: int) ->
     follows = F.exists("heralds", lambda h: F.exists("towers", lambda t: (h["team_id"] != t["team_id"]) & (t["timestamp"] - h["timestamp"]).between(0, HERALD_WINDOW_MS)))
     out = tops.select("match_id").join(per, "match_id", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
-    return out.select("match_id", no(F.col("j")).alias("jungle_with_top"), no(F.col("o")).alias("other_with_top"), no(F.col("n")).alias("kill_near_top"), no(follows).alias("herald_tower"))
+    return out.select("match_id", no(F.col("j")).alias("jungle_with_top"), no(F.col("o")).alias("other_with_top"), no(F.col("n")).alias("kill_near_top"), no(follows).alias("herald_tower"), (no(F.col("j")) | no(F.col("o")) | no(F.col("n")) | no(follows)).alias("any_recorded"))

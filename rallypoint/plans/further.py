@@ -56,7 +56,7 @@ def frame_values(spark, sf_dir):
 ), n AS (SELECT match_id, any_value(match_no) AS k FROM seat GROUP BY match_id)
 SELECT match_id, CASE WHEN k % 17 = 0 THEN 'timeline_not_downloaded' WHEN public_patch <> '26.15' THEN 'wrong_patch' WHEN queue_id <> 420 THEN 'wrong_queue'
     WHEN duration_seconds < 300 THEN 'remake_or_short_game' WHEN b IS NULL THEN 'top_participant_identification' WHEN k % 13 = 0 THEN 'timeline_frames_missing'
-    WHEN k * 10 % 90 > 60 OR k * 15 % 90 > 60 THEN 'primary_frame_missing' WHEN k % 23 = 0 THEN 'participant_frames_missing' WHEN bad THEN 'primary_target_invalid' END AS reason
+    WHEN k * 5 % 90 > 60 OR k * 10 % 90 > 60 OR k * 15 % 90 > 60 THEN 'primary_frame_missing' WHEN k % 23 = 0 THEN 'participant_frames_missing' WHEN bad THEN 'primary_target_invalid' END AS reason
 FROM matches JOIN n USING (match_id) LEFT JOIN tp USING (match_id) LEFT JOIN bad USING (match_id)""")
 def timeline_exclusions(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -89,9 +89,10 @@ people AS (
     SELECT match_id, bool_or(top AND coalesce(j, false)) AS j, bool_or(top AND coalesce(o, false)) AS o,
         bool_or(top AND ((x <= 6000 AND y >= 8000) OR (x <= 8000 AND y >= 10000))) AS n FROM (SELECT *, event_id * 37 % 12000 AS x, event_id * 53 % 12000 AS y FROM kills) GROUP BY match_id
 ), herald AS (
-    SELECT DISTINCT h.match_id FROM early h JOIN early t ON h.match_id = t.match_id AND h.k = 3 AND t.k IN (1, 4) AND h.team <> t.team AND h.team < 300 AND t.team < 300 AND t.ts_ms - h.ts_ms BETWEEN 0 AND 180000
+    SELECT DISTINCT h.match_id FROM early h JOIN early t ON h.match_id = t.match_id AND h.k = 3 AND t.k IN (1, 4) AND h.team <> t.team AND h.team < 300 AND t.team < 300 AND t.ts_ms - h.ts_ms BETWEEN 0 AND 120000
 )
-SELECT match_id, coalesce(j, false) AS jungle_with_top, coalesce(o, false) AS other_with_top, coalesce(n, false) AS kill_near_top, match_id IN (SELECT match_id FROM herald) AS herald_tower FROM tp LEFT JOIN marks USING (match_id)""")
+SELECT match_id, coalesce(j, false) AS jungle_with_top, coalesce(o, false) AS other_with_top, coalesce(n, false) AS kill_near_top, match_id IN (SELECT match_id FROM herald) AS herald_tower,
+    coalesce(j, false) OR coalesce(o, false) OR coalesce(n, false) OR match_id IN (SELECT match_id FROM herald) AS any_recorded FROM tp LEFT JOIN marks USING (match_id)""")
 def top_interventions(spark, sf_dir):
     t = tables(spark, sf_dir)
     return timelines.interventions(timeline_lens.events(t), t.participants, 900_000)
@@ -133,10 +134,12 @@ def metric_ranges(spark, sf_dir):
     return rounded(checks.ranges(quality.participant_features(tables(spark, sf_dir)), *_METRICS))
 
 
-@query("SELECT o_custkey AS custkey, 'orders' AS side FROM orders WHERE NULL UNION ALL SELECT c_custkey, 'first' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT l_partkey AS partkey, 'first' AS side FROM (SELECT l_partkey FROM lineitem WHERE l_quantity < 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.08)
+    UNION ALL SELECT l_partkey, 'second' FROM (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3)""")
 def key_difference(spark, sf_dir):
-    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    return checks.key_difference(customers.select(F.col("c_custkey").alias("custkey")), orders.select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Parts sold in small quantities, and parts sold at a high discount: those that only one of the two sets holds."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("partkey", F.col("l_partkey"))
+    return checks.key_difference(lines.where("l_quantity < 3"), lines.where("l_discount > 0.08"), "partkey")
 
 
 @query("SELECT k, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT c_custkey AS k, 'customer' AS s FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier UNION ALL SELECT p_partkey, 'part' FROM part) GROUP BY k HAVING count(*) > 1")

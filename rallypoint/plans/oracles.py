@@ -106,7 +106,7 @@ SELECT p.match_id, p.participant_id, p.cs, round((kills + assists) / greatest(1,
     round(CASE WHEN duration_seconds > 0 THEN gold / (duration_seconds / 60) END, 6) AS gold_per_minute, round(CASE WHEN team_gold > 0 THEN gold / team_gold END, 6) AS gold_share,
     round(CASE WHEN team_damage > 0 THEN damage / team_damage END, 6) AS damage_share
 FROM placed p JOIN tt USING (match_id, team_id) JOIN matches USING (match_id)"""
-SQL["reconciliation_checks"] = """SELECT unnest(['share_sum', 'duplicate_participant', 'one_winner', 'participant_without_match', 'kills_nonnegative', 'reverse_pair']) AS "check", 0::BIGINT AS failures"""
+SQL["reconciliation_checks"] = """SELECT unnest(['share_sum', 'duplicate_participant', 'one_winner', 'participant_without_match', 'team_without_members', 'reverse_pair']) AS "check", 0::BIGINT AS failures"""
 SQL["lane_opponents"] = f"""WITH {OBSERVED} SELECT match_id, participant_id, resolution, opponent_participant_id, opponent_champion_id, array_to_string(role_reasons, ',') AS role_reasons,
     array_to_string(list_concat(role_reasons, CASE WHEN resolution <> 'resolved_unique' THEN ['lane_opponent_unresolved'] ELSE [] END), ',') AS matchup_reasons,
     array_to_string(synergy_reasons, ',') AS synergy_reasons FROM observed"""
@@ -305,7 +305,7 @@ SQL["multiclass_metrics"] = """WITH r AS (SELECT event_type, event_id % 3 AS y,
         round(sum((pow(p0 - (y = 0)::INTEGER, 2) + pow(p1 - (y = 1)::INTEGER, 2) + pow(p2 - (y = 2)::INTEGER, 2)) * w) / sum(w), 6) AS brier FROM r GROUP BY event_type"""
 SQL["champion_means"] = """WITH r AS (SELECT user_id, value FROM events) SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(value) ELSE (SELECT avg(value) FROM r) END, 6) AS mean FROM r GROUP BY user_id"""
 SQL["status_catalog"] = "WITH l AS (SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY user_id) SELECT event_type, count(*) AS n FROM l GROUP BY event_type"
-SQL["dedup_antijoin"] = "SELECT c_custkey AS o_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE orders.o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
+SQL["dedup_antijoin"] = "SELECT c_custkey AS user_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)"
 SQL["keep_first_dedup"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS price FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY round(l_extendedprice, 2) DESC, l_partkey, l_suppkey) = 1"""
 SQL["multiset_duplicates"] = """SELECT l_quantity, l_linenumber, count(*) AS copies FROM (SELECT l_quantity, l_linenumber FROM lineitem WHERE l_returnflag = 'A' INTERSECT ALL SELECT l_quantity, l_linenumber FROM lineitem WHERE l_returnflag = 'R') GROUP BY ALL"""

@@ -350,8 +350,8 @@ def status_catalog(spark, sf_dir):
 
 @query
 def dedup_antijoin(spark, sf_dir):
-    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    return records.not_known(customers.select(F.col("c_custkey").alias("o_custkey")), orders.where("o_orderpriority = '1-URGENT'"), "o_custkey")
+    events, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer"))
+    return records.not_known(customers.select(F.col("c_custkey").alias("user_id")), events, "user_id")
 
 
 @query

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallypoint.functions.beta import student_quantiles
-from rallypoint.operators import drafts, interactions, resampling
+from rallypoint.operators import aggregates, drafts, interactions, resampling
 from rallypoint.plans.further import PLATFORM, exact_draws
-from rallypoint.plans.oracles import LENS
+from rallypoint.plans.oracles import OBSERVED, stats
 from rallypoint.plans.oracles import SQL as KNOWN
-from rallypoint.plans.queries import observed, predictions, rounded
+from rallypoint.plans.queries import TARGET, observed, predictions, rounded
 from rallypoint.sources.lens import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,33 @@ SHARES, TARGETS, REPLICATES, POWER_SEED, ELIGIBILITY = [0.4, 0.6], [0.8, 0.9], 4
 def power_requirements(spark, sf_dir):
     """Matches that a paired test of each policy's Brier difference needs, by resampling."""
     return resampling.required_sizes(paired_losses(spark, sf_dir), "policy", "match_id", "brier", SHARES, TARGETS, REPLICATES, POWER_SEED, ELIGIBILITY)
+
+
+_AGED = f"WITH {OBSERVED}, e AS (SELECT *, 15 - split_part(public_patch, '.', 2)::INTEGER AS age FROM observed WHERE position IS NOT NULL AND 15 - split_part(public_patch, '.', 2)::INTEGER <= 5)"
+_GROUP = "champion_id, position, queue_id, platform, region, rank_bracket"
+_ELIGIBLE = {"role": "len(role_reasons) = 0", "matchup": "len(role_reasons) = 0 AND resolution = 'resolved_unique'", "synergy": "len(synergy_reasons) = 0"}
+
+
+@query(f"""{_AGED}, w AS (SELECT unnest(range(0, 6))::INTEGER AS oldest_age),
+    g AS ({" UNION ALL ".join(f"SELECT {_GROUP}, '{b}' AS bundle, oldest_age, string_agg(n::VARCHAR, ',' ORDER BY a) AS games_by_age FROM (SELECT {_GROUP}, oldest_age, a, count(*) FILTER (age = a AND {on}) AS n FROM e, w, range(0, 6) t(a) WHERE a <= oldest_age GROUP BY ALL) GROUP BY ALL" for b, on in _ELIGIBLE.items())}),
+    s AS ({" UNION ALL ".join(f"SELECT {_GROUP}, '{b}' AS bundle, oldest_age, {stats('', f'age <= oldest_age AND {on}')} FROM e, w GROUP BY {_GROUP}, oldest_age" for b, on in _ELIGIBLE.items())}),
+    r AS (SELECT champion_id AS c, position AS p, platform AS f, count(*) FILTER ({_ELIGIBLE["role"]}) AS role_games FROM e GROUP BY ALL),
+    t AS (SELECT *, sum(role_games) OVER (PARTITION BY c, f)::BIGINT AS all_role_games FROM r)
+    SELECT s.*, games_by_age, all_role_games, round(CASE WHEN all_role_games > 0 THEN role_games / all_role_games END, 6) AS role_share, coalesce(CASE WHEN all_role_games > 0 THEN role_games / all_role_games END >= 0.05, false) AS meets_share,
+        role_games >= 50 AS meets_games, coalesce(CASE WHEN all_role_games > 0 THEN role_games / all_role_games END >= 0.05, false) AND role_games >= 50 AS provisional
+    FROM s JOIN g ON s.champion_id = g.champion_id AND s.position = g.position AND s.platform = g.platform AND s.bundle = g.bundle AND s.oldest_age = g.oldest_age JOIN t ON c = s.champion_id AND p = s.position AND f = s.platform""")
+def role_bundles(spark, sf_dir):
+    return aggregates.role_bundles(observed(spark, sf_dir), TARGET)
+
+
+@query(f"""{_AGED}, o AS (SELECT DISTINCT {_GROUP}, opponent_champion_id AS other FROM e WHERE {_ELIGIBLE["matchup"]} AND opponent_champion_id IS NOT NULL),
+    a AS (SELECT DISTINCT focal AS champion_id, focal_position AS position, platform, other, other_position FROM synergies WHERE age <= 5),
+    x AS (SELECT o.champion_id, o.position, o.platform, 'opponent' AS kind, o.other, o.position AS other_position, e.win, e.age, e.opponent_champion_id <> o.other AS left_in FROM o JOIN e ON e.champion_id = o.champion_id AND e.position = o.position AND e.platform = o.platform
+            AND len(e.role_reasons) = 0 AND e.resolution = 'resolved_unique' AND e.opponent_champion_id IS NOT NULL
+        UNION ALL SELECT a.champion_id, a.position, a.platform, 'ally', a.other, a.other_position, e.win, e.age,
+            NOT EXISTS (SELECT 1 FROM synergies y WHERE y.match_id = e.match_id AND y.participant_id = e.participant_id AND y.other = a.other AND y.other_position = a.other_position)
+            FROM a JOIN e ON e.champion_id = a.champion_id AND e.position = a.position AND e.platform = a.platform AND len(e.synergy_reasons) = 0)
+    SELECT champion_id, position, 420 AS queue_id, platform, NULL::VARCHAR AS region, NULL::VARCHAR AS rank_bracket, kind, other, other_position,
+        CASE WHEN count(*) FILTER (left_in) > 0 THEN 'available' ELSE 'unavailable_no_leave_pair_out_observations' END AS availability, {stats('', 'left_in')} FROM x GROUP BY champion_id, position, platform, kind, other, other_position""")
+def exclusion_components(spark, sf_dir):
+    return aggregates.exclusion_components(observed(spark, sf_dir), TARGET)

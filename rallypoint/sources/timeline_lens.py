@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rallypoint.sources.lens import Tables
 
-MINUTES = (10, 15)
+MINUTES = (5, 10, 15)
 
 
 def events(t: Tables) -> DataFrame:

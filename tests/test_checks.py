@@ -112,3 +112,38 @@ def test_cleared_stage_tables_are_made_again(spark, small):
     assert t.once("probe", lambda: spark.range(9).toDF("id")).count() == made.count() == 3
     shutil.rmtree(made.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
     assert t.once("probe", lambda: spark.range(9).toDF("id")).count() == 9
+
+
+def test_exclusions_go_minute_by_minute(spark):
+    """An invalid target at one minute comes before missing people at a later one; a missing frame before both."""
+    good, bad = (100, 1, 1, 1, 5), (100, 1, 1, 1, 19)
+    people = lambda v: {1: v, 2: good}
+    frames = {
+        "ok": [(300_000, people(good)), (600_000, people(good)), (900_000, people(good))],
+        "bad_then_none": [(300_000, people(good)), (600_000, people(bad)), (900_000, None)],
+        "none_then_bad": [(300_000, None), (600_000, people(bad)), (900_000, people(good))],
+        "late": [(300_000, people(bad)), (600_000, None), (960_001, people(good))],
+        "early_bad": [(300_000, people(bad)), (600_000, people(good)), (900_000, people(good))],
+    }
+    value = "struct<total_gold:int,xp:int,minions:int,jungle_minions:int,level:int>"
+    lines = spark.createDataFrame(list(frames.items()), f"match_id string, frames array<struct<timestamp:bigint,people:map<int,{value}>>>")
+    matches = spark.createDataFrame([(m, "26.15", 420, 1800) for m in frames], "match_id string, public_patch string, queue_id int, duration_seconds int")
+    seats = spark.createDataFrame([(m, p, 100 * p, "TOP", "TOP") for m in frames for p in (1, 2)], "match_id string, participant_id int, team_id int, team_position string, individual_position string")
+    got = {r.match_id: r.reason for r in timelines.timeline_exclusions(matches, seats, lines, "26.15").collect()}
+    assert got == {"ok": None, "bad_then_none": "primary_target_invalid", "none_then_bad": "participant_frames_missing", "late": "primary_frame_missing", "early_bad": "primary_target_invalid"}
+
+
+def test_a_herald_counts_for_two_minutes(spark):
+    people = spark.createDataFrame([(m, p, 100 * p, "TOP", "TOP") for m in "abcd" for p in (1, 2)], "match_id string, participant_id int, team_id int, team_position string, individual_position string")
+    fields = "match_id string, timestamp bigint, type string, building_type string, tower_type string, lane_type string, team_id int, monster_type string, killer_id int, victim_id int, assisting_ids array<int>, x int, y int"
+    none = (None,) * 5
+    rows = []
+    for m, later, team in (("a", 120_000, 200), ("b", 120_001, 200), ("c", -1, 200), ("d", 60_000, 100)):
+        rows += [(m, 300_000, "ELITE_MONSTER_KILL", None, None, None, 100, "RIFTHERALD", *none), (m, 300_000 + later, "BUILDING_KILL", "TOWER_BUILDING", "OUTER_TURRET", "TOP_LANE", team, None, *none)]
+    got = {r.match_id: (r.herald_tower, r.any_recorded) for r in timelines.interventions(spark.createDataFrame(rows, fields), people, 900_000).collect()}
+    assert got == {"a": (True, True), "b": (False, False), "c": (False, False), "d": (False, False)}
+
+
+def test_key_difference_tells_both_sides(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (3,), (2,)], "k int")
+    assert {(r.k, r.side) for r in checks.key_difference(a, b, "k").collect()} == {(1, "first"), (None, "first"), (3, "second")}
