@@ -14,6 +14,16 @@ alone: blocks inside one, and in no nav, footer, aside, form or the like, are
 content. Two sets of weights are fitted, one with the hints of tags and names
 (class, id, role) and one without; pages that hint at no main part use the
 latter. The fit starts from, and without examples stays at, the prior weights.
+Blocks in a nav, footer, aside, menu or dialog, in a header outside articles, in
+places for comments, and such that aren't displayed, are boilerplate whatever
+their text, within an article too.
+
+Names are judged word by word: one that has main words alone ("post", "content")
+makes its element main, whatever other names it has in part ("category-tools"),
+unless another has words of boilerplate alone ("comment"). An element that only
+its names or its being a form call boilerplate isn't if it holds at least half of
+the page's unlinked text and no other main part is outside it; places for
+comments stay boilerplate at any length.
 
 Reading is linear in the page's length. A quote that opens an attribute's value
 and isn't closed before white space, `/` or `>` ends with its tag at the next
@@ -62,7 +72,9 @@ BLOCKS = frozenset(
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MAIN_TAGS = frozenset("article main".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog label fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog label".split())
+#: Tags that may hold a whole page.
+FORM_TAGS = frozenset("form fieldset".split())
 MAIN_WORDS = frozenset("article content main post entry story text".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
@@ -71,11 +83,16 @@ BOILER_WORDS = frozenset(
     "register form search widget toolbar tools copyright legal disclaimer skip pagination pager tags hidden contentinfo complementary".split()
 )
 
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+#: An element with this share of the page's unlinked text is none by its name alone.
+MOST = 0.5
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _QUOTED = re.compile(r"=\s*([\"'])")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_COMMENT_END = re.compile("--!?>")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -88,7 +105,11 @@ PRIOR = np.array([[-0.8, 0.5, -3.0, 0.8, 0.8, 1.3, -0.6, 1.0, 0.0, -4.5], [-0.8,
 
 @dataclass
 class Element:
-    """number and parent tell block elements apart; main and boiler hold inside, structural ones by tags alone."""
+    """number and parent tell block elements apart; main and boiler hold inside, structural ones by tags alone.
+
+    soft is the number of the innermost element, this or above, that may be boilerplate by name or as a form, or -1;
+    shut tells places for comments and what isn't displayed.
+    """
 
     tag: str
     number: int
@@ -100,6 +121,21 @@ class Element:
     tag_boiler: bool = False
     link: bool = False
     hidden: bool = False
+    soft: int = -1
+    shut: bool = False
+
+
+@dataclass
+class Soft:
+    """An element that is boilerplate unless the page's text says otherwise; above is the number of the next one outside."""
+
+    above: int
+    form: bool
+    comments: bool
+    unlinked: int = 0
+    main: int = 0
+    holds: bool = True
+    holds_form: bool = False
 
 
 @dataclass
@@ -112,18 +148,43 @@ class Block:
     apart: int
 
 
-def _open(tag: str, attrs: str, above: Element, number: int, parent: int) -> Element:
+def attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _named(found: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether an element's names call it main, boilerplate, or a place for comments."""
+    main = boiler = partly = comments = False
+    for key in ("class", "id", "role"):
+        for name in found.get(key, "").split():
+            words = set(_WORDS.findall(_CAMEL.sub("-", name).lower()))
+            main = main or bool(words) and words <= MAIN_WORDS
+            boiler = boiler or bool(words) and words <= BOILER_WORDS
+            partly = partly or not words.isdisjoint(BOILER_WORDS)
+            comments = comments or not words.isdisjoint(COMMENT_WORDS)
+    return main and not boiler, boiler or (partly and not main), comments
+
+
+def _open(tag: str, attrs: str, above: Element, number: int, parent: int, soft: list[Soft]) -> Element:
     tag_main, tag_boiler = tag in MAIN_TAGS, tag in BOILER_TAGS or (tag == "header" and not above.tag_main)
-    main, boiler = tag_main, tag_boiler
+    main, named, comments, shut, at = tag_main, False, False, above.shut, above.soft
     if attrs and tag not in ("html", "body"):
-        for found in _NAMES.findall(attrs):
-            words = set(_WORDS.findall(_CAMEL.sub("-", html.unescape("".join(found))).lower()))
-            boiler = boiler or not words.isdisjoint(BOILER_WORDS)
-            main = main or not words.isdisjoint(MAIN_WORDS)
-        boiler = boiler or _HIDDEN.search(attrs) is not None
+        found = attributes(attrs)
+        by_name, named, comments = _named(found)
+        main = main or by_name
+        if named and tag_main and not comments:
+            named = any(set(_WORDS.findall(x.lower())) <= BOILER_WORDS for x in found.get("class", "").split())
+        shut = shut or (named and comments) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(found.get("style", "")) is not None
+    if named or tag in FORM_TAGS:
+        at = len(soft)
+        soft.append(Soft(above.soft, tag in FORM_TAGS, comments))
     return Element(
-        tag, number, parent, tag in BLOCKS, above.main or (main and not boiler), above.boiler or boiler,
-        above.tag_main or tag_main, above.tag_boiler or tag_boiler, above.link or tag == "a", above.hidden or tag in HIDDEN,
+        tag, number, parent, tag in BLOCKS, above.main or (main and not named), above.boiler or tag_boiler or shut,
+        above.tag_main or tag_main, above.tag_boiler or tag_boiler, above.link or tag == "a", above.hidden or tag in HIDDEN, at, shut,
     )
 
 
@@ -138,6 +199,7 @@ class _Reader:
         self.last_depth = 0
         self.parts: list[tuple[str, bool]] = []
         self.out: list[Block] = []
+        self.soft: list[Soft] = []
 
     def text(self, text: str) -> None:
         if not self.open[-1].hidden:
@@ -187,7 +249,7 @@ class _Reader:
         if tag in VOID or (attrs.endswith("/") and tag not in BLOCKS):
             return
         self.made += 1
-        element = _open(tag, attrs, self.open[-1], self.made, self.blocks[-1].number)
+        element = _open(tag, attrs, self.open[-1], self.made, self.blocks[-1].number, self.soft)
         self.open.append(element)
         self.counts[tag] += 1
         if element.is_block:
@@ -197,7 +259,9 @@ class _Reader:
             self.inline[-1][tag] += 1
 
     def end(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag == "br":
+            self.text(" ")
+        elif tag in BLOCKS:
             self.end_block()
             if self.counts[tag] > 0:
                 self._pop_to(tag)
@@ -205,6 +269,32 @@ class _Reader:
             self._pop_to(tag)
             self.text(" " if tag in HIDDEN else "")
 
+    def settle(self) -> list[Block]:
+        """The blocks, after it is known which elements hold most of the page's text."""
+        whole = mains = 0
+        for b in self.out:
+            unlinked, main = len(b.text) - min(b.linked, len(b.text)), b.element.main and not b.element.boiler
+            whole += unlinked
+            mains += main
+            if b.element.soft >= 0:
+                self.soft[b.element.soft].unlinked += unlinked
+                self.soft[b.element.soft].main += main
+        for x in reversed(self.soft):
+            if x.above >= 0:
+                self.soft[x.above].unlinked += x.unlinked
+                self.soft[x.above].main += x.main
+        for x in self.soft:
+            x.holds = x.comments or x.unlinked < MOST * whole or x.main < mains
+            x.holds_form = x.holds and x.form
+            if x.above >= 0:
+                x.holds = x.holds or self.soft[x.above].holds
+                x.holds_form = x.holds_form or self.soft[x.above].holds_form
+        for e in {id(b.element): b.element for b in self.out}.values():
+            if e.soft >= 0:
+                e.boiler = e.boiler or self.soft[e.soft].holds
+                e.tag_boiler = e.tag_boiler or self.soft[e.soft].holds_form
+        return self.out
+
 
 def _tag_end(page: str, at: int) -> int:
     """Where the `>` of the tag whose name ends at `at` stands, or -1."""
@@ -233,10 +323,13 @@ def blocks_of(page: str) -> list[Block]:
         if mark > at:
             reader.text(page[at:mark])
         if page.startswith("<!--", mark):
-            stop = page.find("-->", mark + 4)
-            if stop < 0:
+            if page.startswith((">", "->"), mark + 4):
+                at = page.find(">", mark) + 1
+                continue
+            stop = _COMMENT_END.search(page, mark + 4)
+            if not stop:
                 break
-            at = stop + 3
+            at = stop.end()
             continue
         tag = _TAG.match(page, mark)
         if not tag:
@@ -263,7 +356,7 @@ def blocks_of(page: str) -> list[Block]:
         else:
             reader.start(name, attrs)
     reader.end_block()
-    return reader.out
+    return reader.settle()
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -290,7 +383,7 @@ def examples(page: str | None) -> tuple[np.ndarray, np.ndarray]:
     blocks = blocks_of(page or "")
     if not any(b.element.tag_main for b in blocks):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
-    label = np.array([b.element.tag_main and not b.element.tag_boiler for b in blocks], float)
+    label = np.array([b.element.tag_main and not (b.element.tag_boiler or b.element.shut) for b in blocks], float)
     known = np.array([not (y and b.element.boiler) for y, b in zip(label, blocks, strict=True)])
     return features(blocks)[known], label[known]
 
@@ -409,6 +502,7 @@ def content(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     if not n:
         return []
     odds = np.clip(features(blocks) @ weights[int(any(b.element.main for b in blocks))], -12, 12)
+    odds[[b.element.tag_boiler or b.element.shut for b in blocks]] = -12
     # The difference of a block's two terminal capacities; what both could send is cut in any case.
     pull = (np.rint(UNIT * np.log1p(np.exp(odds))) - np.rint(UNIT * np.log1p(np.exp(-odds)))).astype(int).tolist()
     ties: list[dict[int, int]] = [{} for _ in range(n)]
