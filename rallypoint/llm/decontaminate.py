@@ -12,17 +12,25 @@ against equal document values, either within one alignment or over all of them.
 So a question with new numbers or names is caught, wherever these stand and
 however its lines are broken, and a chance fit of placeholders is not.
 
+Items with the same windows in the first reading, whose values are equal in the
+same places, are one class, and a document meets each class once, by the class's
+least item. Another item of the class is met for itself only by documents that
+hold a window of its second reading, with its own names, and leaks only where the
+class doesn't. So leaks and class members grow with documents plus items, however
+many items share a template.
+
 Exactness: a document with 0.8 of an item's windows holds at least one of any
 `n - ceil(0.8 n) + 1` of them, so the first pass over the texts probes only that
 many of each item's windows, the rarest among items. Documents that hit are
-read again and verified in full. Nothing is capped.
+read again and verified in full, against the items whose windows they hit alone.
+Nothing is capped.
 
 Defined results for unusual input: a window with fewer than two words that are
 no placeholder is compared by its own tokens; a text of one to four tokens is
 one window, which only an item of the same tokens meets; texts without tokens
 (null, empty, blank) leak nothing; a very long text is read whole; a null doc_id
-is an id like others; repeated rows give one row per (doc_id, text, item); items
-that repeat count each for itself; empty tables give empty results; other
+is an id like others; repeated rows give one row per (doc_id, text, class); items
+that repeat are one class; an item without tokens has none; empty tables give empty results; other
 columns, whatever their names, pass through drop_leaks untouched.
 """
 
@@ -89,7 +97,7 @@ def probe_hashes(texts: DataFrame, text: Column, *ids: str) -> DataFrame:
 
 
 def windows(texts: DataFrame, text: Column, *ids: str) -> DataFrame:
-    """ids, at, key, hash, own, slots, n_windows: every window of every text, once a reading.
+    """ids, at, key, hash, own, slots, n_windows, r: every window of every text, once a reading (r 0 and, where it differs, 1).
 
     own holds the window's tokens, slots its placeholders' places; key is what
     must be equal for windows to meet.
@@ -101,9 +109,9 @@ def windows(texts: DataFrame, text: Column, *ids: str) -> DataFrame:
     n = F.greatest(F.size("o") - WINDOW, F.lit(0))
     length = F.least(F.size("o"), F.lit(WINDOW))
     part = lambda c, i: F.slice(c, i + 1, length)
-    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("at"), part("o", i).alias("own"), F.array_distinct(F.array(part("a", i), part("b", i))).alias("likes")))
-    each = split.select(*ids, (n + 1).alias("n_windows"), F.explode(cut).alias("w")).select(*ids, "n_windows", "w.at", "w.own", F.explode("w.likes").alias("like"))
-    return _keyed(each, *ids)
+    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("at"), part("o", i).alias("own"), F.array(F.struct(part("a", i).alias("like"), F.lit(0).alias("r")), F.struct(part("b", i).alias("like"), F.lit(1).alias("r"))).alias("likes")))
+    each = split.select(*ids, (n + 1).alias("n_windows"), F.explode(cut).alias("w")).select(*ids, "n_windows", "w.at", "w.own", F.explode(F.when(F.get("w.likes", F.lit(0))["like"] == F.get("w.likes", F.lit(1))["like"], F.slice("w.likes", 1, 1)).otherwise(F.col("w.likes"))).alias("l"))
+    return _keyed(each.select(*ids, "n_windows", "at", "own", "l.like", "l.r"), *ids)
 
 
 def _keyed(cut: DataFrame, *ids: str) -> DataFrame:
@@ -120,35 +128,74 @@ def _keyed(cut: DataFrame, *ids: str) -> DataFrame:
         "own",
         F.when(typed, F.filter(F.transform("like", lambda x, i: F.when(is_slot(x), i)), lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>")).alias("slots"),
         "n_windows",
+        "r",
     )
 
 
 def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """item_id, row, at, key, hash, own, slots, n_windows: the windows of each item."""
+    """item_id, row, at, key, hash, own, slots, n_windows, r: the windows of each item; r is 1 if the second reading alone has the key."""
     rows = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return windows(rows, F.col("text"), "item_id", "row")
+    return windows(rows, F.col("text"), "item_id", "row").withColumn("r", F.min("r").over(W.partitionBy("row", "at", "key")))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """doc_id, text_hash, item_id, n_windows, n_found: the items that each document leaks."""
+def item_classes(filed: DataFrame) -> DataFrame:
+    """row, item_id, class_row, class_item of every item with windows; the class's least item_id (nulls last) stands for it.
+
+    A window's signature is its key and, for each placeholder, where the item's
+    value came up first; an item's is those of its windows in turn.
+    """
+    first_reading = filed.where("r = 0")
+    spots = first_reading.select("row", "at", "key", F.posexplode("slots").alias("nth", "i"), "own").select("row", "at", "key", "nth", F.get("own", F.col("i")).alias("value")).distinct()
+    first = F.min(F.struct("at", "key", "nth")).over(W.partitionBy("row", "value"))
+    patterns = spots.withColumn("first", first).groupBy("row", "at", "key").agg(F.to_json(F.array_sort(F.collect_list(F.struct("nth", "first")))).alias("pattern"))
+    signed = first_reading.select("row", "item_id", "at", "key").distinct().join(patterns, ["row", "at", "key"], "left").select("row", "item_id", "at", F.sha2(F.concat_ws("|", "key", F.coalesce("pattern", F.lit(""))), 256).alias("digest"))
+    items = signed.groupBy("row", "item_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("at", "digest")))), 256).alias("signature"))
+    least = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "row")).over(W.partitionBy("signature"))
+    return items.select("row", "item_id", least["row"].alias("class_row"), least["item_id"].alias("class_item"))
+
+
+def _prepared(items: DataFrame, item_text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
+    """All items' windows with their class_row and class_item, and all items' classes."""
     filed = materialise(item_windows(items, item_text, item_id), "items")
+    classes = materialise(item_classes(filed), "item-classes")
+    own = classes.select(F.col("row").alias("of"), "class_row", "class_item")
+    return materialise(filed.join(own, F.col("row") == F.col("of")).drop("of"), "class-windows"), classes
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """doc_id, text_hash, item_id, n_windows, n_found, class_item_id: the item classes that each document leaks, by their
+    least items, and other items of classes that it leaks by those alone."""
+    return _leaks(docs, _prepared(items, item_text, item_id)[0], text, doc_id)
+
+
+def leaks_and_members(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """doc_id, item_id, n_windows, n_found, class_item_id: the rows of find_leaks, and, with nulls for doc_id, n_windows
+    and n_found, a row for each item of a class but its least."""
+    filed, classes = _prepared(items, item_text, item_id)
+    leaks = _leaks(docs, filed, text, doc_id).drop("text_hash")
+    kinds = {f.name: f.dataType for f in leaks.schema}
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("doc_id", "n_windows", "n_found")}
+    members = classes.where("row <> class_row").select(none["doc_id"], "item_id", none["n_windows"], none["n_found"], F.col("class_item").alias("class_item_id"))
+    return leaks.unionByName(members)
+
+
+def _leaks(docs: DataFrame, filed: DataFrame, text: str, doc_id: str) -> DataFrame:
     need = F.ceil(F.col("n_windows") * SIMILARITY_PERCENT / 100)
-    shared = filed.groupBy("hash").agg(F.count(F.lit(1)).alias("n_items"))
-    place = filed.join(shared, "hash").withColumn("at_most", F.max("n_items").over(W.partitionBy("row", "at")))
-    probes = (
-        place.withColumn("nth", F.dense_rank().over(W.partitionBy("row").orderBy("at_most", "at")))
-        .where(F.col("nth") <= F.col("n_windows") - need + 1)
-        .select(F.col("hash").alias("probe"))
-        .distinct()
-    )
+    least = filed.where("row = class_row")
+    shared = least.groupBy("hash").agg(F.count(F.lit(1)).alias("n_items"))
+    place = least.join(shared, "hash").withColumn("at_most", F.max("n_items").over(W.partitionBy("row", "at")))
+    rarest = place.withColumn("nth", F.dense_rank().over(W.partitionBy("row").orderBy("at_most", "at"))).where(F.col("nth") <= F.col("n_windows") - need + 1)
+    probes = rarest.select(F.col("hash").alias("probe"), F.col("row").alias("probe_row")).union(filed.where("row <> class_row AND r = 1").select("hash", "row")).distinct()
     probes = materialise(probes, "probes")
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     hashes = probe_hashes(read, F.col("text"), "doc_id", "text_hash")
-    hit = materialise(hashes.join(probes, F.col("hash") == F.col("probe"), "left_semi").select("doc_id", "text_hash").distinct(), "hit")
-    again = read.alias("r").join(hit.alias("h"), F.expr("r.text_hash = h.text_hash AND r.doc_id <=> h.doc_id"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    theirs = windows(again, F.col("text"), "doc_id", "text_hash").select("doc_id", "text_hash", F.col("at").alias("doc_at"), F.col("key").alias("doc_key"), F.col("own").alias("doc_own"))
-    met = theirs.join(filed, F.col("doc_key") == F.col("key")).select(
-        "doc_id", "text_hash", "item_id", "row", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("shift"),
+    hit = materialise(hashes.join(probes, F.col("hash") == F.col("probe")).select("doc_id", "text_hash", "probe_row").distinct(), "hit")
+    who = hit.select("doc_id", "text_hash").distinct()
+    again = read.alias("r").join(who.alias("h"), F.expr("r.text_hash = h.text_hash AND r.doc_id <=> h.doc_id"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    theirs = windows(again, F.col("text"), "doc_id", "text_hash").select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("doc_hash"), F.col("at").alias("doc_at"), F.col("key").alias("doc_key"), F.col("own").alias("doc_own"))
+    asked = hit.join(filed.drop("r"), F.col("probe_row") == F.col("row"))
+    met = theirs.join(asked, (F.col("doc_key") == F.col("key")) & (F.col("doc_hash") == F.col("text_hash")) & F.col("doc").eqNullSafe(F.col("doc_id"))).select(
+        "doc_id", "text_hash", "item_id", "row", "class_row", "class_item", "n_windows", "at", (F.col("doc_at") - F.col("at")).alias("shift"),
         F.transform("slots", lambda i: F.struct(F.get("own", i).alias("a"), F.get("doc_own", i).alias("b"))).alias("pairs"),
     )
     met = materialise(met, "met")
@@ -156,13 +203,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     slots = met.select(*pair, "shift", F.explode("pairs").alias("p")).select(*pair, "shift", "p.a", "p.b").distinct()
     passed = []
     for by in (pair, [*pair, "shift"]):
-        found = met.groupBy(*by, "item_id", "n_windows").agg(F.count_distinct("at").alias("n_found")).where(F.col("n_found") >= need)
+        found = met.groupBy(*by, "item_id", "class_row", "class_item", "n_windows").agg(F.count_distinct("at").alias("n_found")).where(F.col("n_found") >= need)
         torn = slots.groupBy(*by, "a").agg(F.count_distinct("b").alias("n")).where("n > 1").select(*by).distinct()
         same = F.lit(True)
         for c in by:
             same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}"))
-        passed.append(found.alias("f").join(torn.alias("t"), same, "left_anti").select(*pair, "item_id", "n_windows", "n_found"))
-    return passed[0].union(passed[1]).groupBy("doc_id", "text_hash", "item_id", "n_windows", "row").agg(F.max("n_found").alias("n_found")).drop("row")
+        passed.append(found.alias("f").join(torn.alias("t"), same, "left_anti").select(*pair, "item_id", "class_row", "class_item", "n_windows", "n_found"))
+    leaked = passed[0].union(passed[1]).groupBy(*pair, "item_id", "class_row", "class_item", "n_windows").agg(F.max("n_found").alias("n_found"))
+    by_class = F.max((F.col("row") == F.col("class_row")).cast("int")).over(W.partitionBy("doc_id", "text_hash", "class_row"))
+    kept = leaked.withColumn("by_class", by_class).where((F.col("row") == F.col("class_row")) | (F.col("by_class") == 0))
+    return kept.select("doc_id", "text_hash", "item_id", "n_windows", "n_found", F.col("class_item").alias("class_item_id"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -50,8 +50,7 @@ def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return leaks.drop("text_hash")
+    return decontaminate.leaks_and_members(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,23 +113,34 @@ WITH docs AS (
 ), templated AS (
     SELECT kind, rid, c, rtrim(regexp_replace(regexp_replace(c || ' ', '[^ ]*[0-9][^ ]*', '#', 'g'), '# @?({_UNITS}) ', '# ~ ', 'g')) AS s FROM cleaned WHERE c <> ''
 ), split AS (
-    SELECT kind, rid, string_split(replace(c, '@', ''), ' ') AS o, string_split(regexp_replace(s, '@[^ ]+', '@', 'g'), ' ') AS t FROM templated
-    UNION ALL SELECT kind, rid, string_split(replace(c, '@', ''), ' '), string_split(replace(s, '@', ''), ' ') FROM templated
+    SELECT kind, rid, string_split(replace(c, '@', ''), ' ') AS o, string_split(regexp_replace(s, '@[^ ]+', '@', 'g'), ' ') AS t, 0 AS r FROM templated
+    UNION ALL SELECT kind, rid, string_split(replace(c, '@', ''), ' '), string_split(replace(s, '@', ''), ' '), 1 FROM templated
 ), cut AS (
-    SELECT kind, rid, pos, o[pos + 1 : pos + 5] AS own, t[pos + 1 : pos + 5] AS likes
+    SELECT kind, rid, pos, r, o[pos + 1 : pos + 5] AS own, t[pos + 1 : pos + 5] AS likes
     FROM (SELECT *, unnest(range(0, greatest(len(t) - 5, 0) + 1)) AS pos FROM split)
 ), typed AS (
     SELECT *, own AS plain, len(likes) >= 5 AND len(list_filter(likes, lambda x: x NOT IN ('#', '@', '~'))) >= 2 AS typed FROM cut
 ), keyed AS (
-    SELECT DISTINCT kind, rid, pos, plain, likes, typed,
+    SELECT kind, rid, pos, plain, likes, typed, key, min(r) AS r FROM (SELECT *,
         CASE WHEN len(likes) < 5 THEN 'short ' WHEN typed THEN 't ' ELSE 'o ' END || array_to_string(CASE WHEN typed THEN likes ELSE plain END, ' ') AS key
-    FROM typed
+    FROM typed) GROUP BY ALL
 ), counts AS (
     SELECT rid, count(DISTINCT pos) AS n FROM keyed WHERE kind = 'item' GROUP BY rid
+), every AS (
+    SELECT rid, pos, key, plain, likes, typed, min(r) OVER (PARTITION BY rid, pos, key) AS r FROM keyed WHERE kind = 'item'
+), spots AS (
+    SELECT DISTINCT rid, pos, key, k, plain[k] AS value FROM every, range(1, 6) t(k) WHERE r = 0 AND typed AND likes[k] IN ('#', '@', '~')
+), patterns AS (
+    SELECT rid, pos, key, list((k, first) ORDER BY k) AS pattern FROM (SELECT *, min((pos, key, k)) OVER (PARTITION BY rid, value) AS first FROM spots) GROUP BY rid, pos, key
+), signatures AS (
+    SELECT rid, list((pos, key, pattern)::VARCHAR ORDER BY pos, key) AS signature FROM (SELECT DISTINCT rid, pos, key FROM every WHERE r = 0) LEFT JOIN patterns USING (rid, pos, key) GROUP BY rid
+), classes AS (
+    SELECT rid, item_id, first_value(rid) OVER w AS class_rid, first_value(item_id) OVER w AS class_item FROM signatures JOIN items USING (rid)
+    WINDOW w AS (PARTITION BY signature ORDER BY item_id NULLS LAST, rid)
 ), filed AS (
-    SELECT rid, pos, key, plain, likes, typed FROM keyed WHERE kind = 'item'
+    SELECT every.*, class_rid, class_item FROM every JOIN classes USING (rid)
 ), met AS (
-    SELECT d.rid AS doc, i.rid AS item, c.n, i.pos, d.pos - i.pos AS shift, d.plain AS b, i.plain AS a, i.likes, i.typed
+    SELECT d.rid AS doc, i.rid AS item, class_rid, class_item, max(i.r) OVER (PARTITION BY d.rid, i.rid) AS r, c.n, i.pos, d.pos - i.pos AS shift, d.plain AS b, i.plain AS a, i.likes, i.typed
     FROM keyed d JOIN filed i ON d.kind = 'doc' AND d.key = i.key JOIN counts c ON c.rid = i.rid
 ), slots AS (
     SELECT DISTINCT doc, item, shift, a[k] AS a, b[k] AS b FROM met, range(1, 6) r(k) WHERE typed AND likes[k] IN ('#', '@', '~')
@@ -145,7 +156,11 @@ WITH docs AS (
     SELECT doc, item, n, found FROM whole ANTI JOIN torn USING (doc, item)
     UNION ALL SELECT doc, item, n, found FROM aligned ANTI JOIN torn_shift USING (doc, item, shift)
 )
-SELECT doc_id, item_id, n AS n_windows, max(found) AS n_found FROM passed p JOIN docs d ON d.rid = p.doc JOIN items i ON i.rid = p.item GROUP BY doc, item, doc_id, item_id, n
+SELECT doc_id, item_id, n AS n_windows, found AS n_found, class_item AS class_item_id FROM (
+    SELECT p.*, class_rid, class_item, max((item = class_rid)::INTEGER) OVER (PARTITION BY doc, class_rid) AS by_class
+    FROM (SELECT doc, item, n, max(found) AS found FROM passed WHERE (doc, item) IN (SELECT (doc, item) FROM met WHERE item = class_rid OR r = 1) GROUP BY ALL) p JOIN classes ON rid = item
+) q JOIN docs d ON d.rid = doc JOIN items i ON i.rid = item WHERE item = class_rid OR by_class = 0
+UNION ALL SELECT NULL, item_id, NULL, NULL, class_item FROM classes WHERE rid <> class_rid
 """
 
 OP12 = r"""
