@@ -150,56 +150,6 @@ def gate(checks: Iterable[tuple[str, Column]]) -> list[Column]:
     return [*named, whole.alias("passes")]
 
 
-_FIT = T.StructType([T.StructField("dimension", T.IntegerType()), T.StructField("l2", T.DoubleType()), T.StructField("loss", T.DoubleType()), T.StructField("rows", T.LongType())])
-
-
-def fit_shared_interactions(slots: DataFrame, grid: list[tuple[int, float]], champions: int, validation_share: int = 5, steps: int = 200) -> DataFrame:
-    """dimension, l2, loss per configuration of the shared-embedding draft model.
-
-    score = bias + main effects + ally products within sides + counter products
-    across lanes. A task fits one configuration on the drafts' ten slots, so the
-    grid is what runs in parallel; the slots of one platform's drafts fit a task.
-    """
-    wide = slots.select("match_id", "outcome", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(l2).alias("l2")) for d, l2 in grid))).alias("g"), "blue", "red")
-    wide = wide.select("match_id", "outcome", "blue", "red", "g.*")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("match_id")
-        d, l2 = int(pdf["dimension"].iloc[0]), float(pdf["l2"].iloc[0])
-        blue, red, y = np.stack(pdf["blue"]), np.stack(pdf["red"]), pdf["outcome"].to_numpy(float)
-        held = np.array([_seed(m) % validation_share == 0 for m in pdf["match_id"]])
-        rng = np.random.default_rng(_seed(d, l2))
-        n = champions * 5
-        main, ally, attack, defend = np.zeros(n), *(rng.normal(0, 0.01, (n, d)) for _ in range(3))
-        bias, rate = 0.0, 0.05
-        moments = [np.zeros_like(x) for x in (main, ally, attack, defend)]
-
-        def scores(b, r):
-            sb, sr = ally[b].sum(1), ally[r].sum(1)
-            within = ((sb**2).sum(1) - (ally[b] ** 2).sum((1, 2)) - (sr**2).sum(1) + (ally[r] ** 2).sum((1, 2))) / 2
-            across = (attack[b] * defend[r] - attack[r] * defend[b]).sum((1, 2))
-            return bias + main[b].sum(1) - main[r].sum(1) + within + across
-
-        b, r, t = blue[~held], red[~held], y[~held]
-        for _ in range(steps if len(t) else 0):
-            g = (1 / (1 + np.exp(-scores(b, r))) - t) / len(t)
-            grads = [l2 * main, l2 * ally, l2 * attack, l2 * defend]
-            for side, sign, other in ((b, 1, r), (r, -1, b)):
-                np.add.at(grads[0], side, np.repeat(sign * g[:, None], 5, 1))
-                np.add.at(grads[1], side, sign * g[:, None, None] * (ally[side].sum(1, keepdims=True) - ally[side]))
-                np.add.at(grads[2], side, sign * g[:, None, None] * defend[other])
-                np.add.at(grads[3], side, -sign * g[:, None, None] * attack[other])
-            bias -= rate * g.sum()
-            for x, grad, m in zip((main, ally, attack, defend), grads, moments, strict=True):
-                m += grad**2
-                x -= rate * grad / (np.sqrt(m) + 1e-8)
-        p = np.clip(1 / (1 + np.exp(-scores(blue[held], red[held]))), 1e-15, 1 - 1e-15) if held.any() else np.zeros(0)
-        loss = float(-(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)).mean()) if len(p) else None
-        return pd.DataFrame({"dimension": [d], "l2": [l2], "loss": [loss], "rows": [len(pdf)]})
-
-    return wide.groupBy("dimension", "l2").applyInPandas(fit, _FIT)
-
-
 def best_configuration(results: DataFrame) -> DataFrame:
     """The configuration with the least loss; losses within 1e-12 tie, then most penalty, then fewest dimensions."""
     least = results.agg(F.min("loss").alias("least"))

@@ -367,20 +367,20 @@ PLATFORM = "CASE WHEN substr(match_id, 2)::BIGINT % 2 = 0 THEN 'eun1' ELSE 'euw1
 
 
 def _quantiles(m: str) -> str:
-    return f"round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.975), 6) AS high"
+    return f"round(quantile_cont({m}, 0.025), 6) + 0 AS low, round(quantile_cont({m}, 0.975), 6) + 0 AS high"
 
 
 def _bootstrap(rows: str, seed: int, replicates: int) -> str:
     """SQL over rows (policy, match_id, v): clusters are matches, strata their platforms."""
     units = f"SELECT policy, match_id, {PLATFORM}, sum(v) AS s, count(v) AS n FROM ({rows}) GROUP BY policy, match_id"
-    estimate = "round((SELECT sum(s) / sum(n) FROM c WHERE c.policy = m.policy), 6) AS estimate"
+    estimate = "round((SELECT sum(s) / sum(n) FROM c WHERE c.policy = m.policy), 6) + 0 AS estimate"
     return exact_draws(units, "sum(s) / nullif(sum(n), 0) AS m", seed, replicates, f"{estimate}, {_quantiles('m')}")
 
 
 _LOSS = "SELECT policy, match_id, avg(pow(probability - outcome, 2)) AS loss FROM p WHERE probability IS NOT NULL GROUP BY policy, match_id"
 SQL["paired_bootstrap"] = exact_draws(
     f"SELECT a.policy, match_id, {PLATFORM}, a.loss - b.loss AS v FROM ({_LOSS}) a JOIN ({_LOSS}) b USING (match_id) WHERE b.policy = 'naive_empirical' AND a.policy <> 'naive_empirical'",
-    "sum(v) / count(*) AS m", 34, 2000, f"round((SELECT avg(v) FROM c WHERE c.policy = m.policy), 6) AS estimate, {_quantiles('m')}, round(avg((m < 0)::INTEGER), 6) AS share_below")
+    "sum(v) / count(*) AS m", 34, 2000, f"round((SELECT avg(v) FROM c WHERE c.policy = m.policy), 6) + 0 AS estimate, {_quantiles('m')}, round(avg((m < 0)::INTEGER), 6) AS share_below")
 SQL["cluster_bootstrap"] = _bootstrap("SELECT policy, match_id, pow(probability - outcome, 2) AS v FROM p WHERE probability IS NOT NULL", 33, 200)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallypoint.functions import clock, identity, patches
 from rallypoint.functions.formulas import POSITIONS
-from rallypoint.operators import aggregates, audits, drafts, models, opponents, policies, quality, records, resampling, series
+from rallypoint.operators import aggregates, audits, drafts, interactions, models, opponents, policies, quality, records, resampling, series
 from rallypoint.sources import series_lens
 from rallypoint.sources.lens import tables
 from rallypoint.sources.stages import stage
@@ -444,9 +444,12 @@ def calibration_line(spark, sf_dir):
 
 @query
 def shared_interactions(spark, sf_dir):
-    rows = drafts.corpus(observed(spark, sf_dir))
-    at = lambda side: F.array(*(F.col(f"{side}_{r.lower()}") - 1 + 40 * i for i, r in enumerate(POSITIONS)))
-    return models.fit_shared_interactions(rows.select("match_id", "outcome", at("blue").alias("blue"), at("red").alias("red")), [(2, 0.001), (2, 0.01), (4, 0.01)], 40)
+    """Held-out loss of each configuration: drafts of one fifth of the hashes, all configurations fitted side by side on the rest."""
+    rows, grid = tables(spark, sf_dir).once("drafts", lambda: drafts.corpus(observed(spark, sf_dir))), [(2, 0.001), (2, 0.01), (4, 0.01)]
+    coded, known = interactions.coded(rows, F.pmod(F.xxhash64("match_id"), F.lit(5)))
+    cells = [interactions.Cell("hash", None, interactions.Config(f"{d}-{l2}", l2, l2, d, d), 4, 5) for d, l2 in grid]
+    losses = interactions.validation_losses(coded, *interactions.fit_cells(coded, known.count(), cells, 34))
+    return rounded(spark.createDataFrame([(d, l2, losses[i][1], losses[i][0]) for i, (d, l2) in enumerate(grid)], "dimension int, l2 double, loss double, rows bigint"))
 
 
 @query

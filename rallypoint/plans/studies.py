@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallypoint.functions.beta import student_quantiles
-from rallypoint.operators import aggregates, drafts, interactions, resampling
+from rallypoint.operators import aggregates, boosting, diagnostics, drafts, interactions, resampling
 from rallypoint.plans.further import PLATFORM, exact_draws
 from rallypoint.plans.oracles import OBSERVED, stats
 from rallypoint.plans.oracles import SQL as KNOWN
-from rallypoint.plans.queries import TARGET, observed, predictions, rounded
+from rallypoint.plans.queries import TARGET, observed, predictions, rounded, split
 from rallypoint.sources.lens import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,7 +128,7 @@ _BY = """SELECT policy, match_id, avg(-ln(CASE WHEN outcome = 1 THEN least(great
     avg(pow(probability - outcome, 2)) AS b FROM p WHERE probability IS NOT NULL GROUP BY policy, match_id"""
 _PAIRED = f"SELECT a.policy, match_id, {PLATFORM}, a.l - n.l AS log_loss, a.b - n.b AS brier FROM ({_BY}) a JOIN ({_BY}) n USING (match_id) WHERE n.policy = 'naive_empirical' AND a.policy <> 'naive_empirical'"
 _BOTH = exact_draws(_PAIRED, "avg(log_loss) AS ml, avg(brier) AS mb", 36, 1000, ", ".join(
-    f"round((SELECT avg({c}) FROM c WHERE c.policy = m.policy), 6) AS e{m}, round(quantile_cont({m}, 0.025), 6) AS l{m}, round(quantile_cont({m}, 0.975), 6) AS h{m}, round(avg(({m} < 0)::INTEGER), 6) AS s{m}" for c, m in (("log_loss", "ml"), ("brier", "mb"))))
+    f"round((SELECT avg({c}) FROM c WHERE c.policy = m.policy), 6) + 0 AS e{m}, round(quantile_cont({m}, 0.025), 6) + 0 AS l{m}, round(quantile_cont({m}, 0.975), 6) + 0 AS h{m}, round(avg(({m} < 0)::INTEGER), 6) AS s{m}" for c, m in (("log_loss", "ml"), ("brier", "mb"))))
 
 
 @query(f"""SELECT policy, unnest(['log_loss', 'brier']) AS metric, unnest([eml, emb]) AS estimate, unnest([lml, lmb]) AS low, unnest([hml, hmb]) AS high, unnest([sml, smb]) AS share_below FROM ({_BOTH})""")
@@ -187,3 +187,80 @@ def role_bundles(spark, sf_dir):
         CASE WHEN count(*) FILTER (left_in) > 0 THEN 'available' ELSE 'unavailable_no_leave_pair_out_observations' END AS availability, {stats('', 'left_in')} FROM x GROUP BY champion_id, position, platform, kind, other, other_position""")
 def exclusion_components(spark, sf_dir):
     return aggregates.exclusion_components(observed(spark, sf_dir), TARGET)
+
+
+_P = KNOWN["policy_predictions"]
+_PLACE = "CASE WHEN substr(match_id, 2)::BIGINT % 2 = 0 THEN 'eun1' ELSE 'euw1' END"
+
+
+def _quantile_columns(value: str) -> str:
+    return ", ".join(f"round(quantile_cont({value}, {q}), 6) AS q{round(100 * q):02d}" for q in diagnostics.QUANTILES)
+
+
+@query(f"""WITH p AS ({_P}), s AS (SELECT policy, unnest(['overall', {_PLACE}]) AS scope, probability AS v FROM p WHERE probability IS NOT NULL)
+    SELECT policy, scope, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, round(avg(abs(v - 0.5)), 6) AS distance,
+    {", ".join(f"round(avg((v BETWEEN {a} AND {b})::INTEGER), 6) AS band_{round(100 * a)}_{round(100 * b)}" for a, b in diagnostics.BANDS)}, {_quantile_columns("v")} FROM s GROUP BY ALL""")
+def prediction_bands(spark, sf_dir):
+    return rounded(diagnostics.prediction_summary(predictions(spark, sf_dir), "policy", "platform"))
+
+
+@query(f"""WITH p AS ({_P}), b AS (SELECT a.match_id, a.probability AS p1, c.probability AS p2 FROM p a JOIN p c USING (match_id, participant_id) WHERE a.policy = 'champion_role_baseline' AND c.policy = 'matchup_synergy_combination' AND a.probability IS NOT NULL AND c.probability IS NOT NULL),
+    s AS (SELECT unnest(['overall', {_PLACE}]) AS scope, p1, p2 - p1 AS d, abs(p2 - p1) AS a FROM b),
+    t AS (SELECT scope, 'all' AS band, d, a FROM s {" ".join(f"UNION ALL SELECT scope, '{a:.2f}-{b:.2f}', d, a FROM s WHERE p1 BETWEEN {a} AND {b}" for a, b in diagnostics.BANDS)})
+    SELECT scope, band, count(*) AS n, round(avg(d), 6) + 0 AS signed, round(avg(a), 6) AS absolute, round(max(a), 6) AS most, {_quantile_columns("a")} FROM t GROUP BY ALL""")
+def prediction_disagreement(spark, sf_dir):
+    return rounded(diagnostics.disagreement(predictions(spark, sf_dir), "policy", "champion_role_baseline", "matchup_synergy_combination", "platform", "match_id", "participant_id"))
+
+
+_NAMES = ("naive_empirical", "champion_role_baseline", "shrunk_directional_matchup", "shrunk_directional_synergy", "matchup_synergy_combination")
+_PAIRS = [(b, a) for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :]]
+
+
+_ROLED = KNOWN["policy_predictions"].replace("SELECT policy, match_id, participant_id, outcome,", "SELECT policy, match_id, participant_id, role, outcome,")
+
+
+@query(f"""WITH p AS ({_ROLED}), l AS (SELECT policy, match_id, participant_id, {_PLACE} AS platform, role, unnest(['brier', 'log_loss']) AS metric,
+        unnest([pow(probability - outcome, 2), -ln(CASE WHEN outcome = 1 THEN least(greatest(probability, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(probability, 1e-15), 1 - 1e-15) END)]) AS x FROM p WHERE probability IS NOT NULL),
+    d AS (SELECT a.policy AS candidate, b.policy AS comparator, metric, a.platform, a.role, a.x - b.x AS d FROM l a JOIN l b USING (match_id, participant_id, metric)
+        WHERE (a.policy, b.policy) IN ({", ".join(map(str, _PAIRS))}))
+    SELECT candidate, comparator, metric, platform, role, count(*) AS n, round(avg(d), 6) + 0 AS difference, round(stddev_samp(d), 6) AS deviation, round(avg((d < 0)::INTEGER), 6) AS better
+    FROM d GROUP BY GROUPING SETS ((candidate, comparator, metric), (candidate, comparator, metric, platform), (candidate, comparator, metric, role))""")
+def comparison_ladder(spark, sf_dir):
+    """Every pair of policies by both metrics, over all rows and by platform and role, from one scan."""
+    p, y = F.least(F.greatest("probability", F.lit(1e-15)), F.lit(1 - 1e-15)), F.col("outcome")
+    losses = {"brier": F.pow(F.col("probability") - y, 2), "log_loss": -F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))}
+    return rounded(diagnostics.ladder(predictions(spark, sf_dir).where("probability IS NOT NULL"), "policy", losses, _PAIRS, ["platform", "role"], "match_id", "participant_id"))
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = split(spark, sf_dir)
+    slots = drafts.slots(train).withColumn("slot_id", F.concat_ws("/", "match_id", F.col("sign").cast("string")))
+    return boosting.ordered_statistics(slots.select("slot_id", "match_id", "sign", "role", "champion", "won"), "slot_id", ["role", "champion"], "won", 0.5, 7)
+
+
+@query(f"""WITH {_DRAFT}, t AS (SELECT match_id || '/' || sign AS slot_id, match_id, sign, role, champion, won FROM ds WHERE public_patch <> '26.15'),
+    o AS (SELECT *, count(*) OVER w AS earlier_n, coalesce(sum(won) OVER w, 0)::BIGINT AS earlier_sum FROM t WINDOW w AS (PARTITION BY role, champion ORDER BY sha256('7|' || slot_id), slot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT *, round((earlier_sum + 0.5) / (earlier_n + 1), 9) AS value FROM o""")
+def ordered_statistics(spark, sf_dir):
+    """Each training slot's smoothed win rate over earlier slots of its role and champion, in a hashed order."""
+    return rounded(ordered(spark, sf_dir), 9)
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    """Ordered boosting on the ten slots before the target patch; probabilities of the target patch's drafts."""
+    train, test = split(spark, sf_dir)
+    names = [f"{side}_{r}" for side in (1, -1) for r in ("TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY")]
+    at = F.array_position(F.array(*map(F.lit, names)), F.concat_ws("_", F.col("sign").cast("string"), "role"))
+
+    def wide(values: DataFrame) -> DataFrame:
+        by = values.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(at.alias("i"), boosting.binned(F.col("value")).alias("b")))).alias("x"))
+        return by.select("match_id", F.transform("x", lambda v: v["b"]).alias("bins"))
+
+    y = train.select(F.col("match_id").alias("of"), F.col("outcome").alias("y"))
+    fitted = boosting.boost(wide(ordered(spark, sf_dir)).join(y, F.col("match_id") == F.col("of")).select("bins", "y"), 10, trees=12, depth=2)
+    rates = boosting.whole_statistics(drafts.slots(train), ["role", "champion"], "won", 0.5).withColumnsRenamed({"role": "r", "champion": "c"})
+    asked = drafts.slots(test).join(rates, (F.col("role") == F.col("r")) & (F.col("champion") == F.col("c")), "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+    scored = wide(asked.select("match_id", "sign", "role", "value")).withColumn("probability", fitted.probability("bins"))
+    out = test.select(F.col("match_id").alias("of"), "outcome")
+    return rounded(scored.join(out, F.col("match_id") == F.col("of")).select("match_id", "outcome", "probability"))
