@@ -111,18 +111,25 @@ class Automaton:
 
     `next[state * n_kinds + kind[byte]]` is the next state, times n_kinds; state
     0 is the start. `accepts[state]` has a bit for each rule that may end here.
-    An unanchored automaton begins every rule anew at every byte.
+    An unanchored automaton begins every rule anew at every byte. A backward
+    automaton reads rules from their ends to their beginnings.
     """
 
-    def __init__(self, patterns: list[str], anchored: bool = False) -> None:
+    def __init__(self, patterns: list[str], anchored: bool = False, backward: bool = False) -> None:
         rules = [Positions(p) for p in patterns]
         reads, follow, starts, ends, nullable = [], [], set(), {}, 0
         for i, rule in enumerate(rules):
             base = len(reads)
             reads += rule.reads
-            follow += [{base + q for q in x} for x in rule.follow]
-            starts |= {base + q for q in rule.first}
-            for p in rule.last:
+            begin, end, after_each = rule.first, rule.last, rule.follow
+            if backward:
+                begin, end, after_each = end, begin, [set() for _ in rule.reads]
+                for p, then in enumerate(rule.follow):
+                    for q in then:
+                        after_each[q].add(p)
+            follow += [{base + q for q in x} for x in after_each]
+            starts |= {base + q for q in begin}
+            for p in end:
                 ends[base + p] = 1 << i
             nullable |= int(rule.empty) << i
         signs = [frozenset(p for p, x in enumerate(reads) if byte in x) for byte in range(256)]
@@ -188,9 +195,14 @@ class Automaton:
                 found = at
         return found
 
-    def first_bytes(self) -> set[int]:
-        """Bytes that a match may begin with."""
-        return set(np.flatnonzero(self.table[0][self.kind] >= 0).tolist())
+    def begins(self, text: bytes, at: int, end: int) -> list[int]:
+        """Where matches within text[at:end] begin, in order, whichever their ends (backward, unanchored automata)."""
+        table, kind, accepts, state, out = self.rows, self.kinds, self.accepted, 0, []
+        for i in range(end - 1, at - 1, -1):
+            state = table[state][kind[text[i]]]
+            if accepts[state]:
+                out.append(i)
+        return out[::-1]
 
     def for_bytes(self) -> Automaton:
         """Plain lists beside the arrays, for walking single bytes."""

@@ -3,8 +3,9 @@
 All rules are compiled into one minimal automaton. A single pass over a batch's
 bytes finds the stretches (between bytes that no rule reads) in which a rule
 ends; in these few, the rule's own small automata of the same making settle
-where its leftmost, non-overlapping spans begin and how far they run, and spans
-that are too short are dropped. A private key's span runs on
+its leftmost, non-overlapping spans: one reads the stretch once from its end and
+tells where matches begin, two more how far each runs, and spans that are too
+short are dropped. So no text takes more than linear time. A private key's span runs on
 over the lines of its block, whatever its lines end with.
 
 Defined results for unusual input: a null or empty text has no spans; positions
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,8 +88,8 @@ def body_of(rule: Rule) -> Automaton | None:
 
 
 @functools.cache
-def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton, re.Pattern]]]:
-    """The combined automaton, and each rule's own ones with what a match may begin with."""
+def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton, Automaton]]]:
+    """The combined automaton, and each rule's own ones: head, tail, and both backward."""
     whole = Automaton([r.pattern for r in rules])
     # A stretch holds whole spans, triggers or not.
     for r in rules:
@@ -101,25 +101,24 @@ def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton,
     own = []
     for r in rules:
         head, tail = Automaton([r.head], True).for_bytes(), Automaton([r.tail], True).for_bytes()
-        first = head.first_bytes() | (tail.first_bytes() if head.accepts[0] else set())
-        own.append((head, tail, re.compile(b"[" + re.escape(bytes(sorted(first))) + b"]")))
+        own.append((head, tail, Automaton([f"({r.head})({r.tail})"], backward=True).for_bytes()))
     return whole, own
 
 
-def rule_spans(rule: Rule, own: tuple[Automaton, Automaton, re.Pattern], text: bytes, at: int, end: int, last: int) -> list[tuple[int, int]]:
+def rule_spans(rule: Rule, own: tuple[Automaton, Automaton, Automaton], text: bytes, at: int, end: int, last: int) -> list[tuple[int, int]]:
     """The rule's leftmost non-overlapping spans that begin in text[at:end]; text[end] is no rule's byte.
 
     A body may run on to `last`, the line end behind the document.
     """
-    head, tail, first = own
+    head, tail, both = own
     body = body_of(rule)
-    out = []
-    while begin := first.search(text, at, end):
-        at = begin.start()
+    out, behind = [], at
+    for at in both.begins(text, at, end):
+        if at < behind:
+            continue
         middle = head.longest(text, at, end)
         stop = tail.longest(text, middle, end) if middle >= 0 else -1
         if stop <= at:
-            at += 1
             continue
         if body:
             stop = max(stop, body.longest(text, stop, last + 1))
@@ -127,7 +126,7 @@ def rule_spans(rule: Rule, own: tuple[Automaton, Automaton, re.Pattern], text: b
                 stop -= 1
         if stop - at >= rule.least and stop - middle >= rule.least_tail:
             out.append((at, stop))
-        at = stop
+        behind = stop
     return out
 
 

@@ -143,10 +143,29 @@ def test_further_rules_against_regular_expressions(parts):
     assert base_of(s.find_spans([text.encode()])[0]) == plain(text)
 
 
-@pytest.mark.parametrize("text", ["letters and spaces only " * 170_000, "f" * 1_000_000, "token=" + "Ab9" * 400_000, "password " * 200_000])
+@pytest.mark.parametrize("text", ["letters and spaces only " * 170_000, "f" * 1_000_000, "token=" + "Ab9" * 400_000, "password " * 200_000, "eyJ" * 100_000 + ".eyJa ", "eyJa." * 100_000, "://a" * 100_000, "glpat-" * 80_000, "AIza" * 100_000, "eyJ" * 60_000 + ".eyJa.b"])
 def test_texts_without_reset_bytes_take_linear_time(text):
     import time
 
     began = time.monotonic()
     assert base_of(s.find_spans([text.encode()])[0]) == plain(text)
     assert time.monotonic() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab.", max_size=24))
+def test_backward_automaton_tells_where_matches_begin(text):
+    pattern = "a(b|a.)+b?"
+    raw = text.encode()
+    want = [i for i in range(len(raw)) if re.match(pattern.replace(".", "[.]"), text[i:])]
+    assert Automaton([pattern.replace(".", "\\.")], backward=True).for_bytes().begins(raw, 0, len(raw)) == want
+
+
+def test_repeated_heads_take_a_moment():
+    import time
+
+    text = ("eyJ" * 100_000 + ".eyJa ").encode()
+    s.find_spans([b"eyJ"])
+    began = time.monotonic()
+    assert s.find_spans([text]) == [[]]
+    assert time.monotonic() - began < 2
