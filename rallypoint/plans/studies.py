@@ -13,7 +13,10 @@ from rallypoint.plans.further import PLATFORM, exact_draws
 from rallypoint.plans.oracles import OBSERVED, stats
 from rallypoint.plans.oracles import SQL as KNOWN
 from rallypoint.plans.queries import TARGET, observed, predictions, rounded, split
+from rallypoint.sources import blobs
 from rallypoint.sources.lens import tables
+from rallypoint.sources.stages import work_dir
+from rallypoint.streaming import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -264,3 +267,25 @@ def boosted_scores(spark, sf_dir):
     scored = wide(asked.select("match_id", "sign", "role", "value")).withColumn("probability", fitted.probability("bins"))
     out = test.select(F.col("match_id").alias("of"), "outcome")
     return rounded(scored.join(out, F.col("match_id") == F.col("of")).select("match_id", "outcome", "probability"))
+
+
+@query("""WITH f AS (SELECT event_type AS component, sha256(round(value)::BIGINT::VARCHAR) AS digest, round(value)::BIGINT AS size, user_id % 2 AS scope FROM events WHERE value IS NOT NULL),
+    a AS (SELECT component, digest, size, count(*) AS n FROM f WHERE scope = 0 GROUP BY ALL), b AS (SELECT component, digest, size, count(*) AS n FROM f WHERE scope = 1 GROUP BY ALL)
+    SELECT component, sum(least(a.n, b.n))::BIGINT AS duplicate_files, sum(least(a.n, b.n) * size)::BIGINT AS duplicate_bytes FROM a JOIN b USING (component, digest, size) GROUP BY component""")
+def duplicate_files(spark, sf_dir):
+    """Contents (rounded values) that users of either parity both hold, by event type."""
+    size = F.round("value").cast("bigint")
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("event_type", F.col("user_id") % 2 == 0, size.alias("size"), F.sha2(size.cast("string"), 256).alias("digest")).toDF("event_type", "even", "size", "digest")
+    return blobs.duplicates(files.where("even"), files.where("NOT even"), F.col("event_type"))
+
+
+@query("SELECT count(DISTINCT event_id) AS keys, count(DISTINCT event_type) AS kinds FROM events")
+def ledger_keys(spark, sf_dir):
+    """Events entered into a ledger in two batches that overlap, each key once."""
+    folder, config = work_dir(spark, "ledger"), {"table": "events"}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    half = F.expr("user_id % 3 <> 0")
+    for no, batch in enumerate((events.where(half), events)):
+        ledger.add_new(batch, folder, "event_id", "event_type", config, no)
+    entered = spark.read.parquet(f"{folder}/keys")
+    return entered.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("content").alias("kinds"))

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallypoint.sources.writers import Writer, hold, read_small
+
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one where that is unset and the session local."""
@@ -65,17 +67,20 @@ def require(checks: DataFrame | None) -> None:
 _POINTER = "no bigint, name string, path string"
 
 
-def publish_version(df: DataFrame, base: str, name: str, checks: DataFrame | None = None) -> bool:
+def publish_version(df: DataFrame, base: str, name: str, checks: DataFrame | None = None, writer: Writer | None = None) -> bool:
     """Publishes df as the newest version of a replaceable stage; True if written, False if it holds the newest version's rows.
 
-    Failed checks, and a written copy that differs from df, leave the newest
-    version as it was: versions are folders of their own, and a row added to the
-    pointer table makes one the newest.
+    One writer holds the folder at a time (Busy otherwise). Failed checks, and a
+    written copy that differs from df, leave the newest version as it was: versions
+    are folders of their own, and a commit file that no other writer can put too
+    makes one the newest. Raises Fenced if the writer was taken over meanwhile.
     """
+    if writer is None:
+        with hold(df.sparkSession, base) as own:
+            return publish_version(df, base, name, checks, own)
     spark = df.sparkSession
     require(checks)
-    known = versions(spark, base).collect()
-    newest = max(known, key=lambda r: r.no, default=None)
+    newest = max(versions(spark, base).collect(), key=lambda r: r.no, default=None)
     wanted = fingerprint(df)
     if newest and fingerprint(spark.read.parquet(newest.path)) == wanted:
         return False
@@ -83,25 +88,27 @@ def publish_version(df: DataFrame, base: str, name: str, checks: DataFrame | Non
     df.write.parquet(path)
     if fingerprint(spark.read.parquet(path)) != wanted:
         raise ValueError("the written rows are not those that were to be published")
-    _point(spark, base, newest.no + 1 if newest else 1, name, path)
+    _commit(writer, newest.no + 1 if newest else 1, name, path)
     return True
 
 
-def _point(spark: SparkSession, base: str, no: int, name: str, path: str) -> None:
-    spark.createDataFrame([(no, name, path)], _POINTER).coalesce(1).write.mode("append").parquet(f"{base}/pointer")
+def _commit(writer: Writer, no: int, name: str, path: str) -> None:
+    writer.commit(f"{writer.base}/commits/{no:020d}", {"no": no, "name": name, "path": path})
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:
     """no, name, path of all published versions."""
-    return spark.read.schema(_POINTER).parquet(f"{base}/pointer") if exists(spark, f"{base}/pointer") else spark.createDataFrame([], _POINTER)
+    found = [(x["no"], x["name"], x["path"]) for x in read_small(spark, f"{base}/commits").values()]
+    return spark.createDataFrame(found, _POINTER)
 
 
 def roll_back(spark: SparkSession, base: str) -> None:
     """Makes the version before the newest one the newest again."""
-    known = sorted(versions(spark, base).collect(), key=lambda r: r.no)
-    if len(known) < 2:
-        raise ValueError("no version to go back to")
-    _point(spark, base, known[-1].no + 1, known[-2].name, known[-2].path)
+    with hold(spark, base) as writer:
+        known = sorted(versions(spark, base).collect(), key=lambda r: r.no)
+        if len(known) < 2:
+            raise ValueError("no version to go back to")
+        _commit(writer, known[-1].no + 1, known[-2].name, known[-2].path)
 
 
 def snapshots(spark: SparkSession, base: str, which: str = "latest") -> DataFrame:
