@@ -41,8 +41,8 @@ from xxhash import xxh64_intdigest
 from rallypoint.llm.common import by_bytes, materialise, partitions_for, tokens
 
 CLASSES = 64
-#: Words that exchange moves one by one; all others are placed beside them.
-CORE_WORDS = 1 << 14
+#: Exchange moves every word with at least this part of the training tokens, so fewer words than this; all others are placed beside them.
+CORE_SHARE = 1 << 17
 #: Core words in a part; the words of a part move one after the other, parts side by side.
 PART_WORDS = 512
 #: Sweeps go on while the likelihood grows by more than this share of itself.
@@ -189,8 +189,11 @@ def gains(table: np.ndarray, r: np.ndarray, l: np.ndarray, self_n: float) -> np.
 
 
 def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """word, class of a part's words after one sweep over them, the most frequent first.
+    """part, word, class of a part's words after one sweep over them, the most frequent first.
 
+    Every move is taken at once into the class table and into the neighbours'
+    class counts of the part's own words, so both stay what a recount would give
+    with the other parts' words where they were, and each move gains likelihood.
     The last word is the end token and keeps the last class to itself.
     """
     classes = len(table)
@@ -203,6 +206,11 @@ def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: n
         selves = np.bincount(local[alone & (side == 0)], n[alone & (side == 0)].astype(float), len(words))
         weight = vectors.sum((0, 2)) + 2 * selves
         found = own_class[words].copy()
+        at, inside = _look_up(words, other)
+        inside &= ~alone
+        order = np.flatnonzero(inside)[np.argsort(at[inside], kind="stable")]
+        bounds = np.searchsorted(at[order], np.arange(len(words) + 1))
+        near_side, near_word, near_n = side[order], local[order], n[order].astype(float)
         for i in np.argsort(-weight, kind="stable").tolist():
             if words[i] == len(own_class) - 1:
                 continue
@@ -210,8 +218,6 @@ def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: n
             table[a] -= r
             table[:, a] -= l
             table[a, a] -= s
-            np.maximum(table[a], 0, out=table[a])
-            np.maximum(table[:, a], 0, out=table[:, a])
             gain = gains(table, r, l, s)[: classes - 1]
             b = int(np.argmax(gain))
             b = a if gain[b] <= gain[a] + 1e-6 else b
@@ -219,14 +225,21 @@ def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: n
             table[:, b] += l
             table[b, b] += s
             found[i] = b
-        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(found.astype(np.int64))], names=["word", "class"])
+            if a != b:
+                mine = slice(bounds[i], bounds[i + 1])
+                np.add.at(vectors, (near_side[mine], near_word[mine], a), -near_n[mine])
+                np.add.at(vectors, (near_side[mine], near_word[mine], b), near_n[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), words[0], np.int64)), pa.array(words.astype(np.int64)), pa.array(found.astype(np.int64))], names=["part", "word", "class"])
 
 
 def exchange(core: DataFrame, own_class: np.ndarray, classes: int, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """The classes of the core words (the end token last) and their class bigrams; core as pack_core gives it.
 
     Starts from own_class. The driver holds the classes and one classes-by-classes
-    table. Ends when a sweep gains no more than least_gain of the likelihood.
+    table. Parts move side by side; a sweep takes all parts' moves if the recounted
+    likelihood rises, else those of half of the parts, and so on down to one part's,
+    which can't lose. Ends when a sweep gains no more than least_gain of the
+    likelihood, or nothing moves; so no sweep ever loses.
     """
 
     def table_of(own_class: np.ndarray) -> np.ndarray:
@@ -237,13 +250,26 @@ def exchange(core: DataFrame, own_class: np.ndarray, classes: int, least_gain: f
 
     table = table_of(own_class)
     while True:
-        moved = core.mapInArrow(lambda b: move_part(b, own_class, table), "word bigint, class bigint").toArrow()  # noqa: B023
-        then = own_class.copy()
-        then[moved["word"].to_numpy()] = moved["class"].to_numpy()
-        new = table_of(then)
-        if likelihood(new) - likelihood(table) <= least_gain * abs(likelihood(table)):
-            return (then, new) if likelihood(new) > likelihood(table) else (own_class, table)
+        moved = core.mapInArrow(lambda b: move_part(b, own_class, table), "part bigint, word bigint, class bigint").toArrow()  # noqa: B023
+        part, word, to = (moved[c].to_numpy() for c in ("part", "word", "class"))
+        changed = own_class[word] != to
+        part, word, to = part[changed], word[changed], to[changed]
+        tried, every = np.unique(part), True
+        while len(tried):
+            taken = np.isin(part, tried)
+            then = own_class.copy()
+            then[word[taken]] = to[taken]
+            new = table_of(then)
+            gain = likelihood(new) - likelihood(table)
+            if gain > 0 or len(tried) == 1:
+                break
+            tried, every = tried[: len(tried) // 2], False
+        if not len(tried) or gain <= 0:
+            return own_class, table
+        enough = gain > least_gain * abs(likelihood(table))
         own_class, table = then, new
+        if every and not enough:
+            return own_class, table
 
 
 @dataclass
@@ -421,12 +447,17 @@ class Model:
         return len(self.size)
 
 
-def class_words(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE_WORDS, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, np.ndarray, int]:
-    """h, n, class of every training word (the end token too), the class bigrams, and how many words are core."""
+def class_words(docs: DataFrame, classes: int = CLASSES, core_words: int | None = None, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, np.ndarray, int]:
+    """h, n, class of every training word (the end token too), the class bigrams, and how many words are core.
+
+    The core is every word with at least 1 / CORE_SHARE of the tokens, or the core_words most frequent words if asked for.
+    """
     counts = docs.mapInArrow(count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(core_words).toArrow()
+    top = counts.where(F.col("h") != END)
+    top = top.where(F.col("n") * CORE_SHARE >= total) if core_words is None else top.orderBy(F.desc("n"), "h").limit(core_words)
+    top = top.toArrow().sort_by([("n", "descending"), ("h", "ascending")])
     hashes, own_n = top["h"].to_numpy(), top["n"].to_numpy()
     by_hash = np.argsort(hashes)
     core_hashes = hashes[by_hash]
@@ -454,7 +485,7 @@ def class_words(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE_
     return words, cells, size - 1
 
 
-def fit(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE_WORDS, known_share: int = KNOWN_SHARE) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, classes: int = CLASSES, core_words: int | None = None, known_share: int = KNOWN_SHARE) -> tuple[Model, DataFrame]:
     """The model of docs (column text), and the table h, n, class of all words."""
     words, cells, _ = class_words(docs, classes, core_words)
     words = materialise(words, "classes")
@@ -539,7 +570,7 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: int = CLASSES, core_words: int = CORE_WORDS, known_share: int = KNOWN_SHARE) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: int = CLASSES, core_words: int | None = None, known_share: int = KNOWN_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The model learns from the rows that aren't held out.

@@ -163,3 +163,56 @@ def test_odd_rows(spark):
     assert b.score(no_documents(spark)).count() == 0
     only_held = docs.where("doc_id IS NULL")
     assert [r["n_known"] for r in b.score(only_held).collect()] == [0]
+
+
+def recount(counts, found, classes):
+    member = np.eye(classes)[found]
+    return member.T @ counts @ member
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_one_part_is_plain_exchange(seed):
+    """Word by word as a plain exchange that recounts the whole table for every choice."""
+    rng = np.random.default_rng(seed)
+    size, classes = 24, 5
+    counts = rng.poisson(0.4, (size, size)) * rng.integers(1, 6, (size, size))
+    first = start(size, classes)
+    rows = [(i, j, side, int(counts[i, j] if side == 0 else counts[j, i])) for side in (0, 1) for i in range(size) for j in range(size)]
+    batch = b.pa.RecordBatch.from_pydict({c: [r[k] for r in rows if r[3]] for k, c in enumerate(("own", "other", "side", "n"))})
+    moved = list(b.move_part(b.pack_core(iter([batch])), first, recount(counts, first, classes)))[0].to_pydict()
+    got = first.copy()
+    got[moved["word"]] = moved["class"]
+    found = first.copy()
+    off = counts * (1 - np.eye(size))
+    weight = off.sum(0) + off.sum(1) + 2 * counts.diagonal()
+    words = np.flatnonzero(counts.sum(0) + counts.sum(1))
+    for w in words[np.argsort(-weight[words], kind="stable")]:
+        if w == size - 1:
+            continue
+        value = []
+        for k in range(classes - 1):
+            found_k = found.copy()
+            found_k[w] = k
+            value.append(b.likelihood(recount(counts, found_k, classes)))
+        best = int(np.argmax(value))
+        if value[best] > value[found[w]] + 1e-6:
+            found[w] = best
+    assert np.array_equal(got, found)
+    assert b.likelihood(recount(counts, got, classes)) >= b.likelihood(recount(counts, first, classes))
+
+
+def test_no_sweep_loses_and_the_table_is_a_recount(spark):
+    """Several parts side by side, until nothing gains: the likelihood of every accepted sweep rises."""
+    counts = np.random.default_rng(5).poisson(0.5, (60, 60))
+    seen, original = [], b.likelihood
+    found, table = b.exchange(packed(spark, counts), start(60, 7), 7, 0.0)
+    assert np.array_equal(table, recount(counts, found, 7))
+    member = start(60, 7)
+    assert original(table) > original(recount(counts, member, 7))
+    # At the end no single word gains by a move.
+    for w in range(59):
+        for k in range(6):
+            other = found.copy()
+            other[w] = k
+            seen.append(original(recount(counts, other, 7)))
+    assert max(seen) <= original(table) + 1e-5
