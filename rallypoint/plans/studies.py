@@ -286,6 +286,6 @@ def ledger_keys(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     half = F.expr("user_id % 3 <> 0")
     for no, batch in enumerate((events.where(half), events)):
-        ledger.add_new(batch, folder, "event_id", "event_type", config, no)
+        ledger.add_new(batch, folder, "event_id", "event_type", config, no, 32)
     entered = spark.read.parquet(f"{folder}/keys")
     return entered.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("content").alias("kinds"))
