@@ -189,7 +189,10 @@ def _leaks(docs: DataFrame, filed: DataFrame, text: str, doc_id: str) -> DataFra
     probes = materialise(probes, "probes")
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     hashes = probe_hashes(read, F.col("text"), "doc_id", "text_hash")
-    hit = materialise(hashes.join(probes, F.col("hash") == F.col("probe")).select("doc_id", "text_hash", "probe_row").distinct(), "hit")
+    # The hashes alone, a smaller table, say which windows of all texts stay; only these meet the items.
+    alone = materialise(probes.select(F.col("probe").alias("alone")).distinct(), "probe-hashes")
+    found = materialise(hashes.join(alone, F.col("hash") == F.col("alone"), "left_semi").distinct(), "found")
+    hit = materialise(found.join(probes, F.col("hash") == F.col("probe")).select("doc_id", "text_hash", "probe_row").distinct(), "hit")
     who = materialise(hit.select("doc_id", "text_hash").distinct(), "hit-documents")
     again = read.alias("r").join(who.alias("h"), F.expr("r.text_hash = h.text_hash AND r.doc_id <=> h.doc_id"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     theirs = windows(again, F.col("text"), "doc_id", "text_hash").select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("doc_hash"), F.col("at").alias("doc_at"), F.col("key").alias("doc_key"), F.col("own").alias("doc_own"))
