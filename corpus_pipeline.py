@@ -2,8 +2,8 @@
 
 Every stage takes nulls in any column, empty and very long texts, ties, repeated
 rows, empty tables and other columns, as its docstring says; columns that a stage
-doesn't read come out as they went in. None keeps a null doc_id apart from other
-ids unless it says so.
+doesn't read come out as they went in. A null doc_id is an id like any other, but
+for near_dedup, which keeps a row without id only where its group has none with one.
 """
 
 from __future__ import annotations

@@ -27,6 +27,28 @@ def status_counts(current: DataFrame, status: str) -> DataFrame:
     return current.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: How a patch was resolved when it still has to be resolved anew.
+UNMIGRATED = "legacy_unresolved"
+
+
+def needs_migration(status: Column, patch_status: Column) -> Column:
+    """Whether a processed entry's patch has never been resolved, or by the old rules alone."""
+    return F.coalesce(status == "processed", F.lit(False)) & (patch_status.isNull() | (patch_status == UNMIGRATED))
+
+
+def catalog_statistics(current: DataFrame, status: str, failure: str, patch_status: str) -> DataFrame:
+    """kind, name, n: entries in all, by status, rejected ones by failure, and those to migrate; one scan of grouped counts.
+
+    A rejected entry without a failure code counts under a null name.
+    """
+    cells = current.groupBy(F.col(status).alias("s"), F.col(failure).alias("f"), needs_migration(F.col(status), F.col(patch_status)).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    one = lambda kind, name, on: F.when(on, F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name")))
+    kinds = F.array(one("total", none, F.lit(True)), one("status", F.col("s"), F.lit(True)), one("failure", F.col("f"), F.coalesce(F.col("s") == "rejected", F.lit(False))), one("needs_migration", none, F.col("m")))
+    each = cells.select(F.explode(F.array_compact(kinds)).alias("k"), "n")
+    return each.groupBy("k.kind", "k.name").agg(F.sum("n").alias("n"))
+
+
 def not_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in the index of known keys; a null key is never known."""
     return rows.join(known.select(F.col(key).alias("known")).distinct(), F.col(key) == F.col("known"), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallypoint.functions.beta import student_quantiles
-from rallypoint.operators import aggregates, boosting, diagnostics, drafts, interactions, resampling
+from rallypoint.operators import aggregates, boosting, diagnostics, drafts, interactions, records, resampling
 from rallypoint.plans.further import PLATFORM, exact_draws
 from rallypoint.plans.oracles import OBSERVED, stats
 from rallypoint.plans.oracles import SQL as KNOWN
@@ -289,3 +289,18 @@ def ledger_keys(spark, sf_dir):
         ledger.add_new(batch, folder, "event_id", "event_type", config, no, 32)
     entered = spark.read.parquet(f"{folder}/keys")
     return entered.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("content").alias("kinds"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max({'e': event_type, 'i': event_id}, {'t': ts, 'e': event_id}) AS u FROM events GROUP BY user_id),
+    c AS (SELECT CASE WHEN u.e = 'error' THEN 'rejected' WHEN u.e = 'signup' THEN 'processing' ELSE 'processed' END AS s, CASE WHEN u.i % 3 > 0 THEN 'code_' || u.i % 3 END AS f, CASE u.i % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'legacy_unresolved' WHEN 2 THEN 'resolved' END AS p FROM l)
+    SELECT 'total' AS kind, NULL AS name, count(*) AS n FROM c UNION ALL SELECT 'status', s, count(*) FROM c GROUP BY s UNION ALL SELECT 'failure', f, count(*) FROM c WHERE s = 'rejected' GROUP BY f
+    UNION ALL SELECT 'needs_migration', NULL, count(*) FROM c WHERE s = 'processed' AND (p IS NULL OR p = 'legacy_unresolved') HAVING count(*) > 0""")
+def catalog_statistics(spark, sf_dir):
+    """Users' last events as catalog entries: by status, failures by code, and entries whose patch must be resolved anew."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    last = records.latest_status(events, "user_id", "ts", "event_id")
+    kind, k = F.col("event_type"), F.col("event_id")
+    made = last.select(
+        F.when(kind == "error", "rejected").when(kind == "signup", "processing").otherwise("processed").alias("status"), F.when(k % 3 > 0, F.concat(F.lit("code_"), (k % 3).cast("string"))).alias("failure"),
+        F.when(k % 4 == 1, records.UNMIGRATED).when(k % 4 != 3, "resolved").alias("patch_status"))
+    return records.catalog_statistics(made, "status", "failure", "patch_status")

@@ -6,6 +6,7 @@ the kind is the seat. Two consecutive seats of all five roles make a match.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -85,6 +86,16 @@ def seats(events: DataFrame) -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, df: DataFrame) -> str:
+    """A digest of the files that df reads: their paths, sizes and times, from the file system; no row is read."""
+    jvm, lines = spark._jvm, []
+    for path in sorted(df.inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        lines.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
 #: Staged tables by application and by the input's files as they were.
 _STAGED: dict[tuple, Tables] = {}
 
@@ -92,8 +103,7 @@ _STAGED: dict[tuple, Tables] = {}
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The match tables of a folder's events, derived once a session and input, and read back from stage tables."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    files = events.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    key = (spark.sparkContext.applicationId, *sorted(tuple(r) for r in files.collect()))
+    key = (spark.sparkContext.applicationId, listing(spark, events))
     if key not in _STAGED or not all(still_there(df) for df in (_STAGED[key].matches, _STAGED[key].participants, _STAGED[key].teams)):
         made = derived(events)
         _STAGED[key] = Tables(*(stage(df, f"lens-{name}") for name, df in (("matches", made.matches), ("participants", made.participants), ("teams", made.teams))))

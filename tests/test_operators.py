@@ -194,3 +194,9 @@ def test_configuration_ties(spark):
 def test_distribution_of_nulls(spark):
     r = audits.distribution(spark.createDataFrame([("a", None)], "k string, v double"), "v", "k").first()
     assert (r["n"], r["missing"], r["median"]) == (0, 1, None)
+
+
+def test_catalog_statistics_of_odd_entries(spark):
+    rows = [("processed", None, None), ("processed", "x", "legacy_unresolved"), ("processed", None, "resolved"), ("rejected", "a", None), ("rejected", None, None), (None, "a", None)]
+    got = {(r.kind, r.name): r.n for r in records.catalog_statistics(spark.createDataFrame(rows, "s string, f string, p string"), "s", "f", "p").collect()}
+    assert got == {("total", None): 6, ("status", "processed"): 3, ("status", "rejected"): 2, ("status", None): 1, ("failure", "a"): 1, ("failure", None): 1, ("needs_migration", None): 2}
