@@ -48,7 +48,7 @@ PART_WORDS = 512
 #: Sweeps go on while the likelihood grows by more than this share of itself.
 LEAST_GAIN = 1e-4
 #: Training tokens behind the words that one task places on average.
-TOKENS_PER_TASK = 1 << 22
+TOKENS_PER_TASK = 1 << 21
 #: Entries that a task gathers before it merges equal ones.
 HELD = 1 << 22
 KNOWN_SHARE = 1 << 22
@@ -152,8 +152,8 @@ PACKED = "own binary, other binary, side binary, n binary"
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
-        for row in batch.to_pylist():
-            yield tuple(np.frombuffer(row[c], kind) for c, kind in (("own", "<i4"), ("other", "<i4"), ("side", "i1"), ("n", "<i8")))
+        for i in range(batch.num_rows):
+            yield tuple(np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("own", "<i4"), ("other", "<i4"), ("side", "i1"), ("n", "<i8")))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -206,10 +206,10 @@ def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: n
         selves = np.bincount(local[alone & (side == 0)], n[alone & (side == 0)].astype(float), len(words))
         weight = vectors.sum((0, 2)) + 2 * selves
         found = own_class[words].copy()
-        at, inside = _look_up(words, other)
-        inside &= ~alone
-        order = np.flatnonzero(inside)[np.argsort(at[inside], kind="stable")]
-        bounds = np.searchsorted(at[order], np.arange(len(words) + 1))
+        inside = np.flatnonzero(np.isin(other, words) & ~alone)
+        at = np.searchsorted(words, other[inside])
+        order = inside[np.argsort(at, kind="stable")]
+        bounds = np.searchsorted(np.sort(at), np.arange(len(words) + 1))
         near_side, near_word, near_n = side[order], local[order], n[order].astype(float)
         for i in np.argsort(-weight, kind="stable").tolist():
             if words[i] == len(own_class) - 1:
@@ -338,9 +338,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], *whats: str) -> dict[str, tuple
     held: dict[str, list[tuple[np.ndarray, ...]]] = {w: [] for w in whats}
     sizes = dict.fromkeys(whats, 0)
     for batch in batches:
-        for row in batch.to_pylist():
-            what = row["what"]
-            held[what].append((np.frombuffer(row["a"], "<i8"), np.frombuffer(row["b"], "<i8"), np.frombuffer(row["n"], "<i4").astype(np.int64)))
+        for i, what in enumerate(batch.column("what").to_pylist()):
+            a, b, n = (batch.column(c)[i].as_buffer() for c in ("a", "b", "n"))
+            held[what].append((np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), np.frombuffer(n, "<i4").astype(np.int64)))
             sizes[what] += len(held[what][-1][0])
             if sizes[what] > HELD:
                 held[what] = [_merge_pairs(held[what])]
