@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rallypoint.llm.common import by_bytes, materialise, partitions_for, tokens
+from rallypoint.llm.common import by_bytes, materialise, partitions_for, release_memory, tokens
 
 CLASSES = 64
 #: Exchange moves every word with at least this part of the training tokens, so fewer words than this; all others are placed beside them.
@@ -110,6 +110,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_core(batches: Iterator[pa.RecordBatch], core: np.ndarray) -> Iterator[pa.RecordBatch]:
     """pair, n: bigrams of core words (sorted hashes; the end token has the number behind them)."""
+    release_memory()
     size = len(core) + 1
     keys, counts, held = [], [], 0
 
@@ -140,6 +141,7 @@ def count_core(batches: Iterator[pa.RecordBatch], core: np.ndarray) -> Iterator[
 
 def pack_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of arrays for the rows own, other, side, n of a part."""
+    release_memory()
     got = [batch for batch in batches if batch.num_rows]
     if got:
         rows = pa.Table.from_batches(got).sort_by([("own", "ascending"), ("side", "ascending"), ("other", "ascending")])
@@ -167,6 +169,7 @@ def likelihood(table: np.ndarray) -> float:
 
 def class_pairs(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
     """cell, n: class bigrams of a part's words, from their successors."""
+    release_memory()
     for own, other, side, n in _unpacked(batches):
         right = side == 0
         found = np.bincount(own_class[own[right]] * classes + own_class[other[right]], n[right].astype(float), classes * classes)
@@ -196,6 +199,7 @@ def move_part(batches: Iterator[pa.RecordBatch], own_class: np.ndarray, table: n
     with the other parts' words where they were, and each move gains likelihood.
     The last word is the end token and keeps the last class to itself.
     """
+    release_memory()
     classes = len(table)
     for own, other, side, n in _unpacked(batches):
         table = table.astype(float)
@@ -304,6 +308,7 @@ def count_others(batches: Iterator[pa.RecordBatch], core: Core, buckets: int) ->
     predecessors; last the word itself, once a token) and a count; `pair` rows a
     word, its successor outside the core, and a count.
     """
+    release_memory()
     codes_each = 2 * core.classes + 1
     for batch in batches:
         for texts in by_bytes(batch.column("text")):
@@ -381,6 +386,7 @@ def place_others(batches: Iterator[pa.RecordBatch], core: Core, buckets: int) ->
     `cell` rows count class bigrams with core words; `class` rows hold a bucket's
     words and classes, `then` rows its successors outside the core and the class before them.
     """
+    release_memory()
     got = _gathered(batches, "near", "pair")
     hashes, code, n = got["near"]
     words, local = np.unique(hashes, return_inverse=True)
@@ -417,6 +423,7 @@ def place_others(batches: Iterator[pa.RecordBatch], core: Core, buckets: int) ->
 
 def pair_cells(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
     """cell, n: class bigrams of a bucket's words behind words outside the core."""
+    release_memory()
     got = _gathered(batches, "class", "then")
     words, own, _ = got["class"]
     then, before, n = got["then"]
@@ -514,6 +521,7 @@ def score_parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
     classes (before, then; -1 where the neighbour isn't known either), and two
     such words h, h2 in a row.
     """
+    release_memory()
     end_class, unknown = model.classes - 1, -1
     end_base = np.log10(model.end_count + ADD)
     end_emit = end_base - model.size[end_class]

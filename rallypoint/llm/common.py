@@ -120,3 +120,9 @@ def lower_ascii(column: Column) -> Column:
 
 def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
+
+
+def release_memory() -> None:
+    """Gives back what earlier tasks of this Python worker freed; workers live on from stage to stage."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
