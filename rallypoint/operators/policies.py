@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rallypoint.functions import formulas as f
 from rallypoint.functions import patches
 from rallypoint.operators.aggregates import MAX_AGE, by_age, with_age
-from rallypoint.operators.opponents import synergies
+from rallypoint.sources.stages import stage
 
 PRIOR_GAMES = 10.0
 BINS = 10
@@ -35,47 +35,78 @@ def rolling_origin(matches: DataFrame) -> DataFrame:
 
 
 def _before(counts: str) -> Column:
-    """Training total of a count array for a row of column age."""
-    return F.coalesce(F.aggregate(F.slice(F.col(counts), F.col("age") + 2, F.lit(MAX_AGE + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0))
+    """By age, the training total of a count array: what lies at greater ages."""
+    return F.array(*(reduce(lambda x, y: x + y, (F.get(counts, F.lit(b)) for b in range(a + 1, MAX_AGE + 1)), F.lit(0).cast("bigint")) for a in range(MAX_AGE + 1)))
 
 
 def _counts(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    return by_age(rows, *key).select(*(F.col(k).alias(f"{name}_{k}") for k in key), F.col("games_by_age").alias(f"{name}_g"), F.col("wins_by_age").alias(f"{name}_w"))
+    """name_ and key columns, name_g and name_w: training games and wins by a row's age; staged, so that joins know its size."""
+    totals = by_age(rows, *key).select(*(F.col(k).alias(f"{name}_{k}") for k in key), _before("games_by_age").alias(f"{name}_g"), _before("wins_by_age").alias(f"{name}_w"))
+    return stage(totals, f"{name}-counts")
 
 
 def _on(left: list[str], name: str, right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x) == F.col(f"{name}_{y}") for x, y in zip(left, right, strict=True)))
 
 
+def _at_age(name: str) -> tuple[Column, Column]:
+    """Training games and wins for a row of column age, zero without counts."""
+    return F.coalesce(F.get(f"{name}_g", F.col("age")), F.lit(0)), F.coalesce(F.get(f"{name}_w", F.col("age")), F.lit(0))
+
+
+def _teams(rows: DataFrame) -> DataFrame:
+    """One row per match and team: its rows as an array of structs (members)."""
+    held = ("participant_id", "age", "champion_id", "position", "opponent_champion_id", "resolution", "eligible", "allied", "public_patch", "platform", "win")
+    return rows.groupBy("match_id", "team_id").agg(F.collect_list(F.struct(*held)).alias("members"))
+
+
+def _mates(teams: DataFrame) -> DataFrame:
+    """match_id, member and each of its allies: role-eligible rows of the team, for members that are synergy-eligible too."""
+    each = teams.select("match_id", F.explode("members").alias("m"), F.filter("members", lambda x: x["eligible"]).alias("others")).where("m.eligible AND m.allied")
+    return each.select("match_id", "m", F.explode("others").alias("o")).where("o.participant_id <> m.participant_id").select(
+        "match_id", F.col("m.participant_id").alias("participant_id"), F.col("m.age").alias("age"), F.col("m.win").alias("win"),
+        F.col("m.champion_id").alias("focal"), F.col("m.position").alias("focal_position"), F.col("o.champion_id").alias("other"), F.col("o.position").alias("other_position"),
+    )
+
+
 def predictions(observed: DataFrame, target: str, prior: float = PRIOR_GAMES) -> DataFrame:
-    """policy, row keys, outcome, probability (null: abstained), evidence, missing_reason."""
+    """policy, row keys, outcome, probability (null: abstained), evidence, missing_reason.
+
+    Counts by role, opponent and ally are bounded by roles and champions, not by
+    matches, and are staged, so that rows needn't be shuffled to meet them.
+    """
     rows = with_age(observed, target)
-    eligible = (F.size("role_reasons") == 0) & F.col("position").isNotNull()
-    train = rows.where(eligible)
-    matched = train.where("resolution = 'resolved_unique'")
-    pairs = with_age(synergies(observed.where(eligible), strict_allies=True), target)
+    allied = F.size("synergy_reasons") == 0
+    rows = rows.withColumn("eligible", (F.size("role_reasons") == 0) & F.col("position").isNotNull()).withColumn("allied", allied)
+    train = rows.where("eligible")
+    teams = stage(_teams(rows), "teams")
     role = _counts(train, ["champion_id", "position"], "role")
-    match = _counts(matched, ["champion_id", "position", "opponent_champion_id"], "match")
-    ally = _counts(pairs, ["focal", "focal_position", "other", "other_position"], "ally")
+    match = _counts(train.where("resolution = 'resolved_unique'"), ["champion_id", "position", "opponent_champion_id"], "match")
+    ally = _counts(_mates(teams), ["focal", "focal_position", "other", "other_position"], "ally")
     # All games by age, one row and none without training rows, as a subquery.
-    whole = by_age(train).where(F.exists("games_by_age", lambda n: n > 0)).select(F.struct(F.col("games_by_age").alias("g"), F.col("wins_by_age").alias("w")))
-    ev = rows.where(F.col("age") < MAX_AGE).withColumn("eligible", eligible).withColumn("all", whole.scalar())
-    ev = ev.withColumns({"all_g": F.col("all.g"), "all_w": F.col("all.w")}).drop("all").join(role, _on(["champion_id", "position"], "role", ["champion_id", "position"]), "left")
+    whole = role.agg(*(F.sum(F.get(f"role_{c}", F.lit(a))).alias(f"{c}{a}") for c in "gw" for a in range(MAX_AGE + 1)))
+    whole = whole.select(F.struct(*(F.array(*(f"{c}{a}" for a in range(MAX_AGE + 1))).alias(f"all_{c}") for c in "gw")))
+    ev = teams.select("match_id", F.explode("members").alias("m"), F.filter("members", lambda x: x["eligible"]).alias("others")).where(F.col("m.age") < MAX_AGE).select("match_id", "m.*", "others")
+    ev = ev.join(role, _on(["champion_id", "position"], "role", ["champion_id", "position"]), "left")
     ev = ev.join(match, _on(["champion_id", "position", "opponent_champion_id"], "match", ["champion_id", "position", "opponent_champion_id"]), "left")
-    n = lambda name: (_before(f"{name}_g"), _before(f"{name}_w"))
-    (ag, aw), (rg, rw), (mg, mw) = n("all"), n("role"), n("match")
-    ev = ev.withColumn("global_p", F.when(ag > 0, aw / ag)).withColumn("global_n", ag).withColumn("role_n", rg).withColumn("role_p", F.when(rg > 0, rw / rg))
-    ev = ev.withColumn("base", F.coalesce("role_p", "global_p")).withColumn("match_n", mg).withColumn("match_p", (mw + F.col("base") * prior) / (mg + prior))
+    ev = ev.withColumn("all", whole.scalar()).withColumns({"all_g": F.col("all.all_g"), "all_w": F.col("all.all_w")})
+    n = {f"{name}{c}": x for name in ("all", "role", "match") for c, x in zip("nw", _at_age(name), strict=True)}
+    ev = ev.withColumns(n)
     keys = ["match_id", "participant_id"]
-    mates = pairs.where(F.col("age") < MAX_AGE).select(*keys, "focal", "focal_position", "other", "other_position", "age")
-    mates = mates.join(ally, _on(["focal", "focal_position", "other", "other_position"], "ally", ["focal", "focal_position", "other", "other_position"]), "left")
-    mates = mates.join(ev.select(*(F.col(k).alias(f"e_{k}") for k in keys), "base"), (F.col("match_id") == F.col("e_match_id")) & (F.col("participant_id") == F.col("e_participant_id")))
-    sg, sw = n("ally")
-    mates = mates.groupBy(*(F.col(k).alias(f"s_{k}") for k in keys)).agg(F.avg((sw + F.col("base") * prior) / (sg + prior)).alias("ally_p"), F.sum(sg).alias("ally_n"))
-    ev = ev.join(mates, (F.col("match_id") == F.col("s_match_id")) & (F.col("participant_id") == F.col("s_participant_id")), "left")
+    held = [*keys, "public_patch", "platform", "position", "win", "resolution", "eligible", "allied", "alln", "allw", "rolen", "rolew", "matchn", "matchw"]
+    rate = lambda name: F.when(F.col(f"{name}n") > 0, F.col(f"{name}w") / F.col(f"{name}n"))
+    base = F.coalesce(rate("role"), rate("all"))
+    # A row that is no ally's focal row stays once, without ally.
+    others = F.when(F.col("eligible") & F.col("allied"), F.filter("others", lambda x: x["participant_id"] != F.col("participant_id")))
+    each = ev.select(*held, "age", "champion_id", F.explode_outer(others).alias("o")).withColumns({"other": F.col("o.champion_id"), "other_position": F.col("o.position")})
+    each = each.join(ally, _on(["champion_id", "position", "other", "other_position"], "ally", ["focal", "focal_position", "other", "other_position"]), "left")
+    sg, sw = _at_age("ally")
+    met = F.col("o").isNotNull()
+    ev = each.groupBy(*held).agg(F.avg(F.when(met, (sw + base * prior) / (sg + prior))).alias("ally_p"), F.sum(F.when(met, sg)).alias("ally_n"))
+    ev = ev.select("*", rate("all").alias("global_p"), F.col("alln").alias("global_n"), rate("role").alias("role_p"), F.col("rolen").alias("role_n"), F.col("matchn").alias("match_n"), ((F.col("matchw") + base * prior) / (F.col("matchn") + prior)).alias("match_p"))
     ok = F.col("eligible")
     no_match = F.when(~ok, "role_ineligible").when(F.col("resolution") != "resolved_unique", "matchup_ineligible")
-    no_ally = F.when(~ok, "role_ineligible").when(F.size("synergy_reasons") > 0, "synergy_ineligible").when(F.col("ally_p").isNull(), "no_eligible_allies")
+    no_ally = F.when(~ok, "role_ineligible").when(~F.col("allied"), "synergy_ineligible").when(F.col("ally_p").isNull(), "no_eligible_allies")
     both = F.coalesce(no_match, no_ally)
     total = F.col("match_n") + F.coalesce("ally_n", F.lit(0))
 
