@@ -125,17 +125,27 @@ def predictions(observed: DataFrame, target: str, prior: float = PRIOR_GAMES) ->
     return out.select("x.policy", *keys, "public_patch", "platform", "role", "role_games", "outcome", "x.probability", "x.evidence", "x.missing_reason")
 
 
-def metrics(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
-    """Coverage, Brier score, log loss, accuracy and calibration error per key."""
+def _sums(records: DataFrame, *key: str, bins: int) -> DataFrame:
+    """key, bin (null: no probability) and what metrics adds up: one row per key and bin, from one pass."""
     p, y = F.col("probability"), F.col("outcome")
     has = p.isNotNull()
     chosen = F.when(y == 1, p).otherwise(1 - p)
-    rows = records.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("candidate_rows"), F.count(p).alias("evaluated_rows"), F.avg(F.pow(p - y, 2)).alias("brier_score"),
-        F.avg(F.when(has, ((p >= 0.5) == (y == 1)).cast("int"))).alias("accuracy"), F.when(F.coalesce(F.max(F.when(has & (chosen <= 0), 1)), F.lit(0)) == 0, F.avg(f.log_loss(p, y))).alias("log_loss"),
+    square, right, loss = F.pow(p - y, 2), F.when(has, ((p >= 0.5) == (y == 1)).cast("int")), f.log_loss(p, y)
+    at = F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int")
+    added = {"square": square, "right": right, "loss": loss, "p": p, "y": F.when(has, y)}
+    return records.groupBy(*key, F.when(has, at).alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows"), *(x for name, c in added.items() for x in (F.sum(c).alias(f"{name}_s"), F.count(c).alias(f"{name}_n"))), F.max(F.when(has & (chosen <= 0), 1)).alias("impossible"))
+
+
+def _metrics(sums: DataFrame, *key: str) -> DataFrame:
+    names = ("square", "right", "loss", "p", "y")
+    by = sums.groupBy(*key, "bin").agg(F.sum("rows").alias("rows"), *(F.sum(f"{x}_{c}").alias(f"{x}_{c}") for x in names for c in "sn"), F.max("impossible").alias("impossible"))
+    mean = lambda x: F.try_divide(F.sum(f"{x}_s"), F.sum(f"{x}_n"))
+    gap = F.col("p_n") * F.abs(F.try_divide(F.col("p_s"), F.col("p_n")) - F.try_divide(F.col("y_s"), F.col("y_n")))
+    out = by.groupBy(*key).agg(
+        F.sum("rows").alias("candidate_rows"), F.sum("p_n").alias("evaluated_rows"), mean("square").alias("brier_score"), mean("right").alias("accuracy"),
+        F.when(F.coalesce(F.max("impossible"), F.lit(0)) == 0, mean("loss")).alias("log_loss"), F.sum(F.when(F.col("bin").isNotNull(), gap)).alias("gap"),
     )
-    ece = calibration(records, *key, bins=bins).groupBy(*key).agg(F.sum(F.col("n") * F.abs(F.col("mean_probability") - F.col("observed_rate"))).alias("gap"))
-    out = rows.join(ece.select(*(F.col(k).alias(f"e_{k}") for k in key), "gap"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in key)), "left")
     n = F.col("evaluated_rows")
     return out.select(
         *key, "candidate_rows", n, (F.col("candidate_rows") - n).alias("abstained_rows"), (n / F.col("candidate_rows")).alias("coverage"), "log_loss", "brier_score", "accuracy",
@@ -143,6 +153,11 @@ def metrics(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
     )
 
 
+def metrics(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
+    """Coverage, Brier score, log loss, accuracy and calibration error per key, from one pass over the records."""
+    return _metrics(_sums(records, *key, bins=bins), *key)
+
+
 def calibration(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
     """Per key and equal-width bin: count, mean probability, observed rate; empty bins stay."""
     p = F.col("probability")
@@ -174,7 +189,8 @@ def confidence_ece(records: DataFrame, *key: str) -> DataFrame:
 
 
 def slices(records: DataFrame) -> DataFrame:
-    """policy, dimension, value and the metrics of each slice, in one pass over stacked dimensions."""
+    """policy, dimension, value and the metrics of each slice: one pass sums by all dimensions at once, and these few sums are stacked."""
     dims = {"public_patch": F.col("public_patch"), "platform": F.col("platform"), "role": F.col("role"), "champion_frequency": f.evidence_bucket(F.col("role_games")), "training_evidence": f.evidence_bucket(F.col("evidence"))}
-    stacked = records.select("policy", "probability", "outcome", F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in dims.items()))).alias("d"))
-    return metrics(stacked.select("policy", "d.dimension", "d.value", "probability", "outcome"), "policy", "dimension", "value")
+    cells = _sums(records.select("policy", "probability", "outcome", *(v.alias(f"of_{k}") for k, v in dims.items())), "policy", *(f"of_{k}" for k in dims), bins=BINS)
+    stacked = cells.withColumn("d", F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.col(f"of_{k}").alias("value")) for k in dims))))
+    return _metrics(stacked.select("*", "d.dimension", "d.value"), "policy", "dimension", "value")

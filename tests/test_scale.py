@@ -29,3 +29,18 @@ def test_predictions_meet_counts_without_a_shuffle_of_rows(spark, small):
     made = policies.predictions(queries.observed(spark, small), queries.TARGET)
     assert "SortMergeJoin" not in physical(made)
     assert made.groupBy("match_id", "participant_id", "policy").count().where("count > 1").isEmpty()
+
+
+def test_metrics_and_slices_read_records_once(spark):
+    rows = records(spark)
+    for df in (policies.metrics(rows, "policy"), policies.slices(rows)):
+        assert logical(df).count("Range (") == 1
+
+
+def test_slices_equal_metrics_of_one_dimension(spark):
+    rows = records(spark)
+    sliced = {(r.policy, r.value): r for r in policies.slices(rows).where("dimension = 'platform'").collect()}
+    for r in policies.metrics(rows, "policy", "platform").collect():
+        s = sliced[r.policy, r.platform]
+        assert (s.candidate_rows, s.evaluated_rows) == (r.candidate_rows, r.evaluated_rows)
+        assert all(abs(s[c] - r[c]) < 1e-12 for c in ("brier_score", "accuracy", "calibration_error"))
