@@ -168,24 +168,39 @@ def calibration(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
     return grid.join(found, same, "left").select(*key, "bin", (F.col("bin") / bins).alias("lower"), F.coalesce("n", F.lit(0)).alias("n"), "mean_probability", "observed_rate")
 
 
+def _reached(value: Column, edges: list[float]) -> Column:
+    """How many of the edges are at most the value."""
+    return reduce(lambda a, b: a + b, ((value >= F.lit(e)).cast("int") for e in edges))
+
+
 def interval_ece(records: DataFrame, *key: str, bins: int = BINS) -> DataFrame:
     """Calibration error with bins i/n <= p < (i+1)/n, one in the last bin; edges compared, not multiplied."""
-    edges = F.array(*(F.lit((i + 1) / bins) for i in range(bins)))
     p = F.col("probability")
-    at = F.least(F.size(F.filter(edges, lambda e: e <= p)), F.lit(bins - 1))
+    at = F.least(_reached(p, [(i + 1) / bins for i in range(bins)]), F.lit(bins - 1))
     by_bin = records.where(p.isNotNull()).groupBy(*key, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("p"), F.avg("outcome").alias("y"))
     return by_bin.groupBy(*key).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("interval_ece"))
 
 
 def confidence_ece(records: DataFrame, *key: str) -> DataFrame:
-    """Weighted error over ten confidence bins whose upper edge reaches 1e-12 too far, so an edge value counts in two bins."""
-    c = F.greatest(F.col("probability"), 1 - F.col("probability"))
-    right = ((F.col("probability") >= 0.5) == (F.col("outcome") == 1)).cast("double")
-    lower = F.explode(F.array(*(F.lit(0.9 * i / 9) for i in range(10)))).alias("lower")
-    rows = records.where("probability IS NOT NULL").select(*key, c.alias("c"), right.alias("right"), lower).where((F.col("c") >= F.col("lower")) & (F.col("c") < F.col("lower") + 0.1 + 1e-12))
-    total = records.where("probability IS NOT NULL").groupBy(*(F.col(k).alias(f"t_{k}") for k in key)).agg(F.count(F.lit(1)).alias("total"))
-    gaps = rows.groupBy(*key, "lower").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("right") - F.avg("c")).alias("gap")).groupBy(*key).agg(F.sum(F.col("n") * F.col("gap")).alias("gap"))
-    return gaps.join(total, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"t_{k}") for k in key))).select(*key, (F.col("gap") / F.col("total")).alias("confidence_ece"))
+    """Weighted error over ten confidence bins whose upper edge reaches 1e-12 too far, so an edge value counts in two bins.
+
+    One pass sums rows by the last bin that they reach and by whether they lie in it
+    and in the one before; only these sums are dealt to bins.
+    """
+    p, edges = F.col("probability"), [0.9 * i / 9 for i in range(10)]
+    c = F.greatest(p, 1 - p)
+    right = ((p >= 0.5) == (F.col("outcome") == 1)).cast("double")
+    lowers = F.array(*map(F.lit, edges))
+    rows = records.where(p.isNotNull()).select(*key, c.alias("c"), right.alias("right"), (_reached(c, edges) - 1).alias("last"))
+    within = lambda back: F.coalesce((F.col("last") >= back) & (F.col("c") < F.get(lowers, F.col("last") - back) + 0.1 + 1e-12), F.lit(False))
+    sums = rows.groupBy(*key, "last", within(0).alias("own"), within(1).alias("before")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("right").alias("right_s"), F.count("right").alias("right_n"), F.sum("c").alias("c_s"))
+    bins = F.explode(F.array_compact(F.array(F.when(F.col("own"), F.col("last")), F.when(F.col("before"), F.col("last") - 1), F.lit(-1))))
+    dealt = sums.select(*key, "n", "right_s", "right_n", "c_s", bins.alias("bin"))
+    # Bin -1 holds every row once, for the total.
+    by_bin = dealt.groupBy(*key, "bin").agg(F.sum("n").alias("n"), (F.sum("n") * F.abs(F.sum("right_s") / F.sum("right_n") - F.sum("c_s") / F.sum("n"))).alias("gap"))
+    total = F.sum(F.when(F.col("bin") == -1, F.col("n")))
+    return by_bin.groupBy(*key).agg((F.sum(F.when(F.col("bin") >= 0, F.col("gap"))) / total).alias("confidence_ece"))
 
 
 def slices(records: DataFrame) -> DataFrame:

@@ -44,3 +44,17 @@ def test_slices_equal_metrics_of_one_dimension(spark):
         s = sliced[r.policy, r.platform]
         assert (s.candidate_rows, s.evaluated_rows) == (r.candidate_rows, r.evaluated_rows)
         assert all(abs(s[c] - r[c]) < 1e-12 for c in ("brier_score", "accuracy", "calibration_error"))
+
+
+def test_confidence_ece_reads_records_once_and_counts_edges_twice(spark):
+    rows = records(spark)
+    assert logical(policies.confidence_ece(rows, "policy")).count("Range (") == 1
+    known = rows.where("probability IS NOT NULL").collect()
+    for r in policies.confidence_ece(rows, "policy").collect():
+        own, gap = [x for x in known if x.policy == r.policy], 0.0
+        for i in range(10):
+            low = 0.9 * i / 9
+            met = [(max(x.probability, 1 - x.probability), (x.probability >= 0.5) == (x.outcome == 1)) for x in own]
+            met = [(c, hit) for c, hit in met if low <= c < low + 0.1 + 1e-12]
+            gap += abs(sum(hit for _, hit in met) - sum(c for c, _ in met))
+        assert abs(r.confidence_ece - gap / len(own)) < 1e-12
