@@ -71,14 +71,25 @@ def disagreement(predictions: DataFrame, model: str, first: str, second: str, sc
 def ladder(predictions: DataFrame, model: str, losses: dict[str, Column], pairs: list[tuple[str, str]], folds: list[str], *row: str) -> DataFrame:
     """candidate, comparator, metric, one column per fold (null: over all of it), n, difference, deviation, better: every comparison from one scan.
 
-    A row's losses under all models are one map; each pair that has both gives a
-    difference per metric, and grouping sets sum these over folds, each alone, and
-    over everything. A model's name may stand in any number of pairs.
+    A row's losses under the paired models are one column each, from one grouped
+    pass; each pair that has both gives a difference per metric, and grouping sets
+    sum these over folds, each alone, and over everything. A model's name may stand
+    in any number of pairs; a row has one loss per model.
     """
-    held = predictions.groupBy(*folds, *row).agg(*(F.map_from_entries(F.collect_list(F.when(x.isNotNull(), F.struct(F.col(model).alias("m"), x.alias("x"))))).alias(f"by_{name}") for name, x in losses.items()))
-    wanted = F.array(*(F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("comparator"), F.lit(name).alias("metric"), (F.try_element_at(f"by_{name}", F.lit(a)) - F.try_element_at(f"by_{name}", F.lit(b))).alias("d")) for a, b in pairs for name in losses))
-    each = held.select(*folds, F.explode(F.filter(wanted, lambda x: x["d"].isNotNull())).alias("x")).select(*folds, "x.*")
+    names = sorted({m for pair in pairs for m in pair})
+    at = {(m, name): f"x_{i}_{j}" for i, m in enumerate(names) for j, name in enumerate(losses)}
+    wide = predictions.where(F.col(model).isin(names)).select(*folds, *row, model, *(x.alias(f"of_{j}") for j, x in enumerate(losses.values())))
+    held = wide.groupBy(*folds, *row).agg(*(F.max(F.when(F.col(model) == m, F.col(f"of_{j}"))).alias(at[m, name]) for m in names for j, name in enumerate(losses)))
+    asked = [(a, b, name) for a, b in pairs for name in losses]
+    each = held.select(*folds, F.posexplode(F.array(*(F.col(at[a, name]) - F.col(at[b, name]) for a, b, name in asked))).alias("i", "d")).where("d IS NOT NULL")
+    # Moments by all folds at once; the grouping sets are taken of these few rows.
+    cells = each.groupBy(*folds, "i").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("spread"), F.count_if(F.col("d") < 0).alias("less"))
+    named = F.get(F.array(*(F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("comparator"), F.lit(name).alias("metric")) for a, b, name in asked)), F.col("i"))
     by = ["candidate", "comparator", "metric"]
     sets = [[F.col(c) for c in by], *([F.col(c) for c in [*by, f]] for f in folds)]
-    sums = each.groupingSets(sets, *by, *folds).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("difference"), F.stddev_samp("d").alias("deviation"), F.avg((F.col("d") < 0).cast("double")).alias("better"))
-    return sums.select(*by, *folds, "n", "difference", "deviation", "better")
+    cells = cells.withColumn("q", named).select(*folds, "q.*", "n", "mean", "spread", "less")
+    n, m = F.col("n"), F.col("mean")
+    sums = cells.groupingSets(sets, *by, *folds).agg(F.sum(n * m).alias("s"), F.sum(n * (F.col("spread") + m * m)).alias("q"), F.sum("less").alias("less"), F.sum(n).alias("n"))
+    mean = F.col("s") / n
+    deviation = F.when(n > 1, F.sqrt(F.greatest(F.col("q") - n * mean * mean, F.lit(0.0)) / (n - 1)))
+    return sums.select(*by, *folds, "n", mean.alias("difference"), deviation.alias("deviation"), (F.col("less") / n).alias("better"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallypoint.operators import policies
+from rallypoint.operators import diagnostics, policies
 from rallypoint.plans import queries
 
 
@@ -58,3 +58,11 @@ def test_confidence_ece_reads_records_once_and_counts_edges_twice(spark):
             met = [(c, hit) for c, hit in met if low <= c < low + 0.1 + 1e-12]
             gap += abs(sum(hit for _, hit in met) - sum(c for c, _ in met))
         assert abs(r.confidence_ece - gap / len(own)) < 1e-12
+
+
+def test_ladder_sums_before_the_grouping_sets(spark):
+    rows = records(spark).withColumn("i", F.monotonically_increasing_id())
+    df = diagnostics.ladder(rows, "policy", {"p": F.col("probability")}, [("p1", "p0")], ["platform"], "i")
+    assert "collect_list" not in logical(df)
+    plan = logical(df)
+    assert plan.index("Expand") < plan.rindex("Aggregate") and plan[plan.index("Expand") :].count("Aggregate") == 2
