@@ -17,14 +17,17 @@ CONTEXT = ("queue_id", "platform", "region", "rank_bracket")
 def observations(t: Tables) -> DataFrame:
     """One row per participant with its opponent and eligibility.
 
-    All windows start with the match, so one shuffle by match serves them. A
-    resolved position has exactly two eligible rows, one a side, so the
+    All windows start with the match, so one shuffle by match serves them, and one
+    sort by match, position and team: every window's order begins it, and a team's
+    size is counted in the list of the match's teams. A resolved position has exactly two eligible rows, one a side, so the
     opponent is the group's sum less the row itself: no self-join.
     """
     context = match_context(t).select("match_id", "platform", "queue_id", "public_patch", "game_creation", "duration_seconds", "exclusion_reasons", "participants_complete", "teams_complete")
     rows = with_positions(t.participants).join(context, "match_id")
-    team, match = W.partitionBy("match_id", "team_id"), W.partitionBy("match_id")
-    rows = rows.withColumn("team_size", F.count(F.lit(1)).over(team)).withColumn("match_size", F.count(F.lit(1)).over(match))
+    rows = rows.sortWithinPartitions("match_id", "position", "team_id")
+    teams = F.collect_list(F.struct("team_id")).over(W.partitionBy("match_id"))
+    own_team = F.filter("teams", lambda x: x["team_id"].eqNullSafe(F.col("team_id")))
+    rows = rows.withColumn("teams", teams).withColumn("team_size", F.size(own_team)).withColumn("match_size", F.size("teams"))
     rows = rows.withColumn("five_a_side", F.col("teams_complete") & (F.col("team_size") == 5) & (F.col("match_size") == 10))
     pairing = F.col("position").isNotNull() & (F.col("position_source") == "team_position") & ~F.col("position_disagreement")
     rows = rows.withColumn("pairing", pairing)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallypoint.operators import diagnostics, policies
+from rallypoint.operators import diagnostics, opponents, policies
 from rallypoint.plans import queries
+from rallypoint.sources.lens import tables
 
 
 def logical(df) -> str:
@@ -66,3 +67,9 @@ def test_ladder_sums_before_the_grouping_sets(spark):
     assert "collect_list" not in logical(df)
     plan = logical(df)
     assert plan.index("Expand") < plan.rindex("Aggregate") and plan[plan.index("Expand") :].count("Aggregate") == 2
+
+
+def test_observations_sort_rows_once_for_all_windows(spark, small):
+    plan = physical(opponents.observations(tables(spark, small)))
+    # Above the join of rows and context only one sort stands.
+    assert plan[: plan.index("Join")].count("Sort [") + plan[: plan.index("Join")].count("TakeOrdered") == 1
