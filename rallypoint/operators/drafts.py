@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,14 +29,21 @@ def exclusions(observed: DataFrame) -> DataFrame:
 
 
 def corpus(observed: DataFrame) -> DataFrame:
-    """match_id, platform, public_patch, game_creation, outcome of the lower team (blue), and ten champion slots."""
-    complete = exclusions(observed).where("reason IS NULL").select(F.col("match_id").alias("ok"))
-    rows = observed.join(complete, F.col("match_id") == F.col("ok"), "left_semi")
-    low = F.min("team_id").over(W.partitionBy("match_id"))
-    rows = rows.withColumn("side", F.when(F.col("team_id") == low, "blue").otherwise("red"))
-    slot = F.concat_ws("_", "side", F.lower("position"))
-    picks = [F.max(F.when(slot == s, F.col("champion_id"))).alias(s) for s in SLOTS]
-    return rows.groupBy("match_id", "platform", "public_patch", "game_creation").agg(F.max(F.when(F.col("side") == "blue", F.col("win").cast("int"))).alias("outcome"), *picks)
+    """match_id, platform, public_patch, game_creation, outcome of the lower team (blue), and ten champion slots.
+
+    Complete matches by the rules of exclusions. Rows are summed to teams before
+    they are shuffled, and each match's teams meet once.
+    """
+    keys = ["match_id", "platform", "public_patch", "game_creation"]
+    picks = [F.max(F.when(F.col("position") == r, F.col("champion_id"))).alias(r) for r in POSITIONS]
+    seen = [F.max(F.when(F.col("position") == r, 1).otherwise(0)) for r in POSITIONS]
+    team = observed.groupBy(*keys, "team_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.size("role_reasons") > 0).alias("bad"), reduce(lambda x, y: x + y, seen).alias("roles"), F.max(F.col("win").cast("int")).alias("won"), *picks)
+    held = F.array_sort(F.collect_list(F.struct("team_id", "n", "bad", "roles", "won", *POSITIONS)))
+    teams = team.groupBy(*keys).agg(held.alias("t"))
+    complete = (F.size("t") == 2) & ~F.exists("t", lambda x: (x["n"] != 5) | (x["bad"] > 0) | (x["roles"] != 5))
+    slot = [F.get("t", F.lit(i))[r].alias(f"{side}_{r.lower()}") for i, side in enumerate(("blue", "red")) for r in POSITIONS]
+    return teams.where(complete).select(*keys, F.get("t", F.lit(0))["won"].alias("outcome"), *slot)
 
 
 def swap(drafts: DataFrame) -> DataFrame:

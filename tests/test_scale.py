@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallypoint.operators import diagnostics, opponents, policies
+from rallypoint.operators import diagnostics, drafts, opponents, policies
 from rallypoint.plans import queries
 from rallypoint.sources.lens import tables
 
@@ -73,3 +73,8 @@ def test_observations_sort_rows_once_for_all_windows(spark, small):
     plan = physical(opponents.observations(tables(spark, small)))
     # Above the join of rows and context only one sort stands.
     assert plan[: plan.index("Join")].count("Sort [") + plan[: plan.index("Join")].count("TakeOrdered") == 1
+
+
+def test_corpus_shuffles_teams_not_rows(spark, small):
+    plan = logical(drafts.corpus(queries.observed(spark, small)))
+    assert "Join" not in plan and "Window" not in plan
