@@ -19,18 +19,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallypoint.functions.formulas import POSITIONS, sigmoid
-from rallypoint.operators.drafts import slots
+from rallypoint.functions.formulas import POSITIONS
+from rallypoint.operators.drafts import SLOTS, slots
 from rallypoint.sources.stages import stage
 
 SUPPORT = 10
 #: Losses that differ by no more than this tie.
 TIE = 1e-12
-#: Beyond so many partitions, their sums are added up by tasks before they reach the driver.
+#: Beyond so many partitions, a cell's sums are added up by several tasks before one adds these up.
 DIRECT_PARTITIONS = 64
 
 
@@ -103,11 +104,23 @@ def coded(drafts: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
     keys = long.select("role", "champion").distinct()
     order = sorted((POSITIONS.index(r.role), r.champion, r.role) for r in keys.collect())
     known = drafts.sparkSession.createDataFrame([(role, champion, i) for i, (_, champion, role) in enumerate(order)], "role string, champion int, number int")
-    role_no = F.array_position(F.array(*map(F.lit, POSITIONS)), F.col("role"))
-    numbered = long.join(known, ["role", "champion"]).select("match_id", F.struct((-F.col("sign")).alias("side"), role_no.alias("role_no"), "number").alias("x"))
-    rows = numbered.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["number"]).alias("c"))
-    placed = drafts.select(F.col("match_id").alias("of"), place.cast("bigint").alias("at"), F.col("outcome").cast("int").alias("outcome"))
-    return stage(rows.join(placed, F.col("match_id") == F.col("of")).select("match_id", "at", "outcome", "c"), "coded-drafts"), known
+    index = {p: pd.Index([champion for _, champion, role in order if role == p]) for p in POSITIONS}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = _numbers(batch, index, -1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 10 * len(batch) + 1, 10), pa.int32()), pa.array(c.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("match_id", "at", "outcome")), lists], ["match_id", "at", "outcome", "c"])
+
+    placed = drafts.select("match_id", place.cast("bigint").alias("at"), F.col("outcome").cast("int").alias("outcome"), *SLOTS).dropna(subset=SLOTS)
+    return stage(placed.mapInArrow(numbered, f"match_id {dict(drafts.dtypes)['match_id']}, at bigint, outcome int, c array<int>"), "coded-drafts"), known
+
+
+def _numbers(batch: pa.RecordBatch, known: dict[str, pd.Index], unknown: int) -> np.ndarray:
+    """The ten slots' feature numbers, blue first; numbers run through the roles in order."""
+    c = np.stack([known[s.split("_")[1].upper()].get_indexer(batch.column(s).to_pandas()) for s in SLOTS], 1)
+    first = np.cumsum([0, *(len(known[r]) for r in POSITIONS)])[:5]
+    return np.where(c < 0, unknown, c + np.tile(first, 2))
 
 
 def supports(rows: DataFrame, starts: list[int]) -> dict[int, dict[int, int]]:
@@ -233,11 +246,14 @@ def sum_cells(batches: Iterator[pa.RecordBatch], problems: dict[int, Problem], p
 
 
 def summed(rows: DataFrame, partitions: int, problems: dict[int, Problem], points: dict[int, np.ndarray], training: bool) -> dict[int, tuple[int, float, np.ndarray]]:
-    """n, loss and gradient of each cell over all partitions."""
-    found = rows.mapInArrow(lambda batches: sum_cells(batches, problems, points, training), "cell int, n bigint, loss double, gradient array<double>")
+    """n, loss and gradient of each cell over all partitions; the driver gets one row a cell, however many partitions there are."""
+    kind = "cell int, n bigint, loss double, gradient array<double>"
+    found = rows.mapInArrow(lambda batches: sum_cells(batches, problems, points, training), kind)
     if partitions > DIRECT_PARTITIONS:
         lane = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(partitions)))
-        found = found.withColumn("lane", lane).groupBy("cell", "lane").applyInArrow(_add_up, "cell int, n bigint, loss double, gradient array<double>")
+        found = found.withColumn("lane", lane).groupBy("cell", "lane").applyInArrow(_add_up, kind)
+    if partitions > 1:
+        found = found.groupBy("cell").applyInArrow(_add_up, kind)
     out: dict[int, tuple[int, float, np.ndarray]] = {k: (0, 0.0, np.zeros_like(x)) for k, x in points.items()}
     for r in sorted(found.collect(), key=lambda r: (r.cell, r.n, r.loss)):
         n, loss, gradient = out[r.cell]
@@ -246,7 +262,8 @@ def summed(rows: DataFrame, partitions: int, problems: dict[int, Problem], point
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """One row of the sums of a cell's rows."""
+    """One row of the sums of a cell's rows, in an order that doesn't depend on how they arrived."""
+    table = table.sort_by([("n", "ascending"), ("loss", "ascending")])
     gradients = table.column("gradient").combine_chunks()
     whole = gradients.flatten().to_numpy().reshape(len(table), -1).sum(0)
     return pa.table({
@@ -386,35 +403,40 @@ def parameters(known: DataFrame, cells: list[Cell], problems: dict[int, Problem]
     return known.sparkSession.createDataFrame(rows, "fold string, config_id string, role string, champion int, main double, supported boolean, synergy array<double>, attack array<double>, defence array<double>, intercept double")
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _total(parts: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + of(x))
+def _scored(batches: Iterator[pa.RecordBatch], models: list[tuple[str, str, np.ndarray, Layout, dict[str, pd.Index]]]) -> Iterator[pa.RecordBatch]:
+    """match_id, outcome, fold, config_id, probability of each draft under each model."""
+    for batch in batches:
+        for fold, config_id, x, layout, known in models:
+            # Unknown slots have the last number, whose parameters are zero.
+            c = _numbers(batch, known, layout.features - 1)
+            z = scores(x, layout, c)
+            p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("outcome"), pa.array([fold] * n, pa.string()), pa.array([config_id] * n, pa.string()), pa.array(p)], ["match_id", "outcome", "fold", "config_id", "probability"])
 
 
 def score(drafts: DataFrame, table: DataFrame) -> DataFrame:
     """match_id, outcome, fold, config_id, probability of drafts under every model of a parameters table.
 
-    A slot that a model doesn't know counts nothing: its vectors are zero.
+    A slot that a model doesn't know counts nothing: its vectors are zero. The table
+    is bounded by roles, champions and models and travels to the tasks; drafts
+    aren't shuffled.
     """
-    models = table.groupBy("fold", "config_id").agg(F.max("intercept").alias("b"), F.max(F.size("synergy")).alias("ds"), F.max(F.size("attack")).alias("dc"))
-    every = models.agg(F.collect_list(F.struct("fold", "config_id", "b", "ds", "dc")))
-    asked = slots(drafts).withColumn("models", every.scalar()).select("match_id", "outcome", "sign", "role", "champion", F.explode("models").alias("m")).select("match_id", "outcome", "sign", "role", "champion", "m.*")
-    met = asked.join(table.drop("intercept", "supported"), ["fold", "config_id", "role", "champion"], "left")
-    zero = lambda n: F.array_repeat(F.lit(0.0), F.col(n).cast("int"))
-    slot = F.struct(F.array_position(F.array(*map(F.lit, POSITIONS)), F.col("role")).alias("no"), F.coalesce("main", F.lit(0.0)).alias("w"), F.coalesce("synergy", zero("ds")).alias("e"), F.coalesce("attack", zero("dc")).alias("a"), F.coalesce("defence", zero("dc")).alias("d"))
-    sides = met.groupBy("match_id", "outcome", "fold", "config_id", "b", "ds").agg(*(F.array_sort(F.collect_list(F.when(F.col("sign") == s, slot))).alias(side) for side, s in (("blue", 1), ("red", -1))))
-
-    def within(side: str) -> Column:
-        whole = F.aggregate(F.col(side), F.array_repeat(F.lit(0.0), F.col("ds").cast("int")), lambda s, x: F.zip_with(s, x["e"], lambda p, q: p + q))
-        return (_dot(whole, whole) - _total(F.col(side), lambda x: _dot(x["e"], x["e"]))) / 2
-
-    across = _total(F.zip_with("blue", "red", lambda p, q: _dot(p["a"], q["d"]) - _dot(q["a"], p["d"])), lambda x: x)
-    main = _total(F.col("blue"), lambda x: x["w"]) - _total(F.col("red"), lambda x: x["w"])
-    z = F.col("b") + main + within("blue") - within("red") + across
-    return sides.select("match_id", "outcome", "fold", "config_id", sigmoid(z).alias("probability"))
+    by: dict[tuple[str, str], list] = {}
+    for r in table.collect():
+        by.setdefault((r.fold, r.config_id), []).append(r)
+    models = []
+    for (fold, config_id), rows in sorted(by.items()):
+        rows.sort(key=lambda r: (POSITIONS.index(r.role), r.champion))
+        layout = Layout(len(rows) + 1, max(len(r.synergy) for r in rows), max(len(r.attack) for r in rows))
+        x = np.zeros(layout.size)
+        b, w, e, a, d = layout.split(x)
+        b[0] = rows[0].intercept
+        for i, r in enumerate(rows):
+            w[i], e[i], a[i], d[i] = r.main, r.synergy, r.attack, r.defence
+        models.append((fold, config_id, x, layout, {p: pd.Index([r.champion for r in rows if r.role == p]) for p in POSITIONS}))
+    kinds = dict(drafts.dtypes)
+    return drafts.select("match_id", "outcome", *SLOTS).mapInArrow(lambda batches: _scored(batches, models), f"match_id {kinds['match_id']}, outcome {kinds['outcome']}, fold string, config_id string, probability double")
 
 
 @dataclass

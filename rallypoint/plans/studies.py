@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,21 +110,21 @@ def interaction_parameters(spark, sf_dir):
 def interaction_probabilities(spark, sf_dir):
     """The refits' probabilities for the drafts of their own outer blocks."""
     rows, found = nested(spark, sf_dir)
-    scored = interactions.score(rows, found.parameters)
-    blocks = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for f, a, b in OUTER))
-    placed = rows.select(F.col("match_id").alias("of"), seconds("game_creation").alias("t")).select("of", F.explode(F.filter(blocks, lambda x: (F.col("t") >= x["a"]) & (F.col("t") < x["b"]))).alias("x"))
-    own = placed.select("of", F.col("x.fold").alias("block"))
-    return rounded(scored.join(own, (F.col("match_id") == F.col("of")) & (F.col("fold") == F.col("block"))).drop("of", "block"), 6)
+    t = seconds("game_creation")
+    scored = [interactions.score(rows.where((t >= a) & (t < b)), found.parameters.where(F.col("fold") == f)) for f, a, b in OUTER]
+    return rounded(reduce(DataFrame.unionByName, scored), 6)
 
 
 def paired_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """policy, platform, match_id, log_loss and brier: each policy's mean losses in a match less the naive ones."""
     p = F.least(F.greatest("probability", F.lit(1e-15)), F.lit(1 - 1e-15))
     known = predictions(spark, sf_dir).where("probability IS NOT NULL")
-    by = known.groupBy("policy", "platform", "match_id").agg(
+    by = known.groupBy("platform", "match_id", "policy").agg(
         F.avg(-F.when(F.col("outcome") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("l"), F.avg(F.pow(F.col("probability") - F.col("outcome"), 2)).alias("b"))
-    base = by.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("l").alias("bl"), F.col("b").alias("bb"))
-    met = by.where("policy <> 'naive_empirical'").join(base, F.col("match_id") == F.col("m"))
+    # A match's policies lie in one list, the naive one's losses beside it: one exchange, no join of the losses with themselves.
+    naive = F.col("policy") == "naive_empirical"
+    beside = by.groupBy("platform", "match_id").agg(F.max(F.when(naive, F.col("l"))).alias("bl"), F.max(F.when(naive, F.col("b"))).alias("bb"), F.collect_list(F.when(~naive, F.struct("policy", "l", "b"))).alias("rest"))
+    met = beside.where("bl IS NOT NULL AND bb IS NOT NULL").select("platform", "match_id", "bl", "bb", F.explode("rest").alias("r")).select("r.policy", "platform", "match_id", F.col("r.l").alias("l"), F.col("r.b").alias("b"), "bl", "bb")
     return met.select("policy", "platform", "match_id", (F.col("l") - F.col("bl")).alias("log_loss"), (F.col("b") - F.col("bb")).alias("brier"))
 
 

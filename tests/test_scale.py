@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rallypoint.operators import diagnostics, drafts, opponents, policies
+from rallypoint.operators import diagnostics, drafts, interactions, opponents, policies
 from rallypoint.plans import queries
 from rallypoint.sources.lens import tables
 
@@ -78,3 +79,28 @@ def test_observations_sort_rows_once_for_all_windows(spark, small):
 def test_corpus_shuffles_teams_not_rows(spark, small):
     plan = logical(drafts.corpus(queries.observed(spark, small)))
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_scoring_shuffles_no_draft(spark):
+    row = (1, 1, *range(1, 11))
+    made = spark.createDataFrame([row], ["match_id", "outcome", *drafts.SLOTS])
+    table = spark.createDataFrame([("f", "c", "TOP", 1, 0.5, True, [], [], [], 0.25)], "fold string, config_id string, role string, champion int, main double, supported boolean, synergy array<double>, attack array<double>, defence array<double>, intercept double")
+    scored = interactions.score(made, table)
+    assert "Join" not in logical(scored) and "Aggregate" not in logical(scored)
+    assert abs(scored.first().probability - 1 / (1 + np.exp(-0.75))) < 1e-12
+
+
+def test_driver_gets_one_row_a_cell(spark, monkeypatch):
+    """However many partitions the drafts have."""
+    layout = interactions.Layout(11, 0, 0)
+    rows = spark.range(160, numPartitions=16).select((F.col("id") * 0).alias("at"), (F.col("id") % 2).cast("int").alias("outcome"), F.sequence(F.lit(1), F.lit(10)).alias("c"))
+    got, collect = [], type(rows).collect
+
+    def counted(self):
+        out = collect(self)
+        got.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    found = interactions.summed(rows, 16, {0: interactions.Problem(5, 6, layout, np.ones(11, bool))}, {0: np.zeros(layout.size)}, True)
+    assert got == [1] and found[0][0] == 160
