@@ -86,7 +86,10 @@ def redraw(units: DataFrame, key: str, stratum: str, unit: str, values: list[str
             sums += (draw_counts(drawn[i : i + each], len(rows), i + 1, *own, int(b)) @ v).tolist()
         return pd.DataFrame({"u_key": [k] * replicates, "replicate": np.arange(1, replicates + 1), "drawn": drawn, "sums": sums})
 
-    parts = wanted.groupBy("u_key", "u_stratum", "block").applyInPandas(draw, f"u_key {kind}, replicate int, drawn bigint, sums array<double>")
+    # The work of a block is its replicates, not its bytes, so blocks are dealt out by number.
+    spark = units.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = wanted.repartition(tasks, "u_key", "u_stratum", "block").groupBy("u_key", "u_stratum", "block").applyInPandas(draw, f"u_key {kind}, replicate int, drawn bigint, sums array<double>")
     added = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(len(values))]
     out = parts.groupBy("u_key", "replicate").agg(F.sum("drawn").alias("drawn"), *added)
     return out.select(F.col("u_key").alias(key), "replicate", "drawn", F.array(*(f"s{i}" for i in range(len(values)))).alias("sums"))
@@ -142,11 +145,20 @@ def rejection_rates(differences: DataFrame, key: str, unit: str, value: str, eff
     Residuals are shifted by each effect; draw i of a replicate is the same unit
     whatever the sample's size, so running sums give every size at once.
     """
-    spark = differences.sparkSession
+    return _rates(*_residuals(differences, key, unit, value), key, effects, sizes, replicates, seed, level)
+
+
+def _residuals(differences: DataFrame, key: str, unit: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Staged: k, nth (in digest order) and x, a unit's difference less its key's mean; and of (key), units."""
     kept = differences.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(unit).alias("u"), F.col(value).cast("double").alias("d"))
     numbered = numbered_by_digest(kept, ["k"], F.sha2(F.col("u").cast("string"), 256), "u")
-    means = kept.groupBy(F.col("k").alias("of")).agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("units"))
+    means = stage(kept.groupBy(F.col("k").alias("of")).agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("units")), "means")
     residuals = numbered.join(F.broadcast(means), F.col("k").eqNullSafe(F.col("of"))).select("k", "nth", (F.col("d") - F.col("mean")).alias("x"))
+    return stage(residuals, "residuals"), means
+
+
+def _rates(residuals: DataFrame, means: DataFrame, key: str, effects: dict[object, list[float]], sizes: int, replicates: int, seed: int, level: float) -> DataFrame:
+    spark = residuals.sparkSession
     draws = spark.range(replicates * sizes).select((F.floor(F.col("id") / sizes) + 1).alias("r"), (F.col("id") % sizes + 1).alias("n"))
     every = means.select(F.col("of").alias("dk"), "units")
     asked = draws.withColumn("keys", every.agg(F.collect_list(F.struct("dk", "units"))).scalar()).select("r", "n", F.explode("keys").alias("q")).select("r", "n", "q.*")
@@ -173,16 +185,18 @@ def required_sizes(
     the least size; accepted is inflated by the share of eligible matches, reserved
     by the reserve. Null where the differences don't vary. Raises ValueError beyond `most`.
     """
+    differences = stage(differences.select(key, unit, value), "differences")
     spread = differences.where(F.col(value).isNotNull()).groupBy(key).agg(F.stddev_samp(value).alias("sd")).where("sd > 0").collect()
     effects = {r[0]: [s * r.sd for s in shares] for r in spread}
     power: dict[tuple, float] = {}
     size, out = first, []
+    held = _residuals(differences.where(F.col(key).isin(list(effects))), key, unit, value)
     wanted = {(k, e, t) for k in effects for e in range(len(shares)) for t in targets}
     reached: dict[tuple, int] = {}
     while len(reached) < len(wanted):
         if size > most:
             raise ValueError(f"a target needs more than {most} matches")
-        rates = rejection_rates(differences.where(F.col(key).isin(list(effects))), key, unit, value, effects, size, replicates, seed, level)
+        rates = _rates(*held, key, effects, size, replicates, seed, level)
         power = {(r[0], r.effect, r.n): r.power for r in rates.collect()}
         for k, e, t in wanted - set(reached):
             if power[k, e, size] >= t:

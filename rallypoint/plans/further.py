@@ -389,8 +389,10 @@ SQL["cluster_bootstrap"] = _bootstrap("SELECT policy, match_id, pow(probability
 def group_bootstrap(spark, sf_dir):
     """Intervals of each policy's squared error less the naive one's, matches redrawn whole."""
     p = predictions(spark, sf_dir).where("probability IS NOT NULL").withColumn("loss", F.pow(F.col("probability") - F.col("outcome"), 2))
-    base = p.where("policy = 'naive_empirical'").select(F.col("match_id").alias("m"), F.col("participant_id").alias("i"), F.col("loss").alias("base"))
-    both = p.where("policy <> 'naive_empirical'").join(base, (F.col("match_id") == F.col("m")) & (F.col("participant_id") == F.col("i")))
+    # A row's losses lie in one list, the naive one beside it; no join of the predictions with themselves.
+    naive = F.col("policy") == "naive_empirical"
+    beside = p.groupBy("platform", "match_id", "participant_id").agg(F.max(F.when(naive, F.col("loss"))).alias("base"), F.collect_list(F.when(~naive, F.struct("policy", "loss"))).alias("rest"))
+    both = beside.where("base IS NOT NULL").select("platform", "match_id", "base", F.explode("rest").alias("r")).select("r.policy", "platform", "match_id", "r.loss", "base")
     return rounded(resampling.cluster_bootstrap(both.withColumn("difference", F.col("loss") - F.col("base")), "policy", "match_id", "platform", "difference", 200, 35))
 
 

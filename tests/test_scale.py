@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rallypoint.operators import diagnostics, drafts, interactions, opponents, policies
+from rallypoint.operators import diagnostics, drafts, interactions, opponents, policies, resampling
 from rallypoint.plans import queries
 from rallypoint.sources.lens import tables
 
@@ -104,3 +104,22 @@ def test_driver_gets_one_row_a_cell(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "collect", counted)
     found = interactions.summed(rows, 16, {0: interactions.Problem(5, 6, layout, np.ones(11, bool))}, {0: np.zeros(layout.size)}, True)
     assert got == [1] and found[0][0] == 160
+
+
+def test_power_reads_differences_once(spark):
+    """The sizes that are tried all stand on the same staged residuals."""
+    uses = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            uses.add(b.num_rows)
+            yield b
+
+    made = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("m"), (F.col("id") % 7 - 2.5).alias("d")).mapInArrow(seen, "k string, m bigint, d double")
+    resampling.required_sizes(made, "k", "m", "d", [0.5], [0.8], 40, 4).collect()
+    assert uses.value == 200
+
+
+def test_blocks_of_redraws_are_dealt_to_many_tasks(spark):
+    units = spark.range(300).select(F.lit("k").alias("k"), F.lit("s").alias("s"), F.col("id").alias("m"), F.col("id").cast("double").alias("d"))
+    assert "REPARTITION_BY_NUM" in resampling.redraw(units, "k", "s", "m", ["d"], 5, 1, block=16)._jdf.queryExecution().executedPlan().toString()
